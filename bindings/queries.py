@@ -198,7 +198,7 @@ def header_units(spark, sf):
 @query
 def ring_closure(spark, sf):
     """Polygons of orders: rings closed where they are open, with area and perimeter."""
-    corners, vertices = B.mesh_corners(spark, sf), B.mesh_vertices(spark, sf)
+    corners, vertices = B.mesh_corners(spark, sf)[0], B.mesh_vertices(spark, sf)
     placed = mesh.place_corners(corners, vertices)
     ring = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("x").alias("u"), F.col("z").alias("v")).alias("p")))), lambda s: s["p"])
     rings = placed.groupBy("fid").agg(ring.alias("ring"))
@@ -448,7 +448,7 @@ def code_translate(spark, sf):
 
 
 def _uses(spark, sf):
-    return mesh.edge_uses(mesh.corner_edges(B.mesh_corners(spark, sf)))
+    return mesh.edge_uses(mesh.corner_edges(*B.mesh_corners(spark, sf)))
 
 
 @query
@@ -478,24 +478,26 @@ def mesh_topology(spark, sf):
 
 @query
 def mesh_duplicate_faces(spark, sf):
-    return mesh.duplicate_faces(B.mesh_corners(spark, sf))
+    return mesh.duplicate_faces(B.mesh_corners(spark, sf)[0])
 
 
 @query
 def mesh_invalid_index(spark, sf):
     """Faces against a vertex file that lacks the promotional parts."""
-    v = mesh.face_validity(B.mesh_corners(spark, sf), B.mesh_vertices(spark, sf, F.col("p_type") != "PROMO"))
+    v = mesh.face_validity(B.mesh_corners(spark, sf)[0], B.mesh_vertices(spark, sf, F.col("p_type") != "PROMO"))
     return v.groupBy("valid").agg(F.count(F.lit(1)).alias("faces"), F.sum("size").alias("corners"), F.sum("bad_refs").alias("bad_refs"))
 
 
 @query
 def face_areas(spark, sf):
-    return rounded(mesh.face_areas(B.mesh_corners(spark, sf), B.mesh_vertices(spark, sf)), area=3).select("fid", "area")
+    corners, largest = B.mesh_corners(spark, sf)
+    return rounded(mesh.face_areas(corners, B.mesh_vertices(spark, sf), largest), area=3).select("fid", "area")
 
 
 @query
 def mesh_degenerate(spark, sf):
-    areas = mesh.face_areas(B.mesh_corners(spark, sf), B.mesh_vertices(spark, sf))
+    corners, largest = B.mesh_corners(spark, sf)
+    areas = mesh.face_areas(corners, B.mesh_vertices(spark, sf), largest)
     return mesh.degenerate_faces(areas).select("fid")
 
 
@@ -520,13 +522,13 @@ def mesh_clean(spark, sf):
         F.lit("lineitem").alias("model_id"), F.col("p_partkey").alias("vid"), F.col("p_size").cast("double").alias("x"),
         F.regexp_extract("p_brand", r"(\d+)", 1).cast("double").alias("y"), F.lit(0.0).alias("z"),
     )
-    vertices, corners, actions = mesh.clean_mesh(part, B.mesh_corners(spark, sf))
+    vertices, corners, actions = mesh.clean_mesh(part, B.mesh_corners(spark, sf)[0])
     return actions
 
 
 @query
 def triangle_normals(spark, sf):
-    faces = mesh.loops_of(B.mesh_corners(spark, sf))
+    faces = mesh.loops_of(B.mesh_corners(spark, sf)[0])
     tri = mesh.triangle_normals(mesh.triangles(faces), B.mesh_vertices(spark, sf))
     return tri.groupBy("fid").agg(F.count(F.lit(1)).alias("triangles"), F.round(F.sum("normal.x"), 5).alias("nx"), F.round(F.sum(F.abs("normal.z")), 5).alias("nz"))
 
@@ -538,7 +540,7 @@ def model_bounds(spark, sf):
 
 @query
 def model_summary(spark, sf):
-    corners = B.mesh_corners(spark, sf)
+    corners, _ = B.mesh_corners(spark, sf)
     return mesh.model_summary(B.mesh_vertices(spark, sf), mesh.loops_of(corners))
 
 
@@ -567,7 +569,8 @@ def stride_sample(spark, sf):
 def plane_slice(spark, sf):
     vertices = B.mesh_vertices(spark, sf)
     box = mesh.model_bounds(vertices).select("model_id", F.col("centre_z").alias("position"))
-    points = mesh.slice_points(B.mesh_corners(spark, sf), vertices, "XY", box)
+    corners, largest = B.mesh_corners(spark, sf)
+    points = mesh.slice_points(corners, vertices, "XY", box, largest)
     return points.select(F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
 
 
@@ -575,7 +578,8 @@ def plane_slice(spark, sf):
 def slice_area(spark, sf):
     vertices = B.mesh_vertices(spark, sf)
     box = mesh.model_bounds(vertices).select("model_id", F.col("centre_z").alias("position"))
-    points = mesh.slice_points(B.mesh_corners(spark, sf), vertices, "XY", box)
+    corners, largest = B.mesh_corners(spark, sf)
+    points = mesh.slice_points(corners, vertices, "XY", box, largest)
     return rounded(mesh.slice_profile(points), area=2, perimeter=2)
 
 

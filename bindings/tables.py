@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraloom.functions.ordering import chunked_index
+from terraloom.functions.ordering import chunked_index, largest_group
 from terraloom.operators import semantic
 from terraloom.session import cut_lineage
 from terraloom.operators.templates import CoordinateRule, FieldMapping, QualityRule, RuleTemplate, ValueMap
@@ -17,15 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- lineitem as a mesh: a face per order with at least three lines, parts as vertices -----
 
 
-def mesh_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mesh_corners(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(corners, corner count of the biggest face)."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.lit("lineitem").alias("model_id"), F.col("l_orderkey").alias("fid"), "l_linenumber", F.col("l_partkey").alias("vid")
     )
-    big = lines.groupBy("fid").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("fid")
-    ranked = chunked_index(
-        lines.join(big, "fid", "left_semi"), ["model_id", "fid"], F.col("l_linenumber"), ["l_linenumber", "vid"], "pos"
-    )
-    return ranked.select("model_id", "fid", "pos", "vid")
+    largest = largest_group(lines, ["fid"])
+    group = ["model_id", "fid"]
+    ranked = chunked_index(lines, group, F.col("l_linenumber"), ["l_linenumber", "vid"], "pos", largest=largest)
+    big = lines.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select(*group)
+    return ranked.join(big, group, "left_semi").select("model_id", "fid", "pos", "vid"), largest
 
 
 def mesh_vertices(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:

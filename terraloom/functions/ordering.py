@@ -5,6 +5,9 @@ A group (a file, a mesh, a face) may hold a third of all rows, so a plain
 that is a monotone prefix of the order, cutting a group into pieces. Rows are only sorted
 inside (group, chunk); what crosses chunk borders travels through a small table with one row
 per chunk. Unique integer ids give such a chunk for free: ``id >> 20`` holds at most 2^20 rows.
+
+Where the largest group is known to be small (``largest_group``), pass it as ``largest``: up to
+``SAFE_GROUP`` rows a plain window per group is used and the chunk table is not needed.
 """
 
 from __future__ import annotations
@@ -14,6 +17,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 ID_CHUNK_BITS = 20
+SAFE_GROUP = 1_000_000
+
+
+def largest_group(df: DataFrame, group: Sequence[str]) -> int:
+    """Rows of the largest group: one pre-aggregated count, one number to the driver."""
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def id_chunk(column: str | Column, bits: int = ID_CHUNK_BITS) -> Column:
@@ -28,24 +37,30 @@ def _windows(group, order):
 
 
 def chunked_index(
-    df: DataFrame, group: Sequence[str], chunk: Column, order: Sequence, out: str = "idx", start: int = 0
+    df: DataFrame, group: Sequence[str], chunk: Column, order: Sequence, out: str = "idx", start: int = 0,
+    largest: int | None = None,
 ) -> DataFrame:
     """Dense row number inside a group, counted from ``start``."""
-    return chunked_running_sum(df, group, chunk, order, F.lit(1), out, shift=start - 1)
+    return chunked_running_sum(df, group, chunk, order, F.lit(1), out, shift=start - 1, largest=largest)
 
 
 def chunked_running_sum(
-    df: DataFrame, group: Sequence[str], chunk: Column, order: Sequence, value: Column, out: str, shift: int = 0
+    df: DataFrame, group: Sequence[str], chunk: Column, order: Sequence, value: Column, out: str, shift: int = 0,
+    largest: int | None = None,
 ) -> DataFrame:
     """Running sum (current row included) over a group's order."""
-    return chunked_running_sums(df, group, chunk, order, {out: value}, shift)
+    return chunked_running_sums(df, group, chunk, order, {out: value}, shift, largest)
 
 
 def chunked_running_sums(
-    df: DataFrame, group: Sequence[str], chunk: Column, order: Sequence, values: dict[str, Column], shift: int = 0
+    df: DataFrame, group: Sequence[str], chunk: Column, order: Sequence, values: dict[str, Column], shift: int = 0,
+    largest: int | None = None,
 ) -> DataFrame:
     """Several running sums in one pass."""
     group = list(group)
+    if largest is not None and largest <= SAFE_GROUP and group:
+        whole = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.withColumns({n: F.sum(v.cast("long")).over(whole) + F.lit(shift) for n, v in values.items()})
     inside, across = _windows(group, order)
     rows = df.withColumn("_chunk", chunk).withColumns({f"_v_{n}": v.cast("long") for n, v in values.items()})
     totals = rows.groupBy(*group, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
@@ -79,12 +94,23 @@ def cyclic_lead(
     columns: Sequence[str],
     next_prefix: str = "next_",
     first_prefix: str | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add the following row's values, the last row of a group being followed by its first.
 
     ``first_prefix`` also adds the values of the group's first row.
     """
     group = list(group)
+    if largest is not None and largest <= SAFE_GROUP:
+        whole = W.partitionBy(*group).orderBy(*order)
+        first = F.first("_row").over(whole.rowsBetween(W.unboundedPreceding, W.currentRow))
+        rows = df.withColumn("_row", F.struct(*columns))
+        rows = rows.withColumn("_group_head", first).withColumn("_next", F.coalesce(F.lead("_row").over(whole), F.col("_group_head")))
+        return rows.select(
+            *df.columns,
+            *[F.col("_next")[c].alias(next_prefix + c) for c in columns],
+            *([F.col("_group_head")[c].alias(first_prefix + c) for c in columns] if first_prefix else []),
+        )
     inside, _ = _windows(group, order)
     rows = df.withColumn("_chunk", chunk).withColumn("_row", F.struct(*columns))
     heads = rows.groupBy(*group, "_chunk").agg(F.min_by("_row", F.struct(*order)).alias("_head"))

@@ -1,20 +1,20 @@
 """Exact order statistics in bounded memory.
 
-A builtin exact ``percentile`` keeps every distinct value of a column in one buffer, so it is
-used only below a checked row count. Above it the wanted rank is bracketed by an approximate
-sketch (bounded size, merged map-side), the bracket's true ranks are counted, and the search
-repeats inside the bracket until what is left is small. Each round is one scan whose result is
-one row; nothing else reaches the driver.
+A builtin exact ``percentile`` keeps every distinct value of a column in one buffer, so it only
+sees a checked number of rows. Before that the wanted rank is narrowed down: each round counts the
+values of the current range in equal-width bins (a hash aggregate, merged map-side), finds the bin
+that holds the rank and continues with the true minimum and maximum of that bin. A round is one
+scan, and at most two rows per column reach the driver.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SMALL_ROWS = 1_000_000
-ACCURACY = 10_000
+SMALL_ROWS = 50_000
+BINS = 4096
 
 
 @dataclass(frozen=True)
@@ -42,83 +42,105 @@ def moments(df: DataFrame, exprs: dict[str, Column]) -> dict[str, Moments]:
     }
 
 
+@dataclass
+class _Search:
+    low: float        # the range that holds both ranks
+    high: float
+    below: int        # rows under it
+    inside: int       # rows in it
+    ranks: tuple[int, int]
+
+
 def medians(
-    df: DataFrame, exprs: dict[str, Column], counts: dict[str, int], small_rows: int = SMALL_ROWS, accuracy: int = ACCURACY
+    df: DataFrame, exprs: dict[str, Column], stats: dict[str, Moments], small_rows: int = SMALL_ROWS, bins: int = BINS
 ) -> dict[str, float | None]:
-    """Exact medians of several expressions; an even count averages the middle two.
-
-    ``counts`` holds the non-null count of each expression (see ``moments``).
-    """
-    out: dict[str, float | None] = {name: None for name in exprs}
-    small = {k: e for k, e in exprs.items() if 0 < counts[k] <= small_rows}
-    if small:
-        row = df.agg(*[F.percentile(e, F.lit(0.5)).alias(f"p{i}") for i, e in enumerate(small.values())]).first()
-        out.update({name: row[i] for i, name in enumerate(small)})
-    large = {k: e for k, e in exprs.items() if counts[k] > small_rows}
-    if large:
-        wanted = {k: ((counts[k] - 1) // 2, counts[k] // 2) for k in large}
-        found = _ranked(df, large, wanted, counts, small_rows, accuracy)
-        out.update({k: (found[k][0] + found[k][1]) / 2 for k in large})
+    """Exact medians of several expressions; an even count averages the middle two."""
+    out: dict[str, float | None] = dict.fromkeys(exprs)
+    open_ = {}
+    for k in exprs:
+        m = stats[k]
+        if m.count and m.low == m.high:
+            out[k] = float(m.low)
+        elif m.count:
+            open_[k] = _Search(float(m.low), float(m.high), 0, m.count, ((m.count - 1) // 2, m.count // 2))
+    names = {k: f"c{i}" for i, k in enumerate(open_)}
+    cells = df.select(*[exprs[k].alias(names[k]) for k in open_]) if open_ else df
+    while open_:
+        small = {k: s for k, s in open_.items() if s.inside <= small_rows}
+        if small:
+            found = _read_ranks(cells, names, small)
+        else:
+            found = _narrow(cells, names, open_, bins)
+        for k, pair in found.items():
+            out[k] = (pair[0] + pair[1]) / 2
+            del open_[k]
     return out
 
 
-def _ranked(df, exprs, wanted, counts, small_rows, accuracy):
-    """Values at two neighbouring 0-based ranks of each expression."""
-    names = {k: f"c{i}" for i, k in enumerate(exprs)}
-    df = df.select(*[e.alias(names[k]) for k, e in exprs.items()])
-    bounds: dict[str, tuple[float, float] | None] = dict.fromkeys(exprs)  # search range
-    below = dict.fromkeys(exprs, 0)  # rows under that range
-    inside = dict(counts)  # rows in it
-    slack = dict.fromkeys(exprs, 2.0 / accuracy)
-    result: dict[str, tuple[float, float]] = {}
-
-    def in_range(k: str, low_high) -> str:
-        if low_high is None:
-            return names[k]
-        low, high = low_high
-        return f"if({names[k]} between {low!r}D and {high!r}D, {names[k]}, null)"
-
-    while len(result) < len(exprs):
-        todo = [k for k in exprs if k not in result]
-        aggs = []
-        for k in todo:
-            lo, hi = (r - below[k] for r in wanted[k])
-            n, cell = inside[k], in_range(k, bounds[k])
-            if n <= small_rows:
-                aggs += [
-                    F.expr(f"percentile_disc({(r + 0.5) / n!r}D) within group (order by {cell})").alias(f"{side}_{names[k]}")
-                    for side, r in (("lo", lo), ("hi", hi))
-                ]
-            else:
-                cut = [max(0.0, lo / n - slack[k]), min(1.0, (hi + 1) / n + slack[k])]
-                aggs += [
-                    F.percentile_approx(F.expr(cell), c, accuracy).alias(f"{side}_{names[k]}")
-                    for side, c in zip(("lo", "hi"), cut)
-                ]
-        row = df.agg(*aggs).first()
-        found = {k: (row[f"lo_{names[k]}"], row[f"hi_{names[k]}"]) for k in todo}
-        result.update({k: v for k, v in found.items() if inside[k] <= small_rows})
-        open_ = [k for k in todo if k not in result]
-        if not open_:
-            continue
-        aggs = []
-        for k in open_:
-            aggs += [
-                F.expr(f"count_if({names[k]} < {found[k][0]!r}D)").alias(f"b_{names[k]}"),
-                F.expr(f"count({in_range(k, found[k])})").alias(f"n_{names[k]}"),
-            ]
-        row = df.agg(*aggs).first()
-        for k in open_:
-            start, size = row[f"b_{names[k]}"], row[f"n_{names[k]}"]
-            if not (start <= wanted[k][0] and wanted[k][1] < start + size):
-                slack[k] *= 4  # the sketch missed the rank: look again with a wider bracket
-            elif found[k][0] == found[k][1]:
-                result[k] = found[k]
-            elif size >= inside[k]:
-                slack[k] /= 4
-            else:
-                bounds[k], below[k], inside[k] = found[k], start, size
-    return result
+def _read_ranks(cells: DataFrame, names: dict[str, str], searches: dict[str, _Search]) -> dict[str, tuple[float, float]]:
+    """Values at the two ranks, straight from the few rows left in each range."""
+    aggs = []
+    for k, s in searches.items():
+        cell = f"if({names[k]} between {s.low!r}D and {s.high!r}D, {names[k]}, null)"
+        for side, rank in zip(("lo", "hi"), s.ranks):
+            share = (rank - s.below + 0.5) / s.inside
+            aggs.append(F.expr(f"percentile_disc({share!r}D) within group (order by {cell})").alias(f"{side}_{names[k]}"))
+    row = cells.agg(*aggs).first()
+    return {k: (row[f"lo_{names[k]}"], row[f"hi_{names[k]}"]) for k in searches}
+
+
+def _narrow(cells: DataFrame, names: dict[str, str], searches: dict[str, _Search], bins: int) -> dict[str, tuple[float, float]]:
+    """One histogram round; returns finished ranks and tightens the other searches in place."""
+    structs = []
+    for k, s in searches.items():
+        c = F.col(names[k])
+        share = (c - F.lit(s.low)) / F.lit(s.high - s.low)
+        at = F.when((c >= s.low) & (c <= s.high), F.least(F.lit(bins - 1), F.floor(share * bins)).cast("int"))
+        structs.append(F.struct(F.lit(k).alias("k"), c.alias("v"), at.alias("bin")))
+    long = cells.select(F.inline(F.array(*structs))).filter("bin is not null")
+    filled = long.groupBy("k", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    upto = F.sum("n").over(W.partitionBy("k").orderBy("bin"))  # at most ``bins`` rows per column
+    placed = filled.withColumn("end", upto)
+    want = F.lit(False)
+    for k, s in searches.items():
+        for rank in s.ranks:
+            r = rank - s.below
+            want = want | ((F.col("k") == k) & (F.col("end") > r) & (F.col("end") - F.col("n") <= r))
+    hits: dict[str, list] = {}
+    for row in placed.filter(want).collect():
+        hits.setdefault(row["k"], []).append(row)
+    done = {}
+    for k, rows in hits.items():
+        s = searches[k]
+        rows.sort(key=lambda r: r["bin"])
+        first, last = rows[0], rows[-1]
+        if first["bin"] != last["bin"]:
+            done[k] = (first["hi"], last["lo"])  # the ranks part between two bins
+        elif first["lo"] == first["hi"]:
+            done[k] = (first["lo"], first["hi"])
+        else:
+            stuck = first["n"] == s.inside and (first["lo"], first["hi"]) == (s.low, s.high)
+            s.below += first["end"] - first["n"]
+            s.low, s.high, s.inside = first["lo"], first["hi"], first["n"]
+            if stuck:  # a range too wide to be cut evenly: halve it in log space
+                s.low, s.high, s.below, s.inside = _halve(cells, names[k], s)
+    return done
+
+
+def _halve(cells: DataFrame, name: str, s: _Search) -> tuple[float, float, int, int]:
+    c = F.col(name)
+    root = F.signum(c) * F.log1p(F.abs(c))
+    inside = (c >= s.low) & (c <= s.high)
+    middle = cells.filter(inside).agg((F.min(root) + F.max(root)) / 2).first()[0]
+    left = inside & (root <= middle)
+    row = cells.agg(
+        F.count_if(left), F.max(F.when(left, c)), F.min(F.when(inside & (root > middle), c))
+    ).first()
+    if s.ranks[1] - s.below < row[0] or row[2] is None:
+        return s.low, row[1], s.below, row[0]
+    if s.ranks[0] - s.below >= row[0]:
+        return row[2], s.high, s.below + row[0], s.inside - row[0]
+    return s.low, s.high, s.below, s.inside
 
 
 @dataclass(frozen=True)
@@ -129,21 +151,22 @@ class Robust:
 
 
 def robust_scales(
-    df: DataFrame, exprs: dict[str, Column], stats: dict[str, Moments], minimum: int, small_rows: int = SMALL_ROWS,
-    accuracy: int = ACCURACY,
+    df: DataFrame, exprs: dict[str, Column], stats: dict[str, Moments], minimum: int, small_rows: int = SMALL_ROWS
 ) -> dict[str, Robust | None]:
     """Median and robust sigma; None with fewer than ``minimum`` values or no spread at all."""
+    out: dict[str, Robust | None] = dict.fromkeys(exprs)
     usable = {k: e for k, e in exprs.items() if stats[k].count >= minimum}
-    if not usable:
-        return {k: None for k in exprs}
-    counts = {k: stats[k].count for k in usable}
-    mid = medians(df, usable, counts, small_rows, accuracy)
-    spread = medians(df, {k: F.abs(e - F.lit(mid[k])) for k, e in usable.items()}, counts, small_rows, accuracy)
-    out: dict[str, Robust | None] = {k: None for k in exprs}
+    middle = medians(df, usable, stats, small_rows)
+    away = {k: F.abs(e - F.lit(middle[k])) for k, e in usable.items()}
+    span = {
+        k: Moments(stats[k].rows, stats[k].count, 0.0, max(abs(stats[k].low - middle[k]), abs(stats[k].high - middle[k])), None, None)
+        for k in usable
+    }
+    spread = medians(df, away, span, small_rows)
     for k in usable:
         sigma, from_mad = 1.4826 * spread[k], True
         if sigma <= 1e-12:
             sigma, from_mad = stats[k].std or 0.0, False
         if sigma > 1e-12:
-            out[k] = Robust(mid[k], sigma, from_mad)
+            out[k] = Robust(middle[k], sigma, from_mad)
     return out

@@ -9,6 +9,7 @@ from terraloom import fixed_values as fv
 # what a decimal literal looks like: digits may be grouped by single underscores
 _DIGITS = r"\d+(?:_\d+)*"
 NUMBER_PATTERN = rf"(?i)^[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)$"
+PLAIN_NUMBER = r"^[+-]?[0-9]+(?:\.[0-9]+)?$"
 INTEGER_PATTERN = rf"^[+-]?{_DIGITS}$"
 SEMVER_PATTERN = r"(?i)^V(\d+)\.(\d+)\.(\d+)$"
 
@@ -30,11 +31,9 @@ def to_number(cell: Column, data_type: T.DataType | None = None) -> Column:
     """Cell -> double; null when it is not a number. Typed numeric columns are only widened."""
     if data_type is not None and is_number_type(data_type):
         return cell.cast("double")
-    return stripped_number(strip(cell))
-
-
-def stripped_number(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER_PATTERN), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    text = strip(cell)
+    full = F.when(text.rlike(NUMBER_PATTERN), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    return F.when(cell.rlike(PLAIN_NUMBER), cell.try_cast("double")).otherwise(full)  # the common form first
 
 
 def finite(number: Column) -> Column:
@@ -43,11 +42,9 @@ def finite(number: Column) -> Column:
 
 def is_null_word(cell: Column, policy: str = "value") -> Column:
     """Null test under one of the four vocabularies; a float NaN is missing only for templates."""
-    words = fv.NULL_WORDS[policy]
-    text = strip(cell)
-    if policy != "profile":
-        text = F.lower(text)
-    return cell.isNull() | text.isin(*words)
+    words = "|".join(w for w in fv.NULL_WORDS[policy] if w)
+    blank = r"[\s\x1c-\x1f]*"
+    return cell.isNull() | cell.cast("string").rlike(rf"(?iU)^{blank}(?:{words}){blank}$" if words else rf"(?U)^{blank}$")
 
 
 def has_value(cell: Column, data_type: T.DataType | None = None) -> Column:
@@ -83,7 +80,7 @@ def auto_number(cell: Column) -> Column:
 
 def staged(df: DataFrame, cell: str) -> DataFrame:
     """Add ``_t`` (trimmed text) and ``_n`` (its number) once, for rules that use them several times."""
-    return df.withColumn("_t", strip(F.col(cell))).withColumn("_n", stripped_number(F.col("_t")))
+    return df.withColumn("_t", strip(F.col(cell))).withColumn("_n", to_number(F.col(cell)))
 
 
 def canonical_of(text: Column, number: Column) -> Column:

@@ -17,6 +17,7 @@ from terraloom.functions.units import UnitRule, header_unit_rules
 from terraloom.functions.values import q
 from terraloom.operators.dedup import keep_first, key_columns
 from terraloom.operators.profiling import modes, numbers
+from terraloom.session import cut_lineage
 
 MAX_CLIP_ROUNDS = 20
 
@@ -50,7 +51,8 @@ def plan_cleaning(
 ) -> CleaningPlan:
     columns = [c for c in df.columns if c != order_by]
     plan = CleaningPlan(columns, keys=key_columns(df.drop(order_by), duplicate_keys))
-    rows = keep_first(df, plan.keys, [order_by]) if deduplicate else df
+    # several statistics follow, so the duplicate search is done once
+    rows = cut_lineage(keep_first(df, plan.keys, [order_by])) if deduplicate else df
     plan.deduplicated = rows
     plan.rows_in = df.count()
     types = V.column_types(df)
@@ -70,7 +72,8 @@ def plan_cleaning(
     if fill_strategy.lower() not in fv.NO_FILL:
         holes = [c for c in columns if 0 < facts[c][0] < row["rows"]]
         numeric = [c for c in holes if facts[c][1] / facts[c][0] >= 0.8]
-        middle = S.medians(rows, {c: nums[c] for c in numeric}, {c: facts[c][2] for c in numeric}, small_rows)
+        chosen = {c: nums[c] for c in numeric}
+        middle = S.medians(rows, chosen, S.moments(rows, chosen), small_rows) if numeric else {}
         plan.fills.update({c: ("median", middle[c]) for c in numeric if middle[c] is not None})
         texts = [c for c in holes if c not in numeric]
         if texts:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from terraloom import fixed_values as fv
 from terraloom.functions import vectors as G
-from terraloom.functions.ordering import cyclic_lead, id_chunk
+from terraloom.functions.ordering import cyclic_lead, id_chunk, largest_group
 from terraloom.operators.dedup import keep_first
 from terraloom.session import cut_lineage
 
@@ -42,9 +42,12 @@ def face_edges(faces: DataFrame) -> DataFrame:
     return faces.select("model_id", "fid", F.inline(edges))
 
 
-def corner_edges(corners: DataFrame) -> DataFrame:
-    """Directed edges of corner rows; the last corner of a face leads back to its first."""
-    led = cyclic_lead(corners, ["model_id", "fid"], id_chunk("pos", FACE_CHUNK_BITS), ["pos"], ["vid"])
+def corner_edges(corners: DataFrame, largest: int | None = None) -> DataFrame:
+    """Directed edges of corner rows; the last corner of a face leads back to its first.
+
+    ``largest`` is the corner count of the biggest face, where known (see ``ordering``).
+    """
+    led = cyclic_lead(corners, ["model_id", "fid"], id_chunk("pos", FACE_CHUNK_BITS), ["pos"], ["vid"], largest=largest)
     return led.select("model_id", "fid", F.col("vid").alias("a"), F.col("next_vid").alias("b"))
 
 
@@ -106,10 +109,10 @@ def place_corners(corners: DataFrame, vertices: DataFrame) -> DataFrame:
     return corners.join(vertices.select("model_id", "vid", "x", "y", "z"), ["model_id", "vid"])
 
 
-def face_areas(corners: DataFrame, vertices: DataFrame) -> DataFrame:
+def face_areas(corners: DataFrame, vertices: DataFrame, largest: int | None = None) -> DataFrame:
     """Fan area of every face from its first corner."""
     placed = place_corners(corners, vertices)
-    led = cyclic_lead(placed, ["model_id", "fid"], id_chunk("pos", FACE_CHUNK_BITS), ["pos"], ["pos", "x", "y", "z"], "n_", "o_")
+    led = cyclic_lead(placed, ["model_id", "fid"], id_chunk("pos", FACE_CHUNK_BITS), ["pos"], ["pos", "x", "y", "z"], "n_", "o_", largest)
     pick = lambda prefix: {k: F.col(prefix + k) for k in "xyz"}
     area = F.when((F.col("pos") > F.col("o_pos")) & (F.col("n_pos") > F.col("pos")), G.triangle_area(pick("o_"), pick(""), pick("n_")))
     return led.groupBy("model_id", "fid").agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("area"))
@@ -290,7 +293,9 @@ def keep_attributes(df: DataFrame, rule: str = "all") -> DataFrame:
 # --- slices -------------------------------------------------------------------------------
 
 
-def slice_points(corners: DataFrame, vertices: DataFrame, plane: str, positions: DataFrame | float) -> DataFrame:
+def slice_points(
+    corners: DataFrame, vertices: DataFrame, plane: str, positions: DataFrame | float, largest: int | None = None
+) -> DataFrame:
     """Distinct points where face edges meet the plane: (model_id, u, v).
 
     ``positions`` is one number or a frame (model_id, position). An edge lying in the plane gives
@@ -298,7 +303,7 @@ def slice_points(corners: DataFrame, vertices: DataFrame, plane: str, positions:
     """
     axis, eps = G.PLANE_AXIS[plane], 1e-9
     placed = place_corners(valid_refs(corners, vertices), vertices)
-    led = cyclic_lead(placed, ["model_id", "fid"], id_chunk("pos", FACE_CHUNK_BITS), ["pos"], ["x", "y", "z"], "n_")
+    led = cyclic_lead(placed, ["model_id", "fid"], id_chunk("pos", FACE_CHUNK_BITS), ["pos"], ["x", "y", "z"], "n_", largest=largest)
     if isinstance(positions, DataFrame):
         led = led.join(positions.select("model_id", F.col("position").cast("double").alias("position")), "model_id")
     else:
@@ -328,9 +333,10 @@ def slice_outline(points: DataFrame, keys: Sequence[str] = ("model_id",)) -> Dat
     keys = list(keys)
     points = cut_lineage(points)  # a section is small next to its mesh, and is read twice
     centre = points.groupBy(*keys).agg(F.avg("u").alias("cu"), F.avg("v").alias("cv"))
+    largest = largest_group(points, keys)
     turned = points.join(centre, keys).withColumn("angle", F.atan2(F.col("v") - F.col("cv"), F.col("u") - F.col("cu"))).drop("cu", "cv")
     sector = F.floor((F.col("angle") + math.pi) / (2 * math.pi) * SECTORS).cast("bigint")
-    return cyclic_lead(turned, keys, sector, ["angle", "u", "v"], ["u", "v"])
+    return cyclic_lead(turned, keys, sector, ["angle", "u", "v"], ["u", "v"], largest=largest)
 
 
 def slice_profile(points: DataFrame, keys: Sequence[str] = ("model_id",)) -> DataFrame:

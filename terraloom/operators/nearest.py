@@ -36,7 +36,8 @@ def nearest_distances(targets: DataFrame, references: DataFrame, group: Sequence
     cube = F.greatest(*[F.col(f"hi{a}") - F.col(f"lo{a}") for a in AXES])
     boxes = boxes.withColumn("size", F.when(cube > 0, cube).otherwise(1.0))
     top = (1 << (BITS * MAX_LEVELS)) - 1
-    quant = {f"q{a}": F.least(F.lit(top), F.floor((F.col(a) - F.col(f"lo{a}")) / F.col("size") * F.lit(float(top)))).cast("bigint") for a in AXES}
+    share = lambda a: (F.col(a) - F.col(f"lo{a}")) / F.col("size")
+    quant = {f"q{a}": F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share(a))) * F.lit(float(top))).cast("bigint") for a in AXES}
     refs = cut_lineage(refs.join(boxes, g).withColumns(quant).select(*g, *AXES, *quant))  # every level reads it
 
     depth = 1
@@ -46,9 +47,12 @@ def nearest_distances(targets: DataFrame, references: DataFrame, group: Sequence
             break
         depth += 1
 
-    walk = targets.select(*g, *AXES).distinct().join(
-        boxes.select(*g), g, "left_semi"
-    ).withColumns({f"c{a}": F.lit(0).cast("bigint") for a in AXES}).withColumn("best", F.lit(float("inf")))
+    # a first bound: one reference from the target's own leaf cube, if it has any
+    at_home = refs.groupBy(*g, *_cell(depth)).agg(F.min(F.struct(*AXES)).alias("rep"))
+    walk = targets.select(*g, *AXES).distinct().join(boxes, g).withColumns(quant).select(*g, *AXES, *_cell(depth))
+    walk = walk.join(at_home, [*g, "cx", "cy", "cz"], "left")
+    home = F.coalesce(_norm([F.col(a) - F.col(f"rep.{a}") for a in AXES]), F.lit(float("inf")))
+    walk = walk.select(*g, *AXES, *[F.lit(0).cast("bigint").alias(f"c{a}") for a in AXES], home.alias("best"))
     own = [*g, *AXES]
     for level in range(1, depth + 1):
         cells = refs.groupBy(*g, *_cell(level)).agg(
@@ -62,7 +66,9 @@ def nearest_distances(targets: DataFrame, references: DataFrame, group: Sequence
         step = parents.join(children, [*g, "px", "py", "pz"])
         near = _norm([F.col(a) - F.col(f"rep.{a}") for a in AXES])
         gap = _norm([F.greatest(F.lit(0.0), F.col(f"lo{a}") - F.col(a), F.col(a) - F.col(f"hi{a}")) for a in AXES])
-        step = step.select(*own, *[F.col(f"k{a}").alias(f"c{a}") for a in AXES], F.least("best", near).alias("up"), gap.alias("low"))
+        step = step.filter(gap <= F.col("best")).select(  # most cubes fall out before the shuffle
+            *own, *[F.col(f"k{a}").alias(f"c{a}") for a in AXES], F.least("best", near).alias("up"), gap.alias("low")
+        )
         best = F.min("up").over(W.partitionBy(*own))
         walk = step.withColumn("best", best).filter(F.col("low") <= F.col("best")).select(*own, "cx", "cy", "cz", "best")
     leaves = refs.select(*g, *[F.col(a).alias(f"r{a}") for a in AXES], *_cell(depth))

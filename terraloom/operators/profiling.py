@@ -78,14 +78,14 @@ def samples(df: DataFrame, columns: Sequence[str], order_by: str, k: int = 5) ->
 
 def profile_fields(
     df: DataFrame, columns: Sequence[str] | None = None, sigma: float = 3.0, order_by: str | None = None,
-    small_rows: int = S.SMALL_ROWS, accuracy: int = S.ACCURACY,
+    small_rows: int = S.SMALL_ROWS,
 ) -> DataFrame:
     """One row per field with 14 statistics (15 with samples, which need ``order_by``)."""
     columns = list(columns or df.columns)
     types = V.column_types(df)
     nums = numbers(df, columns)
     known = S.moments(df, nums)
-    scales = S.robust_scales(df, nums, known, 3, small_rows, accuracy)
+    scales = S.robust_scales(df, nums, known, 3, small_rows)
     aggs = [F.count(F.lit(1)).alias("total")]
     for i, c in enumerate(columns):
         aggs += [
