@@ -44,7 +44,7 @@ def is_null_word(cell: Column, policy: str = "value") -> Column:
     """Null test under one of the four vocabularies; a float NaN is missing only for templates."""
     words = "|".join(w for w in fv.NULL_WORDS[policy] if w)
     blank = r"[\s\x1c-\x1f]*"
-    return cell.isNull() | cell.cast("string").rlike(rf"(?iU)^{blank}(?:{words}){blank}$" if words else rf"(?U)^{blank}$")
+    return cell.isNull() | cell.cast("string").rlike(rf"(?iU)^{blank}(?:{words})?{blank}$" if words else rf"(?U)^{blank}$")
 
 
 def has_value(cell: Column, data_type: T.DataType | None = None) -> Column:

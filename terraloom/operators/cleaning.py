@@ -144,16 +144,18 @@ def _robust_bounds(rows, plan, columns, sigma, small_rows):
         known = S.moments(rows, active)
         scales = S.robust_scales(rows, active, known, 5, small_rows)
         following = {}
-        for c, current in active.items():
+        for c in active:
             s = scales[c]
             if s is None:
                 continue
             low, high = s.median - sigma * s.sigma, s.median + sigma * s.sigma
             if known[c].low >= low and known[c].high <= high:
                 continue
+            if c in bounds:  # clipping twice is clipping once to the common range
+                low, high = max(low, bounds[c][0]), min(high, bounds[c][1])
             bounds[c] = (low, high)
             if not (s.from_mad and sigma * 1.4826 >= 2):
-                following[c] = F.when(current.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), current)))
+                following[c] = F.when(base[c].isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), base[c])))
         active = following
     return {plan.final_name(c): b for c, b in bounds.items()}
 
