@@ -29,13 +29,15 @@ class Moments:
 
 def moments(df: DataFrame, exprs: dict[str, Column]) -> dict[str, Moments]:
     """Count, min, max, mean and population deviation of several expressions in one scan."""
+    cells = df.select(*[e.alias(f"c{i}") for i, e in enumerate(exprs.values())])  # each expression is computed once
     aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, e in enumerate(exprs.values()):
+    for i in range(len(exprs)):
+        e = F.col(f"c{i}")
         aggs += [
             F.count(e).alias(f"n{i}"), F.min(e).alias(f"lo{i}"), F.max(e).alias(f"hi{i}"),
             F.avg(e).alias(f"m{i}"), F.stddev_pop(e).alias(f"s{i}"),
         ]
-    row = df.agg(*aggs).first()
+    row = cells.agg(*aggs).first()
     return {
         name: Moments(row["rows"], row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], row[f"m{i}"], row[f"s{i}"])
         for i, name in enumerate(exprs)

@@ -60,13 +60,16 @@ def plan_cleaning(
     present = {c: V.has_value(q(c), types[c]) for c in columns}
 
     # shares and moments, one scan
+    staged = rows.select(
+        *[present[c].alias(f"h{i}") for i, c in enumerate(columns)], *[V.to_number(q(c), types[c]).alias(f"v{i}") for i, c in enumerate(columns)]
+    )
     aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(columns):
-        readable = V.to_number(q(c), types[c]).isNotNull() & present[c]
-        aggs += [F.count_if(present[c]).alias(f"p{i}"), F.count_if(readable).alias(f"r{i}"), F.count(nums[c]).alias(f"n{i}")]
-    row = rows.agg(*aggs).first()
+    for i in range(len(columns)):
+        h, v = F.col(f"h{i}"), F.col(f"v{i}")
+        aggs += [F.count_if(h).alias(f"p{i}"), F.count_if(h & v.isNotNull()).alias(f"r{i}")]
+    row = staged.agg(*aggs).first()
     plan.rows_out = row["rows"]
-    facts = {c: (row[f"p{i}"], row[f"r{i}"], row[f"n{i}"]) for i, c in enumerate(columns)}
+    facts = {c: (row[f"p{i}"], row[f"r{i}"]) for i, c in enumerate(columns)}
 
     # fills
     if fill_strategy.lower() not in fv.NO_FILL:

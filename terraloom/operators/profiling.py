@@ -86,17 +86,17 @@ def profile_fields(
     nums = numbers(df, columns)
     known = S.moments(df, nums)
     scales = S.robust_scales(df, nums, known, 3, small_rows)
+    staged = df.select(
+        *[is_blank(df, c).alias(f"b{i}") for i, c in enumerate(columns)],
+        *[V.to_number(q(c), types[c]).alias(f"n{i}") for i, c in enumerate(columns)],
+    )
     aggs = [F.count(F.lit(1)).alias("total")]
     for i, c in enumerate(columns):
-        aggs += [
-            F.count_if(is_blank(df, c)).alias(f"missing{i}"),
-            F.count(V.to_number(q(c), types[c])).alias(f"numeric{i}"),
-        ]
-        s = scales[c]
-        outlier = F.abs(nums[c] - F.lit(s.median)) > F.lit(sigma * s.sigma) if s else F.lit(False)
-        aggs.append(F.count_if(outlier).alias(f"outlier{i}"))
+        n, s = F.col(f"n{i}"), scales[c]
+        outlier = V.finite(n) & (F.abs(n - F.lit(s.median)) > F.lit(sigma * s.sigma)) if s else F.lit(False)
+        aggs += [F.count_if(f"b{i}").alias(f"missing{i}"), F.count(n).alias(f"numeric{i}"), F.count_if(outlier).alias(f"outlier{i}")]
     counts = to_long(
-        df.agg(*aggs), columns,
+        staged.agg(*aggs), columns,
         {"total": "total", "missing": "missing{i}", "numeric_count": "numeric{i}", "outlier_count": "outlier{i}"},
     )
     distinct = value_frequencies(df, columns).groupBy("field").agg(

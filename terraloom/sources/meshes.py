@@ -215,7 +215,7 @@ def read_ifc(spark: SparkSession, path) -> DataFrame:
         "file", "line_no", "text", F.nullif(F.regexp_extract("text", entity, 1), F.lit("")).alias("entity_id"),
         F.nullif(F.regexp_extract("text", entity, 2), F.lit("")).alias("entity_type"), product.alias("is_product"),
         F.when(F.col("text").rlike(gid), F.regexp_extract("text", gid, 1)).alias("global_id"),
-        F.when(point != "", F.transform(F.split(point, ","), F.trim)).alias("point"),
+        F.when(point != "", F.transform(F.split(point, ","), lambda t: F.trim(t))).alias("point"),
     )
 
 

@@ -13,8 +13,8 @@ from terraloom.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests", "local[8]", **{
-            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false",
-            "spark.default.parallelism": "4",
+            "spark.sql.shuffle.partitions": "3", "spark.ui.enabled": "false", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false",
+            "spark.default.parallelism": "4", "spark.sql.codegen.wholeStage": "false",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

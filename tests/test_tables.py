@@ -118,7 +118,7 @@ def test_split_files_keep_line_numbers(spark, write):
 
 
 def test_coordinate_tables(spark):
-    df = frame(spark, [(2, "1", "2", "", "a"), (3, "x", "2", "3", "b")], "_row_id bigint, 东坐标 string, 北坐标 string, 高程 string, soil string")
+    df = frame(spark, [(2, "1", "2", "", "a"), (3, "x", "2", "3", "b")], "_row_id bigint, `东坐标` string, `北坐标` string, `高程` string, soil string")
     with pytest.raises(Exception, match="bad coordinate"):
         tables.table_points(df).collect()
     only = tables.table_points(df, "skip", aliases=fv.CONVERTER_AXES).collect()
