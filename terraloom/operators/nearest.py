@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from terraloom.functions.ordering import chunked_running_sum
+from terraloom.functions.skew import join_checked
 from terraloom.session import cut_lineage
 
 BITS = 2            # 4 x 4 x 4 children per cube
@@ -38,7 +40,8 @@ def nearest_distances(targets: DataFrame, references: DataFrame, group: Sequence
     top = (1 << (BITS * MAX_LEVELS)) - 1
     share = lambda a: (F.col(a) - F.col(f"lo{a}")) / F.col("size")
     quant = {f"q{a}": F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share(a))) * F.lit(float(top))).cast("bigint") for a in AXES}
-    refs = cut_lineage(refs.join(boxes, g).withColumns(quant).select(*g, *AXES, *quant))  # every level reads it
+    boxes = cut_lineage(boxes)
+    refs = cut_lineage(join_checked(refs, boxes, g).withColumns(quant).select(*g, *AXES, *quant))  # every level reads it
 
     depth = 1
     while depth < MAX_LEVELS:  # one number per level reaches the driver
@@ -49,7 +52,7 @@ def nearest_distances(targets: DataFrame, references: DataFrame, group: Sequence
 
     # a first bound: one reference from the target's own leaf cube, if it has any
     at_home = refs.groupBy(*g, *_cell(depth)).agg(F.min(F.struct(*AXES)).alias("rep"))
-    walk = targets.select(*g, *AXES).distinct().join(boxes, g).withColumns(quant).select(*g, *AXES, *_cell(depth))
+    walk = join_checked(targets.select(*g, *AXES).distinct(), boxes, g).withColumns(quant).select(*g, *AXES, *_cell(depth))
     walk = walk.join(at_home, [*g, "cx", "cy", "cz"], "left")
     home = F.coalesce(_norm([F.col(a) - F.col(f"rep.{a}") for a in AXES]), F.lit(float("inf")))
     walk = walk.select(*g, *AXES, *[F.lit(0).cast("bigint").alias(f"c{a}") for a in AXES], home.alias("best"))
@@ -87,15 +90,14 @@ def distance_summary(targets: DataFrame, distances: DataFrame, group: Sequence[s
     The p95 is read from a frequency table of distances whose running count is cut by value ranges,
     so a large pair is not sorted in one task.
     """
-    from terraloom.functions.ordering import chunked_running_sum
-
     g = list(group)
     weight = targets.groupBy(*g, *AXES).agg(F.count(F.lit(1)).alias("n"))
     counted = distances.join(weight, [*g, *AXES]).groupBy(*g, "distance").agg(F.sum("n").alias("n"))
+    counted = cut_lineage(counted)  # read for the totals and for the running count
     total = counted.groupBy(*g).agg(
         F.sum("n").alias("points"), F.sum(F.col("distance") * F.col("n")).alias("s"), F.max("distance").alias("max_distance")
     )
-    placed = counted.join(total.select(*g, "points", "max_distance"), g)
+    placed = join_checked(counted, total.select(*g, "points", "max_distance"), g)
     slot = F.coalesce(F.floor(F.try_divide(F.col("distance"), F.col("max_distance")) * 4096), F.lit(0)).cast("bigint")
     running = chunked_running_sum(placed, g, slot, ["distance"], F.col("n"), "cum")
     p95 = running.filter(F.col("cum") >= F.ceil(F.col("points") * 0.95)).groupBy(*g).agg(F.min("distance").alias("p95_distance"))
@@ -114,7 +116,7 @@ def strided_sample(points: DataFrame, group: Sequence[str], index: str, limit: i
     """
     g = list(group)
     if g:
-        counted = points.join(points.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")), g)
+        counted = join_checked(points, points.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")), g)
     else:
         counted = points.withColumn("_n", points.agg(F.count(F.lit(1))).scalar())
     step = F.col("_n") / F.lit(float(limit))

@@ -57,6 +57,26 @@ def value_frequencies(df: DataFrame, columns: Sequence[str], order_by: str | Non
     return long.groupBy("field", "value").agg(*aggs)
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(field, unique, duplicate_count). Numbers are grouped as numbers; only text cells are parsed."""
+    kinds = {"bigint": [], "double": [], "text": []}
+    for c in columns:
+        t = df.schema[c].dataType
+        kinds["bigint" if isinstance(t, T.IntegralType) else "double" if isinstance(t, (T.FloatType, T.DoubleType)) else "text"].append(c)
+    groups = []
+    for kind in ("bigint", "double"):
+        if kinds[kind]:
+            cells = [F.struct(F.lit(c).alias("field"), q(c).cast(kind).alias("value")) for c in kinds[kind]]
+            long = df.select(F.inline(F.array(*cells))).filter("value is not null")
+            groups.append(long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")).select("field", "n"))
+    if kinds["text"]:
+        groups.append(value_frequencies(df, kinds["text"]).select("field", "n"))
+    out = groups[0]
+    for g in groups[1:]:
+        out = out.unionByName(g)
+    return out.groupBy("field").agg(F.count(F.lit(1)).alias("unique"), F.sum(F.col("n") - 1).alias("duplicate_count"))
+
+
 def modes(df: DataFrame, columns: Sequence[str], order_by: str) -> DataFrame:
     """Most frequent value per field; a tie goes to the value seen first."""
     return (
@@ -99,9 +119,7 @@ def profile_fields(
         staged.agg(*aggs), columns,
         {"total": "total", "missing": "missing{i}", "numeric_count": "numeric{i}", "outlier_count": "outlier{i}"},
     )
-    distinct = value_frequencies(df, columns).groupBy("field").agg(
-        F.count(F.lit(1)).alias("unique"), F.sum(F.col("n") - 1).alias("duplicate_count")
-    )
+    distinct = distinct_counts(df, columns)
     facts = []
     for c in columns:
         m, unit = known[c], infer_unit(c)

@@ -53,24 +53,28 @@ def checksums(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     )
 
 
-def numbered_lines(spark: SparkSession, paths: Sequence[str] | str, line_sep: str | None = None, encoding: str | None = None) -> DataFrame:
+def numbered_lines(
+    spark: SparkSession, paths: Sequence[str] | str, line_sep: str | None = None, encoding: str | None = None, by_folder: bool = False
+) -> DataFrame:
     """file, line_no (from 1), value - for files of any size, split as usual.
 
     Inside one split of one file the scan's row ids are consecutive, so a line's number is the count
-    of lines in the file's earlier splits plus its offset from the split's first id.
+    of lines in earlier splits plus its offset from the split's first id. With ``by_folder`` the part
+    files of a folder, in name order, are one text and ``file`` is that folder.
     """
     reader = spark.read
     if line_sep:
         reader = reader.option("lineSep", line_sep)
     if encoding:
         reader = reader.option("encoding", encoding)
+    path = F.col("_metadata.file_path")
     base = reader.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("mid"), "value",
+        (F.regexp_replace(path, "/[^/]*$", "") if by_folder else path).alias("file"), path.alias("part"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), "value",
     )
-    blocks = base.groupBy("file", "block").agg(F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n"))
-    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select("file", "block", "first_mid", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    blocks = base.groupBy("file", "part", "block").agg(F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n"))
+    earlier = W.partitionBy("file").orderBy("part", "block").rowsBetween(W.unboundedPreceding, -1)  # one row per split
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     line_no = F.col("before") + F.col("mid") - F.col("first_mid") + 1
-    text = F.when(F.col("line_no") == 1, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value"))
-    return base.join(blocks, ["file", "block"]).withColumn("line_no", line_no).select("file", "line_no", text.alias("value"))
+    text = F.when(F.col("line_no") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    return base.join(blocks, ["file", "part", "block"]).withColumn("line_no", line_no).select("file", "line_no", text.alias("value"))

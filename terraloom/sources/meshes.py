@@ -45,9 +45,12 @@ def _complete(df: DataFrame) -> Column:
     return F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
 
 
-def read_obj(spark: SparkSession, path, bits: int = 20) -> Meshes:
-    """OBJ: v / f / l; indices count from 1, negative ones back from the vertices seen so far."""
-    words = numbered_lines(spark, path).select(F.col("file").alias("model_id"), "line_no", "value", _words(F.col("value")).alias("w"))
+def read_obj(spark: SparkSession, path, bits: int = 20, by_folder: bool = False) -> Meshes:
+    """OBJ: v / f / l; indices count from 1, negative ones back from the vertices seen so far.
+
+    ``by_folder`` reads the part files of an export as one model per folder.
+    """
+    words = numbered_lines(spark, path, by_folder=by_folder).select(F.col("file").alias("model_id"), "line_no", "value", _words(F.col("value")).alias("w"))
     tag = F.lower(F.get("w", 0))
     wide = F.size("w")
     rows = words.withColumn(
