@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import pivotal_mix
+from terraloom.llm import bpe_dp, pivotal_mix
 from terraloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,8 @@ def query(fn):
 def op5_pivotal_mix(spark, sf_dir):
     mixed = pivotal_mix.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+@query
+def op6_bpe_prefix_dp(spark, sf_dir):
+    return bpe_dp.digests(documents(spark, sf_dir))
