@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terraloom.session import checkpoint_folder
@@ -47,7 +48,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", rows: int = 51
         if not batch.num_rows:
             continue
         lengths = batch.column(batch.schema.get_field_index(text))
-        lengths = [0 if n is None else n for n in pa.compute.binary_length(lengths).to_pylist()]
+        lengths = [0 if n is None else n for n in pc.binary_length(lengths).to_pylist()]
         start = total = 0
         for i, n in enumerate(lengths):
             if i > start and (total + n > size or i - start >= rows):
