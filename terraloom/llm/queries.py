@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe_dp, pivotal_mix
+from terraloom.llm import bpe_dp, line_frequency, pivotal_mix
 from terraloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,8 @@ def op5_pivotal_mix(spark, sf_dir):
 @query
 def op6_bpe_prefix_dp(spark, sf_dir):
     return bpe_dp.digests(documents(spark, sf_dir))
+
+
+@query
+def op1_line_frequency(spark, sf_dir):
+    return line_frequency.judge(documents(spark, sf_dir))
