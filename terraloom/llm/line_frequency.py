@@ -26,8 +26,8 @@ from terraloom.session import cut_lineage
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
-MIN_DOCS = 100
-SHARE = 0.02
+MIN_DOCS = 20
+SHARE = 0.01
 MIN_LEFT_WORDS = 5
 MIN_LEFT_SHARE = 0.3
 SALTS = 16
