@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe_dp, line_frequency, pivotal_mix
+from terraloom.llm import bpe_dp, line_frequency, pivotal_mix, simhash_vp
 from terraloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,8 @@ def op6_bpe_prefix_dp(spark, sf_dir):
 @query
 def op1_line_frequency(spark, sf_dir):
     return line_frequency.judge(documents(spark, sf_dir))
+
+
+@query
+def op3_simhash_vp(spark, sf_dir):
+    return simhash_vp.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
