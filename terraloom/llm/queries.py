@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe_dp, line_frequency, pivotal_mix, simhash_vp
+from terraloom.llm import bpe_dp, line_frequency, pivotal_mix, simhash_vp, spotsigs
 from terraloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,8 @@ def op1_line_frequency(spark, sf_dir):
 @query
 def op3_simhash_vp(spark, sf_dir):
     return simhash_vp.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op2_spotsigs(spark, sf_dir):
+    return spotsigs.with_neighbours(documents(spark, sf_dir))
