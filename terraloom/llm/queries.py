@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe_dp, line_frequency, pivotal_mix, simhash_vp, spotsigs
+from terraloom.llm import bpe_dp, language_svm, line_frequency, pivotal_mix, simhash_vp, spotsigs
 from terraloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def op3_simhash_vp(spark, sf_dir):
 @query
 def op2_spotsigs(spark, sf_dir):
     return spotsigs.with_neighbours(documents(spark, sf_dir))
+
+
+@query
+def op4_language_svm(spark, sf_dir):
+    return language_svm.identify(documents(spark, sf_dir))
