@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe_dp, language_svm, line_frequency, pivotal_mix, simhash_vp, spotsigs, subword_quality
+from terraloom.llm import bpe_dp, language_svm, line_frequency, pivotal_mix, secret_forest, simhash_vp, spotsigs, subword_quality
 from terraloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def op4_language_svm(spark, sf_dir):
 @query
 def op8_subword_quality(spark, sf_dir):
     return subword_quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op7_secret_forest(spark, sf_dir):
+    return secret_forest.scan(documents(spark, sf_dir))
