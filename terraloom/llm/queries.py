@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe_dp, language_svm, line_frequency, pivotal_mix, secret_forest, simhash_vp, spotsigs, subword_quality
+from terraloom.llm import bpe_dp, language_svm, line_frequency, pivotal_mix, secret_forest, simhash_vp, spotsigs, subword_quality, suffix_dedup
 from terraloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def op8_subword_quality(spark, sf_dir):
 @query
 def op7_secret_forest(spark, sf_dir):
     return secret_forest.scan(documents(spark, sf_dir))
+
+
+@query
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(documents(spark, sf_dir))
