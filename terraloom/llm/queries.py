@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe_dp, language_svm, line_frequency, pivotal_mix, secret_forest, simhash_vp, spotsigs, subword_quality, suffix_dedup
+from terraloom.llm import bpe_dp, language_svm, license_minhash, line_frequency, pivotal_mix, secret_forest, simhash_vp, spotsigs, subword_quality, suffix_dedup
 from terraloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,11 @@ def op7_secret_forest(spark, sf_dir):
 @query
 def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digests(documents(spark, sf_dir))
+
+
+@query
+def op9_license_minhash(spark, sf_dir):
+    return license_minhash.scan(documents(spark, sf_dir))
+
+
+SQL["op9_license_minhash"] = license_minhash.oracle_sql()
