@@ -20,6 +20,7 @@ import json
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -179,18 +180,26 @@ def encoder(path: str) -> PrefixEncoder:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, token_ids, decoded): the ids of every whole text and the text that they give back."""
+    """(doc_id, source, n_tokens, token_ids, ids_sha256, decoded_sha256): the ids of every whole text and digests of both directions."""
     path = path or default_path()
 
     def run(batches):
         e = encoder(path)
         for b in slices(batches):
-            ids = [e.encode(t or "") for t in b.column("text").to_pylist()]
+            texts, ids, sums = b.column("text").to_pylist(), [], []
+            for text in texts:
+                joined, raw = e.coded(text or "")
+                ids.append(np.fromstring(joined, dtype=np.int32, sep=",") if joined else np.zeros(0, dtype=np.int32))
+                sums.append((hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest()))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([e.decode(i) for i in ids], pa.string())], ["doc_id", "token_ids", "decoded"]
+                [b.column("doc_id"), b.column("source"), pa.array([len(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))),
+                 pa.array([x[0] for x in sums]), pa.array([x[1] for x in sums])],
+                ["doc_id", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, token_ids array<int>, decoded string")
+    schema = "doc_id long, source string, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", "source", "text").mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

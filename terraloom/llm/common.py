@@ -34,6 +34,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+KEYS = ("_key1", "_key2")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Add a 128-bit key of doc_id, source and text; only repeated rows share it, and it is never null."""
+    return docs.withColumns({KEYS[0]: F.xxhash64("doc_id", "source", "text"), KEYS[1]: F.xxhash64("text", "doc_id", F.lit(1), "source")})
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write a frame as a compressed table in the shared checkpoint folder and read it back: it cuts the lineage."""
     spark = df.sparkSession

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from terraloom.llm.common import SpanHash, mixed, slices, utf8, word_bounds
+from terraloom.llm.common import KEYS, SpanHash, keyed, mixed, slices, utf8, word_bounds
 from terraloom.session import cut_lineage
 
 MIN_WORDS = 10
@@ -39,7 +39,7 @@ _DROPPED = bytes(b for b in range(128) if b != 10 and not chr(b).isalnum())
 _ONE_DIGIT = bytes(48 if 48 <= b <= 57 else b for b in range(256))
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-PROFILE = f"doc_id long, source string, {STATS}, mark1 long, mark2 long, lines array<struct<line: long, words: long>>"
+PROFILE = f"_key1 long, _key2 long, doc_id long, source string, {STATS}, mark1 long, mark2 long, lines array<struct<line: long, words: long>>"
 
 
 def repeated_words(words: np.ndarray) -> int:
@@ -111,11 +111,11 @@ def profiles(docs: DataFrame) -> DataFrame:
             flat = pa.StructArray.from_arrays([pa.array(np.concatenate([x[k] for x in columns[7]]), pa.int64()) for k in (0, 1)], ["line", "words"])
             lines = pa.ListArray.from_arrays(offsets, flat)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("source"), *[pa.array(c, pa.int64()) for c in columns[:7]], lines],
-                ["doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mark1", "mark2", "lines"],
+                [*[b.column(c) for c in (*KEYS, "doc_id", "source")], *[pa.array(c, pa.int64()) for c in columns[:7]], lines],
+                [*KEYS, "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mark1", "mark2", "lines"],
             )
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, PROFILE)
+    return keyed(docs.select("doc_id", "source", "text")).mapInArrow(run, PROFILE)
 
 
 def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, share: float) -> DataFrame:
@@ -134,10 +134,7 @@ def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, share: flo
     )
 
 
-def judge(
-    docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left_words: int = MIN_LEFT_WORDS, min_left_share: float = MIN_LEFT_SHARE,
-) -> DataFrame:
-    """A row per document: base statistics, ``base_failed``, ``n_removed_words``, ``n_removed_lines`` and ``kept``."""
+def _judged(docs: DataFrame, min_docs: int, share: float, min_left_words: int, min_left_share: float, keep_lines: bool = False) -> DataFrame:
     rows = cut_lineage(profiles(docs).withColumn("row", F.monotonically_increasing_id()))
     lines = rows.select("row", "source", "mark1", "mark2", F.explode("lines").alias("_l")).select("row", "source", "mark1", "mark2", "_l.line", "_l.words")
     hosts = rows.groupBy("source", "mark1").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("one").alias("host_docs"))
@@ -149,12 +146,51 @@ def judge(
         (F.col("row") % SALTS).cast("int").alias("_salt"),
     )
     gone = spread.join(salted, ["source_key", "no_source", "line", "_salt"]).groupBy("row").agg(
-        F.sum("words").alias("n_removed_words"), F.count(F.lit(1)).alias("n_removed_lines")
+        F.sum("words").alias("n_removed_words"), F.count(F.lit(1)).alias("n_removed_lines"), *([F.collect_list("line").alias("removed_lines")] if keep_lines else [])
     )
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     joined = rows.drop("lines", "mark1", "mark2").join(gone, "row", "left").fillna(0, ["n_removed_words", "n_removed_lines"])
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & ((left < min_left_words) | (left < min_left_share * F.col("n_words")))
-    return joined.withColumn("base_failed", base).withColumn("kept", ~base & ~depleted).select(
+    return joined.withColumn("base_failed", base).withColumn("kept", ~base & ~depleted)
+
+
+def judge(
+    docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left_words: int = MIN_LEFT_WORDS, min_left_share: float = MIN_LEFT_SHARE,
+) -> DataFrame:
+    """A row per document: base statistics, ``base_failed``, ``n_removed_words``, ``n_removed_lines`` and ``kept``."""
+    return _judged(docs, min_docs, share, min_left_words, min_left_share).select(
         "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", "n_removed_lines"
     )
+
+
+def without_lines(text: str, removed: set[int]) -> str:
+    plain = normalised(text)
+    first, last = _lines(plain)
+    hashes = SpanHash(plain)(first, last).astype(np.int64).tolist()
+    kept = [line for line, h, n in zip(text.split("\n"), hashes, (last - first).tolist(), strict=True) if not n or h not in removed]
+    return "\n".join(kept)
+
+
+def clean(
+    docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left_words: int = MIN_LEFT_WORDS, min_left_share: float = MIN_LEFT_SHARE,
+) -> DataFrame:
+    """The kept documents without their removed lines; all columns stay, ``n_chars`` follows the text."""
+    judged = _judged(docs, min_docs, share, min_left_words, min_left_share, keep_lines=True)
+    touched = judged.filter("not kept or n_removed_lines > 0").groupBy(*KEYS).agg(  # repeated rows have the same verdict
+        F.first("kept").alias("_kept"), F.first("removed_lines").alias("_removed")
+    )
+    names, schema = docs.columns, docs.schema
+    joined = keyed(docs).join(touched, list(KEYS), "left").filter("_kept is null or _kept").select(*[F.col(f"`{c}`") for c in names], "_removed")
+
+    def run(batches):
+        for b in slices(batches):
+            columns = {n: b.column(n) for n in names}
+            texts, removed = columns["text"].to_pylist(), b.column("_removed").to_pylist()
+            texts = [t if not r else without_lines(t, set(r)) for t, r in zip(texts, removed, strict=True)]
+            columns["text"] = pa.array(texts, b.schema.field("text").type)
+            if "n_chars" in names:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], b.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    return joined.mapInArrow(run, schema)

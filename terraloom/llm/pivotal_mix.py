@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from terraloom.llm.common import word_count
+from terraloom.llm.common import KEYS, keyed, word_count
 from terraloom.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -30,7 +30,7 @@ FAN_IN = 4096
 BROADCAST_SOURCES = 50_000  # narrow rows, counted before the broadcast
 NEAR_INTEGER = 1e-9
 
-ROWS = "doc_id long, source string, text_hash long, size long, source_size long, target double"
+ROWS = "_key1 long, _key2 long, doc_id long, source string, size long, source_size long, target double"
 STATE = ROWS + ", copies long, share double, chunk long"
 
 
@@ -90,7 +90,7 @@ def settle(size: np.ndarray, share: np.ndarray, draws: np.ndarray) -> np.ndarray
 
 def _settle_group(seed: int, level: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text_hash", "size"], kind="stable", na_position="last").reset_index(drop=True)
+        pdf = pdf.sort_values([*KEYS, "size"], kind="stable", na_position="last").reset_index(drop=True)
         source = pdf["source"].iloc[0]
         name = b"\0" if source is None or source is pd.NA or source != source else str(source).encode()
         rng = np.random.default_rng([seed, level, int(pdf["chunk"].iloc[0]), zlib.crc32(name)])
@@ -106,8 +106,8 @@ def _settle_group(seed: int, level: int, last: bool):
 def mix(
     docs: DataFrame, seed: int = 0, weights: Sequence[int] = WEIGHTS, most: int = MAX_COPIES, fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """One row per document: doc_id, source, text_hash, size, source_size, target, copies, taken."""
-    sized = cut_lineage(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count().alias("size")))
+    """One row per document: its key, doc_id, source, size, source_size, target, copies, taken."""
+    sized = cut_lineage(keyed(docs.select("doc_id", "source", "text")).select(*KEYS, "doc_id", "source", word_count().alias("size")))
     targets = cut_lineage(source_targets(sized, weights, most)).withColumnsRenamed({"source": "_source"})
     n_sources, most_docs = targets.agg(F.count(F.lit(1)), F.max("n_docs")).first()
     table = F.broadcast(targets) if n_sources <= BROADCAST_SOURCES else targets
@@ -115,8 +115,8 @@ def mix(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + NEAR_INTEGER)
     rows = rows.select(
-        "doc_id", "source", "text_hash", "size", "source_size", "target", whole.alias("copies"), F.greatest(rate - whole, F.lit(0.0)).alias("share"),
-        F.pmod(F.xxhash64("doc_id", "text_hash"), F.ceil(F.col("n_docs") / fan_in)).alias("chunk"),
+        *KEYS, "doc_id", "source", "size", "source_size", "target", whole.alias("copies"), F.greatest(rate - whole, F.lit(0.0)).alias("share"),
+        F.pmod(F.col(KEYS[0]), F.ceil(F.col("n_docs") / fan_in)).alias("chunk"),
     )
     chunks, level, done = -(-(most_docs or 0) // fan_in), 0, []
     while True:
@@ -132,20 +132,16 @@ def mix(
     for more in done[1:]:
         out = out.unionByName(more)
     return out.select(
-        "doc_id", "source", "text_hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        *KEYS, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with all its columns."""
-    counts = mix(docs, **options).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    counts = counts.select(*[F.col(c).alias(f"_k_{c}") for c in ("doc_id", "source", "text_hash")], "_copies", "_rows")
-    key = [F.col("doc_id"), F.col("source"), F.xxhash64("text")]
-    rows = docs.withColumn("_hash", key[2])
-    rows = rows.withColumn("_row", F.row_number().over(W.partitionBy("doc_id", "source", "_hash").orderBy(F.lit(0))))
-    joined = rows.join(
-        counts, F.col("doc_id").eqNullSafe(F.col("_k_doc_id")) & F.col("source").eqNullSafe(F.col("_k_source")) & (F.col("_hash") == F.col("_k_text_hash"))
-    )
+    counts = mix(docs, **options).groupBy(*KEYS).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    rows = keyed(docs).join(counts, list(KEYS))
+    rows = rows.withColumn("_row", F.row_number().over(W.partitionBy(*KEYS).orderBy(F.lit(0))))  # repeated rows share a key
     each = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_row") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    taken = joined.withColumn("_each", each.cast("int")).filter("_each > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*[taken[f"`{c}`"] for c in docs.columns])
+    taken = rows.withColumn("_each", each.cast("int")).filter("_each > 0")
+    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each"))))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,9 +24,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from terraloom.llm.common import slices, utf8, word_bounds
+from terraloom.llm.common import KEYS, keyed, slices, utf8, word_bounds
 from terraloom.session import cut_lineage
 
 RADIUS = 3
@@ -68,15 +68,15 @@ def fingerprint(text: str | None) -> int:
     return int(value)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and further long columns: fp holds the 64 bits as a signed number."""
 
     def run(batches):
         for b in slices(batches):
             values = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(c) for c in more], pa.array(values)], ["doc_id", *more, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", *more, "text").mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *more, "fp")))
 
 
 # --- trees ---------------------------------------------------------------------------------
@@ -216,12 +216,29 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _rooted(prints: DataFrame, **options) -> DataFrame:
+    """(fp, low, root): every distinct fingerprint with its smallest doc_id and the root of its component."""
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    nodes = components(links(distinct, distinct.count(), **options))
+    return distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, fp (signed), fingerprint (hex) and component_id, the smallest doc_id that it reaches."""
     prints = cut_lineage(fingerprints(docs))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    nodes = components(links(distinct, distinct.count(), **options))
-    rooted = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, **options)
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_print = cut_lineage(rooted.join(lows, "root").select("fp", "component_id"))
     return prints.join(by_print, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The documents that stay: of every component the one with the smallest doc_id, then the smallest key; all columns stay."""
+    prints = cut_lineage(fingerprints(keyed(docs), KEYS))
+    rooted = cut_lineage(_rooted(prints, **options))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEYS)
+    firsts = prints.groupBy("fp").agg(F.min(own).alias("first"))
+    chosen = firsts.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select(*[F.col("first")[k].alias(k) for k in KEYS])
+    rows = keyed(docs).join(chosen, list(KEYS))
+    one = rows.withColumn("_row", F.row_number().over(W.partitionBy(*KEYS).orderBy(F.lit(0))))  # repeated rows share a key
+    return one.filter("_row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
