@@ -42,6 +42,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({KEYS[0]: F.xxhash64("doc_id", "source", "text"), KEYS[1]: F.xxhash64("text", "doc_id", F.lit(1), "source")})
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """Whole rows as one struct ``_doc`` beside their key, so that no column of theirs clashes with an inner one."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key1, key2 = F.xxhash64("doc_id", "source", "text"), F.xxhash64("text", "doc_id", F.lit(1), "source")
+    return docs.select(F.struct(*columns).alias("_doc"), key1.alias(KEYS[0]), key2.alias(KEYS[1]))
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write a frame as a compressed table in the shared checkpoint folder and read it back: it cuts the lineage."""
     spark = df.sparkSession

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from terraloom.llm.common import KEYS, SpanHash, keyed, mixed, slices, utf8, word_bounds
+from terraloom.llm.common import KEYS, SpanHash, keyed, mixed, slices, utf8, word_bounds, wrapped
 from terraloom.session import cut_lineage
 
 MIN_WORDS = 10
@@ -180,13 +180,15 @@ def clean(
     touched = judged.filter("not kept or n_removed_lines > 0").groupBy(*KEYS).agg(  # repeated rows have the same verdict
         F.first("kept").alias("_kept"), F.first("removed_lines").alias("_removed")
     )
-    names, schema = docs.columns, docs.schema
-    joined = keyed(docs).join(touched, list(KEYS), "left").filter("_kept is null or _kept").select(*[F.col(f"`{c}`") for c in names], "_removed")
+    names, schema, removed_name = docs.columns, docs.schema, "_removed"
+    while removed_name in names:
+        removed_name += "_"
+    joined = wrapped(docs).join(touched, list(KEYS), "left").filter("_kept is null or _kept").select("_doc.*", F.col("_removed").alias(removed_name))
 
     def run(batches):
         for b in slices(batches):
             columns = {n: b.column(n) for n in names}
-            texts, removed = columns["text"].to_pylist(), b.column("_removed").to_pylist()
+            texts, removed = columns["text"].to_pylist(), b.column(removed_name).to_pylist()
             texts = [t if not r else without_lines(t, set(r)) for t, r in zip(texts, removed, strict=True)]
             columns["text"] = pa.array(texts, b.schema.field("text").type)
             if "n_chars" in names:

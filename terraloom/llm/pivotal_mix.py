@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from terraloom.llm.common import KEYS, keyed, word_count
+from terraloom.llm.common import KEYS, keyed, word_count, wrapped
 from terraloom.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -139,9 +139,8 @@ def mix(
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with all its columns."""
     counts = mix(docs, **options).groupBy(*KEYS).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    rows = keyed(docs).join(counts, list(KEYS))
+    rows = wrapped(docs).join(counts, list(KEYS))
     rows = rows.withColumn("_row", F.row_number().over(W.partitionBy(*KEYS).orderBy(F.lit(0))))  # repeated rows share a key
     each = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_row") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
     taken = rows.withColumn("_each", each.cast("int")).filter("_each > 0")
-    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_each")))).select("_doc.*")

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from terraloom.llm.common import KEYS, keyed, slices, utf8, word_bounds
+from terraloom.llm.common import KEYS, keyed, slices, utf8, word_bounds, wrapped
 from terraloom.session import cut_lineage
 
 RADIUS = 3
@@ -234,11 +234,11 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay: of every component the one with the smallest doc_id, then the smallest key; all columns stay."""
-    prints = cut_lineage(fingerprints(keyed(docs), KEYS))
+    prints = cut_lineage(fingerprints(keyed(docs.select("doc_id", "source", "text")), KEYS))
     rooted = cut_lineage(_rooted(prints, **options))
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEYS)
     firsts = prints.groupBy("fp").agg(F.min(own).alias("first"))
     chosen = firsts.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select(*[F.col("first")[k].alias(k) for k in KEYS])
-    rows = keyed(docs).join(chosen, list(KEYS))
+    rows = wrapped(docs).join(chosen, list(KEYS))
     one = rows.withColumn("_row", F.row_number().over(W.partitionBy(*KEYS).orderBy(F.lit(0))))  # repeated rows share a key
-    return one.filter("_row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return one.filter("_row = 1").select("_doc.*")
