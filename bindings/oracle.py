@@ -165,15 +165,20 @@ UNION ALL SELECT 'none', 'missing_required', count(*) FROM events WHERE props->>
 SQL["value_map_default"] = """
 SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'high' WHEN '5-LOW' THEN 'low' ELSE 'normal' END AS level, o_orderpriority, count(*) AS orders FROM orders GROUP BY 1, 2"""
 # base: points for project, source, format and rule categories
-SQL["template_recommend"] = """
-WITH h AS (SELECT lower(column_name) AS header FROM (DESCRIBE orders) UNION SELECT lower(column_name) FROM (DESCRIBE customer)),
+SQL["template_recommend"] = r"""
+WITH h AS (SELECT DISTINCT lower(unnest(json_keys(props))) AS header FROM events UNION SELECT DISTINCT lower(event_type) FROM events),
+u AS (SELECT DISTINCT upper(regexp_extract(regexp_replace(url, '[?#].*$', ''), '/[^/]+[.]([^./]+)$', 1)) AS format FROM pages),
 t(name, slot, header) AS (VALUES ('orders', 0, 'order id'), ('orders', 0, 'o_orderkey'), ('orders', 1, 'o_custkey'), ('orders', 2, 'o_totalprice'), ('orders', 3, 'o_orderstatus'),
   ('orders', 4, 'o_orderpriority'), ('orders', 5, 'nowhere'), ('orders light', 0, 'order id'), ('orders light', 0, 'o_orderkey'), ('orders light', 1, 'o_custkey'),
-  ('customers', 0, 'c_custkey'), ('customers', 1, 'c_name'), ('customers', 2, 'c_phone'), ('customers', 2, 'telephone')),
-f(name, base, rule_count) AS (VALUES ('orders', 35 + 25 + 10 + 4, 4), ('orders light', 12 + 25 + 0 + 1, 1), ('customers', 12 + 8 + 10 + 1, 1)),
+  ('customers', 0, 'c_custkey'), ('customers', 1, 'c_name'), ('customers', 2, 'c_phone'), ('customers', 2, 'telephone'),
+  ('events', 0, 'k'), ('events', 1, 'buy'), ('events', 1, 'purchase'), ('events', 2, 'signup'), ('events', 3, 'nothing')),
+f(name, base, rule_count) AS (VALUES ('orders', 35 + 25 + 4, 4), ('orders light', 12 + 25 + 1, 1), ('customers', 12 + 8 + 1, 1), ('events', 12 + 8 + 1, 1)),
+g(name, format) AS (VALUES ('orders', 'CSV'), ('orders', 'PARQUET'), ('orders light', 'PARQUET'), ('customers', 'CSV'), ('events', 'HTML'), ('events', 'CSV')),
+p AS (SELECT name, CASE WHEN count(u.format) > 0 THEN least(15, 5 + 5 * count(u.format)) ELSE 0 END AS points FROM g LEFT JOIN u USING (format) GROUP BY 1),
 c AS (SELECT name, count(DISTINCT slot) AS field_count, count(DISTINCT CASE WHEN h.header IS NOT NULL THEN slot END) AS fields_hit FROM t LEFT JOIN h USING (header) GROUP BY 1)
-SELECT name, rule_count, fields_hit, field_count::INTEGER AS field_count, round(fields_hit / field_count, 6) AS field_coverage, least(100, base + round_even(20 * fields_hit / field_count, 0))::INTEGER AS score
-FROM c JOIN f USING (name)"""
+SELECT name, rule_count, fields_hit, field_count::INTEGER AS field_count, round(fields_hit / field_count, 6) AS field_coverage,
+  least(100, base + points + round_even(20 * fields_hit / field_count, 0))::INTEGER AS score
+FROM c JOIN f USING (name) JOIN p USING (name)"""
 
 
 def _hints() -> str:

@@ -84,11 +84,14 @@ SELECT *, CASE WHEN score >= 95 THEN 'excellent' WHEN score >= 85 THEN 'good' WH
 SQL["normalise_table"] = _with_mapping("prefer_canonical", "override", """SELECT p_partkey, a.canonical AS p_name_canonical, a.project_code AS p_name_project_code, a.confidence AS p_name_confidence,
 b.canonical AS p_type_canonical, b.symbol AS p_type_target_code, b.matched_by AS p_type_matched_by
 FROM part JOIN m a ON a.field = 'p_name' AND a.raw = p_name JOIN m b ON b.field = 'p_type' AND b.raw = p_type""")
+SQL["normalise_table_hot"] = SQL["normalise_table"]
 SQL["infer_domains"] = f"""WITH {_TERMS.rstrip().rstrip(',')},
-s AS (SELECT * FROM part ORDER BY p_partkey LIMIT 30), v AS (SELECT 'p_name' AS field, p_name AS raw FROM s UNION ALL SELECT 'p_type', p_type FROM s UNION ALL SELECT 'p_brand', p_brand FROM s),
+w AS (SELECT 'p_name' AS field, p_name AS raw FROM part UNION ALL SELECT 'p_type', p_type FROM part UNION ALL SELECT 'p_brand', p_brand FROM part
+  UNION ALL SELECT 'event_type', event_type FROM events UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents),
+v AS (SELECT DISTINCT field, {_TOKEN} AS tok FROM w WHERE raw IS NOT NULL),
 sure AS (SELECT domain, tok FROM idx GROUP BY 1, 2 HAVING count(DISTINCT canonical) = 1),
-h AS (SELECT field, domain, count(*) AS hits FROM (SELECT *, {_TOKEN} AS tok FROM v) JOIN sure USING (tok) GROUP BY 1, 2)
-SELECT field, arg_max(domain, hits) AS domain, max(hits) AS hits, 30::BIGINT AS sampled FROM h GROUP BY 1 HAVING max(hits) >= 15"""
+h AS (SELECT field, domain, count(*) AS hits FROM v JOIN sure USING (tok) GROUP BY 1, 2), n AS (SELECT field, count(*) AS n FROM v GROUP BY 1)
+SELECT field, arg_max(domain, hits) AS domain, max(hits) AS hits, any_value(n) AS sampled FROM h JOIN n USING (field) GROUP BY 1 HAVING max(hits) >= greatest(2, any_value(n) // 2)"""
 _D = """d AS (SELECT p_type AS domain, p_name AS canonical, min(p_brand) AS brand, min(p_size) AS size FROM part GROUP BY 1, 2)"""
 SQL["dictionary_audit"] = f"""WITH {_D}, n AS (SELECT domain, replace(canonical, ' ', '') AS token, canonical FROM d UNION SELECT domain, 'size' || size, canonical FROM d),
 c AS (SELECT domain, lower(brand) AS token, canonical FROM d WHERE brand <> 'Brand#1')
@@ -256,13 +259,17 @@ SELECT l_suppkey, name, coalesce(b.value, '') AS before, coalesce(a.value, '') A
 FROM (FROM l WHERE l_returnflag = 'A') b FULL JOIN (FROM l WHERE l_returnflag = 'R') a USING (l_suppkey, name)"""
 SQL["version_lineage"] = f"""WITH {_VER} SELECT version_id, 'version ' || version_number || ' (' || version_id || ') | ' || CASE WHEN o_totalprice > 250000 THEN 'sources: f' || d || ' → ' ELSE '' END ||
   'params: price=' || floor(o_totalprice)::BIGINT || ', p' || d || '=1 → workflow: load → ' || CASE WHEN module_name <> 'P' THEN 'quality: ' || d || ' → ' ELSE '' END || 'outputs: out' || d AS trace_chain, 5::INTEGER AS phases FROM ver"""
-SQL["import_skip_duplicates"] = """WITH e AS (SELECT user_id, event_type, ts::DATE AS day, ts >= TIMESTAMP '2024-01-11' AS late FROM events)
-SELECT event_type, count(*) AS imported FROM (SELECT DISTINCT user_id, event_type, day FROM e WHERE late EXCEPT SELECT user_id, event_type, day FROM e WHERE NOT late) GROUP BY 1"""
-_ITEM = """b AS (SELECT user_id AS job_id, CASE WHEN event_type = 'error' AND (props->>'$.k')::INTEGER > 20 THEN 'failed' WHEN event_type = 'error' THEN 'skipped' ELSE 'success' END AS state,
-  CASE WHEN event_type = 'error' THEN (props->>'$.k')::INTEGER ELSE 0 END AS retries FROM events),
-j AS (SELECT job_id, count(*) AS total, count(*) FILTER (WHERE state = 'success') AS success, count(*) FILTER (WHERE state = 'failed') AS failed, count(*) FILTER (WHERE state = 'skipped') AS skipped,
-  0::BIGINT AS cancelled, sum(retries)::BIGINT AS retried FROM b GROUP BY 1),
-js AS (SELECT *, CASE WHEN failed = 0 AND skipped = 0 THEN 'completed' WHEN success > 0 THEN 'partial' ELSE 'failed' END AS status, 100.0::DOUBLE AS progress FROM j)"""
+SQL["import_skip_duplicates"] = """WITH e AS (SELECT user_id, event_type, ts::DATE AS day, event_id, ts >= TIMESTAMP '2024-01-11' AS late FROM events),
+f AS (SELECT user_id, event_type, day, min(event_id) AS event_id FROM e WHERE late GROUP BY ALL)
+SELECT event_type, count(*) AS imported, sum(event_id)::BIGINT AS ids FROM f ANTI JOIN (FROM e WHERE NOT late) USING (user_id, event_type, day) GROUP BY 1"""
+_ITEM = """b AS (SELECT user_id AS job_id, event_type, (props->>'$.k')::INTEGER AS k FROM events),
+i AS (SELECT job_id, CASE WHEN event_type = 'error' AND k > 80 THEN 'cancelled' WHEN event_type = 'error' AND k > 20 THEN 'failed' WHEN event_type = 'error' THEN 'skipped'
+  WHEN event_type = 'view' AND k < 10 THEN 'unselected' ELSE 'success' END AS state, CASE WHEN event_type = 'error' THEN k ELSE 0 END AS retries FROM b),
+j AS (SELECT job_id, count(*) AS total, count(*) FILTER (WHERE state = 'success') AS success, count(*) FILTER (WHERE state = 'failed') AS failed,
+  count(*) FILTER (WHERE state IN ('skipped', 'cancelled', 'unselected')) AS skipped, count(*) FILTER (WHERE state = 'cancelled') AS cancelled, sum(retries)::BIGINT AS retried,
+  count(*) FILTER (WHERE state = 'skipped') AS policy FROM i GROUP BY 1),
+js AS (SELECT job_id, total, success, failed, skipped, cancelled, retried, CASE WHEN cancelled > 0 AND failed > 0 THEN 'failed' WHEN failed = 0 AND policy + cancelled = 0 THEN 'completed'
+  WHEN success > 0 THEN 'partial' ELSE 'failed' END AS status, round((total - cancelled) / total * 100, 4)::DOUBLE AS progress FROM j)"""
 SQL["batch_status"] = f"WITH {_ITEM} SELECT * FROM js"
 SQL["batch_summary"] = f"""WITH {_ITEM} SELECT count(*) AS total_jobs, sum(total)::BIGINT AS total_files, sum(success)::BIGINT AS total_success, sum(failed)::BIGINT AS total_failed, sum(skipped)::BIGINT AS total_skipped,
   sum(retried)::BIGINT AS total_retried, round(sum(success) / (sum(success) + sum(failed)), 4) AS success_rate FROM js"""

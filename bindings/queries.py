@@ -307,16 +307,14 @@ def value_map_default(spark, sf):
     return table(spark, sf, "orders").groupBy(templates.map_value(F.col("o_orderpriority"), rule).alias("level"), "o_orderpriority").agg(F.count(F.lit(1)).alias("orders"))
 
 
-def _headers(spark, sf):
-    names = [(c,) for t in ("orders", "customer") for c in table(spark, sf, t).columns]
-    return spark.createDataFrame(names, "header string")
-
-
 @query
 def template_recommend(spark, sf):
-    """Template scores against the headers of orders and customer; formats come from their sources."""
-    formats = table(spark, sf, "orders").select(F.upper(F.lit("csv")).alias("format")).distinct()
-    scored = templates.recommend(templates.catalogue(spark, B.TEMPLATES), _headers(spark, sf), formats, "隧道工程", "钻孔数据")
+    """Template scores against what the data hold: keys and kinds of the events as headers, suffixes of the pages as formats."""
+    events = table(spark, sf, "events")
+    headers = events.select(F.explode(F.json_object_keys("props")).alias("header")).unionByName(events.select(F.col("event_type").alias("header"))).distinct()
+    suffix = V.file_suffix(V.file_name(F.regexp_replace("url", "[?#].*$", "")))
+    formats = table(spark, sf, "pages").select(F.upper(F.regexp_replace(suffix, "^[.]", "")).alias("format")).distinct()
+    scored = templates.recommend(templates.catalogue(spark, (*B.TEMPLATES, B.EVENT_TEMPLATE)), headers, formats, "隧道工程", "钻孔数据")
     return scored.select("name", "rule_count", "fields_hit", "field_count", F.round("field_coverage", 6).alias("field_coverage"), "score")
 
 
@@ -384,10 +382,23 @@ def normalise_table(spark, sf):
     return out.select("p_partkey", "p_name_canonical", "p_name_project_code", "p_name_confidence", "p_type_canonical", "p_type_target_code", "p_type_matched_by")
 
 
+@query
+def normalise_table_hot(spark, sf):
+    """The same with a low bar for frequent terms: those of p_type are broadcast, those of p_name shuffle."""
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    mapping = semantic.map_columns(part, {"p_name": B.ROCK, "p_type": B.STRATA}, B.dictionary(spark), policy="override", target_system="SYMBOL")
+    out = semantic.normalise_table(part, mapping, ["p_name", "p_type"], "SYMBOL", hot_share=10)
+    out = out.withColumn("p_name_confidence", F.round("p_name_confidence", 4))
+    return out.select("p_partkey", "p_name_canonical", "p_name_project_code", "p_name_confidence", "p_type_canonical", "p_type_target_code", "p_type_matched_by")
+
+
 @query
 def infer_domains(spark, sf):
     index = semantic.term_index(B.dictionary(spark))
-    return semantic.infer_domains(table(spark, sf, "part"), ["p_name", "p_type", "p_brand"], index, "p_partkey")
+    out = semantic.infer_domains(table(spark, sf, "part"), ["p_name", "p_type", "p_brand"], index)
+    for name, columns in (("events", ["event_type"]), ("documents", ["lang", "source"])):
+        out = out.unionByName(semantic.infer_domains(table(spark, sf, name), columns, index))
+    return out
 
 
 @query
@@ -679,7 +690,7 @@ def _borehole_tables(spark, sf):
 
 @query
 def nested_borehole(spark, sf):
-    docs = borehole.nest_documents(*_borehole_tables(spark, sf))
+    docs = borehole.nest_documents(*_borehole_tables(spark, sf), part_layers=100_000)
     return docs.select(
         "BH_ID", "part", F.size("lithology").alias("layers"), F.array_join(F.transform("lithology", lambda l: F.substring(l["name"], 1, 1)), "").alias("stack"),
         F.col("groundwater.water_level").alias("water_level"), F.col("groundwater.type").alias("water_type"), F.col("engineering.UCS").alias("ucs"),
@@ -769,14 +780,16 @@ def version_lineage(spark, sf):
 
 @query
 def import_skip_duplicates(spark, sf):
-    events = table(spark, sf, "events").select("user_id", "event_type", F.to_date("ts").alias("day"), (F.col("ts") >= F.lit("2024-01-11").cast("timestamp_ntz")).alias("late"))
+    events = table(spark, sf, "events").select("user_id", "event_type", F.to_date("ts").alias("day"), "event_id", (F.col("ts") >= F.lit("2024-01-11").cast("timestamp_ntz")).alias("late"))
     keys = ["user_id", "event_type", "day"]
-    return versions.skip_registered(events.filter("late"), events.filter("not late"), keys).groupBy("event_type").agg(F.count(F.lit(1)).alias("imported"))
+    return versions.skip_registered(events.filter("late"), events.filter("not late"), keys, ["event_id"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("imported"), F.sum("event_id").alias("ids"))
 
 
 def _batch_items(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
-    state = F.when((F.col("event_type") == "error") & (k > 20), "failed").when(F.col("event_type") == "error", "skipped").otherwise("success")
+    error = F.col("event_type") == "error"
+    state = F.when(error & (k > 80), "cancelled").when(error & (k > 20), "failed").when(error, "skipped")
+    state = state.when((F.col("event_type") == "view") & (k < 10), "unselected").otherwise("success")
     return table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("file_id"), state.alias("state"), F.when(F.col("event_type") == "error", k).otherwise(0).alias("retries"))
 
 

@@ -125,6 +125,10 @@ CUSTOMER_TEMPLATE = RuleTemplate(
 )
 ORDER_COPY = RuleTemplate(name="orders light", field_mappings=ORDER_TEMPLATE.field_mappings[:2], input_formats=["PARQUET"], data_source="钻孔数据")
 TEMPLATES = (ORDER_TEMPLATE, CUSTOMER_TEMPLATE, ORDER_COPY)
+EVENT_TEMPLATE = RuleTemplate(
+    name="events", input_formats=["HTML", "CSV"],
+    field_mappings=[FieldMapping("k", "key"), FieldMapping("buy", "sale", aliases=["Purchase"]), FieldMapping("signup", "signup"), FieldMapping("nothing", "nothing")],
+)
 
 LINE_RULE = QualityRule(
     max_missing_ratio=0.1, required_fields=["l_orderkey", "l_shipdate"], unique_fields=["l_orderkey+l_linenumber"],

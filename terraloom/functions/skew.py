@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from terraloom.functions.values import q
 from terraloom.session import cut_lineage
 
 BROADCAST_ROWS = 200_000  # narrow rows: tens of megabytes at most
 HOT_SHARE = 20_000  # at most this many keys can each hold 1/HOT_SHARE of all rows
+SPREAD = 10_007
 
 
 def join_by_weight(
@@ -17,19 +19,20 @@ def join_by_weight(
 ) -> DataFrame:
     """Left join to a lookup whose ``weight`` column counts the rows of each key.
 
-    Keys with at least ``total_rows / hot_share`` rows go into a broadcast part, which by that
-    rule has at most ``hot_share`` entries; the remaining keys are light and take a shuffle join.
+    Keys with at least ``total_rows / hot_share`` rows are broadcast; by that rule there are at most ``hot_share`` of
+    them. Then the light keys are shuffled; rows that found a hot key are spread over many groups there, so no task gets
+    one key's rows. Both joins stand in one chain: ``rows`` are read once, however many lookups follow each other.
     """
-    limit = max(1, total_rows // hot_share)
-    if total_rows <= 100 * hot_share:  # small input: a plain join, sized by AQE
-        return rows.join(lookup.drop(weight), list(on), "left")
-    hot = lookup.filter(F.col(weight) >= limit).drop(weight)
-    light = lookup.filter(F.col(weight) < limit).drop(weight)
-    keys = hot.select(*on).withColumn("_hot", F.lit(True))
-    marked = rows.join(F.broadcast(keys), list(on), "left")
-    with_hot = marked.filter(F.col("_hot").isNotNull()).drop("_hot").join(F.broadcast(hot), list(on), "left")
-    with_light = marked.filter(F.col("_hot").isNull()).drop("_hot").join(light, list(on), "left")
-    return with_hot.unionByName(with_light)
+    limit = max(1, -(-total_rows // hot_share))
+    own = [c for c in lookup.columns if c not in (*on, weight)]
+    entry = F.struct(*[q(c) for c in own])
+    hot = lookup.filter(F.col(weight) >= limit).select(*on, entry.alias("_hot"))
+    light = lookup.filter(F.col(weight) < limit).select(*on, F.lit(-1).alias("_spread"), entry.alias("_light"))
+    hashed = [q(f.name) for f in rows.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    marked = rows.join(F.broadcast(hot), list(on), "left")
+    spread = F.when(F.col("_hot").isNull(), -1).otherwise(F.pmod(F.xxhash64(*hashed), F.lit(SPREAD)).cast("int"))
+    found = marked.withColumn("_spread", spread).join(light, [*on, "_spread"], "left").withColumn("_entry", F.coalesce("_hot", "_light"))
+    return found.select(*[q(c) for c in rows.columns], *[F.col("_entry")[c].alias(c) for c in own])
 
 
 def join_checked(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -40,10 +43,3 @@ def join_checked(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str
     """
     ready = cut_lineage(lookup)
     return rows.join(F.broadcast(ready) if ready.count() <= limit else ready, list(on), how)
-
-
-def salted_lookup(rows: DataFrame, lookup: DataFrame, on: Sequence[str], salt: Column, parts: int) -> DataFrame:
-    """Inner join to a small-per-key lookup with the row side spread over ``parts`` copies of each key."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return left.join(right, [*on, "_salt"]).drop("_salt")

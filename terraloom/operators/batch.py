@@ -1,6 +1,6 @@
 """State of batch runs: item states, job status, retries, logs and summaries.
 
-Items: job_id, file_id, state (success / failed / skipped / cancelled), retries, error.
+Items: job_id, file_id, state (success / failed / skipped / cancelled / unselected), retries, error.
 """
 
 from __future__ import annotations
@@ -15,19 +15,26 @@ from terraloom.session import cut_lineage
 
 
 def job_status(items: DataFrame) -> DataFrame:
-    """Counts and status per job: completed without failures, partial with some success, else failed."""
+    """Counts and status per job: completed if nothing failed or was left out, partial with some success, else failed.
+
+    Items never selected count as skipped but do not touch the status; cancelled ones count as skipped and do.
+    """
     n = lambda s: F.count_if(F.col("state") == s)
     out = items.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("total"), n("success").alias("success"), n("failed").alias("failed"), n("skipped").alias("skipped"),
-        n("cancelled").alias("cancelled"), F.coalesce(F.sum("retries"), F.lit(0)).alias("retried"),
+        F.count(F.lit(1)).alias("total"), n("success").alias("success"), n("failed").alias("failed"), n("skipped").alias("_skipped"),
+        n("cancelled").alias("cancelled"), n("unselected").alias("_unselected"), F.coalesce(F.sum("retries"), F.lit(0)).alias("retried"),
     )
     status = (
         F.when((F.col("cancelled") > 0) & (F.col("failed") > 0), "failed")
-        .when((F.col("failed") == 0) & (F.col("skipped") == 0), "completed")
+        .when((F.col("failed") == 0) & (F.col("_skipped") + F.col("cancelled") == 0), "completed")
         .when(F.col("success") > 0, "partial").otherwise("failed")
     )
     done = F.col("total") - F.col("cancelled")
-    return out.withColumn("status", status).withColumn("progress", F.round(F.try_divide(done, F.col("total")) * 100, 4))
+    skipped = F.col("_skipped") + F.col("_unselected") + F.col("cancelled")
+    return out.select(
+        "job_id", "total", "success", "failed", skipped.alias("skipped"), "cancelled", "retried", status.alias("status"),
+        F.round(F.try_divide(done, F.col("total")) * 100, 4).alias("progress"),
+    )
 
 
 def batch_summary(jobs: DataFrame) -> DataFrame:
@@ -68,14 +75,16 @@ def run_with_retry(
     """Run ``attempt(items, number)`` and again on what failed with a retryable error.
 
     ``attempt`` returns (key, ok BOOLEAN, error). One Spark job per round over the failed subset;
-    results are cut from their lineage, so a round is not repeated. Strategies: retry, skip, abort.
+    results are cut from their lineage, so a round is not repeated. Strategies: retry, skip, abort. Every key
+    comes back once; a negative number of retries means none.
     """
+    rounds = max(0, max_retries)
     open_, finished = items.select(key).distinct(), None
-    for number in range(max(0, min(20, max_retries)) + 1):
+    for number in range(rounds + 1):
         tried = cut_lineage(attempt(open_, number).withColumn("retries", F.lit(number)))
         state = F.when(F.col("ok"), "success").otherwise("skipped" if strategy == "skip" else "failed")
         tried = tried.withColumn("state", state).withColumn("again", ~F.col("ok") & V.is_retryable(F.coalesce("error", F.lit(""))))
-        last = number == max_retries or strategy != "retry"
+        last = number == rounds or strategy != "retry"
         done = tried if last else tried.filter("not again")
         result = done.select(key, "state", "retries", "error")
         finished = result if finished is None else finished.unionByName(result)

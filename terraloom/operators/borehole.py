@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from terraloom.functions.ordering import chunked_index, id_chunk
 
-PART_LAYERS = 100_000
 
-
-def layer_array(layers: DataFrame, key: str, row_id: str, fields: dict[str, Column], part_layers: int = PART_LAYERS) -> DataFrame:
+def layer_array(layers: DataFrame, key: str, row_id: str, fields: dict[str, Column], part_layers: int) -> DataFrame:
     """(key, part, layers ARRAY): all layers in input order, cut into parts of bounded length."""
     ranked = chunked_index(layers, [key], id_chunk(row_id), [row_id], "_nth")
     packed = ranked.select(
@@ -26,13 +24,13 @@ def first_match(rows: DataFrame, key: str, row_id: str, fields: dict[str, Column
 
 
 def nest_documents(
-    boreholes: DataFrame, layers: DataFrame, groundwater: DataFrame, engineering: DataFrame, key: str = "BH_ID",
-    row_id: str = "_row_id", part_layers: int = PART_LAYERS,
+    boreholes: DataFrame, layers: DataFrame, groundwater: DataFrame, engineering: DataFrame, part_layers: int,
+    key: str = "BH_ID", row_id: str = "_row_id",
 ) -> DataFrame:
     """One document per borehole: location, all layers in order, first groundwater and engineering rows.
 
-    A borehole with more than ``part_layers`` layers gives several rows numbered by ``part``, so that
-    no single row holds an unbounded array; the others give exactly one row with part 0.
+    The caller states how many layers one row may hold: layers stand in rows numbered by ``part``, so that
+    no single row holds an unbounded array; a borehole with fewer gives one row with part 0.
     """
     d = lambda c: F.col(c).cast("double")
     optional = lambda df, c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from terraloom import fixed_values as fv
 from terraloom.functions import scoring, values as V
-from terraloom.functions.skew import join_by_weight
+from terraloom.functions.skew import HOT_SHARE, join_by_weight
 from terraloom.functions.values import q
 from terraloom.session import cut_lineage
 
@@ -381,12 +381,23 @@ def not_null_term(token: Column) -> Column:
     return ~token.isin(*fv.NULL_WORDS["semantic"])
 
 
-def infer_domains(df: DataFrame, columns: Sequence[str], index: DataFrame, order_by: str, rows: int = 100, values: int = 30) -> DataFrame:
-    """Domain of each column from its first values: the best domain needs max(2, n div 2) sure hits."""
-    head = df.select(q(order_by).alias("row"), *[q(c).cast("string").alias(c) for c in columns]).orderBy("row").limit(rows)
-    cells = head.select("row", F.inline(F.array(*[F.struct(F.lit(c).alias("field"), V.strip(q(c)).alias("raw")) for c in columns])))
-    good = with_token(cells.filter("raw is not null"), "raw").filter(not_null_term(F.col("token")))
-    sample = good.withColumn("rn", F.row_number().over(W.partitionBy("field").orderBy("row"))).filter(F.col("rn") <= values)
+def infer_domains(
+    df: DataFrame, columns: Sequence[str], index: DataFrame, order_by: str | None = None, rows: int | None = None, values: int | None = None
+) -> DataFrame:
+    """Domain of each column from its distinct terms: the best domain needs max(2, n div 2) sure hits.
+
+    With ``rows`` and ``values`` only the first values of the first rows by ``order_by`` are looked at, repeats counted.
+    """
+    cell = lambda c: F.struct(F.lit(c).alias("field"), V.strip(q(c).cast("string")).alias("raw"))
+    if rows is None:
+        long = df.select(F.inline(F.array(*[cell(c) for c in columns]))).filter("raw is not null").distinct()
+        sample = with_token(long, "raw").filter(not_null_term(F.col("token"))).select("field", "token").distinct()
+    else:
+        head = df.select(q(order_by).alias("row"), *[q(c) for c in columns]).orderBy("row").limit(rows)
+        cells = with_token(head.select("row", F.inline(F.array(*[cell(c) for c in columns]))).filter("raw is not null"), "raw")
+        nth = F.row_number().over(W.partitionBy("field").orderBy("row"))
+        sample = cells.filter(not_null_term(F.col("token"))).withColumn("rn", nth).filter(F.col("rn") <= (values or rows))
+    sample = cut_lineage(sample)
     sure = index.join(sample.select("token").distinct(), "token", "left_semi")
     sure = _lookup(sure).filter(F.size("found") == 1)  # an ambiguous token is never sure
     hits = sample.join(sure.select("domain", "token"), "token").groupBy("field", "domain").agg(F.count(F.lit(1)).alias("hits"))
@@ -420,13 +431,14 @@ def map_columns(
 
 
 def normalise_table(
-    df: DataFrame, mappings: DataFrame, fields: Sequence[str], target_system: str = "PROJECT", labels: bool = False
+    df: DataFrame, mappings: DataFrame, fields: Sequence[str], target_system: str = "PROJECT", labels: bool = False, hot_share: int = HOT_SHARE
 ) -> DataFrame:
     """Add seven columns per semantic field by joining the mapping table back.
 
-    Frequent terms are split off and broadcast, the others shuffle (see ``join_by_weight``).
+    Frequent terms are broadcast, the others shuffle (see ``join_by_weight``); the mapping is computed once and ``df`` read once.
     """
-    total = df.count()
+    mappings = cut_lineage(mappings)
+    total = mappings.groupBy("field").agg(F.sum("rows").alias("n")).agg(F.max("n")).first()[0] or 0
     out = df
     for f in fields:
         name = lambda part: f"{f}_{fv.MAPPED_COLUMN_LABELS[part] if labels else part}"
@@ -436,7 +448,7 @@ def normalise_table(
             F.col("target_code").alias(name("target_code")), F.lit(target_system).alias(name("code_system")),
             F.col("matched_by").alias(name("matched_by")), F.col("confidence").alias(name("confidence")),
         )
-        out = join_by_weight(out.withColumn("_key", V.strip(q(f))), lookup, ["_key"], "_weight", total).drop("_key")
+        out = join_by_weight(out.withColumn("_key", V.strip(q(f))), lookup, ["_key"], "_weight", total, hot_share).drop("_key")
     return out
 
 

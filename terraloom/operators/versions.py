@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from terraloom.functions import values as V
 from terraloom.functions.ordering import chunked_index, id_chunk, next_free_number
+from terraloom.operators.dedup import keep_first
 
 FILE_TYPE = "struct<name:string,path:string,format:string,role:string,size_bytes:bigint,exists:boolean>"
 STEP_TYPE = "struct<step:string,status:string,timestamp:string>"
@@ -201,9 +202,11 @@ def version_report(versions: DataFrame, current_number: str = "", keys: Sequence
 IMPORT_KEY = ("project_name", "module_name", "version_number", "created_at")
 
 
-def skip_registered(incoming: DataFrame, registered: DataFrame, keys: Sequence[str] = IMPORT_KEY) -> DataFrame:
-    """Incoming rows not registered yet, repeats inside the import dropped too (any one of them stays)."""
-    return incoming.dropDuplicates(list(keys)).join(registered.select(*keys).distinct(), list(keys), "left_anti")
+def skip_registered(
+    incoming: DataFrame, registered: DataFrame, keys: Sequence[str] = IMPORT_KEY, order_by: Sequence[str] = ("ordinal",)
+) -> DataFrame:
+    """Incoming rows not registered yet; of repeats inside the import the first by ``order_by`` stays."""
+    return keep_first(incoming, keys, order_by, trim=False).join(registered.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def with_file_facts(versions: DataFrame, files: DataFrame, column: str = "data_sources") -> DataFrame:

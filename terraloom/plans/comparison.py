@@ -59,11 +59,11 @@ def pair_slices(pairs: DataFrame, before: tuple[DataFrame, DataFrame], after: tu
 def difference_map(before: DataFrame, after: DataFrame, plane: str = "XY", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(points with distance and share of the diagonal, summary) per model_id present on both sides.
 
-    ``limit`` keeps the evenly spaced sample of dense vids (targets ``limit``, references at least 1000);
-    without it every point is compared.
+    ``limit`` keeps the evenly spaced sample of dense vids (targets ``limit``, at least 10; references at least
+    1000); without it every point is compared.
     """
     if limit is not None:
-        limit = max(10, min(int(limit), 5000))
+        limit = max(10, int(limit))
         references = nearest.strided_sample(before, ["model_id"], "vid", max(limit, 1000))
         targets = nearest.strided_sample(after, ["model_id"], "vid", limit)
     else:

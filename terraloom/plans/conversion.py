@@ -16,6 +16,9 @@ from terraloom.sources.meshes import Meshes
 TARGETS = tuple(f for formats in fv.PLATFORM_FORMATS.values() for f in formats)
 
 
+NO_PARSER = "no parser for this format"
+
+
 def normalise_target(name: str) -> str:
     """'GeoJSON / VTK' -> 'GEOJSON': aliases first, then the first known word."""
     raw = (name or "").strip().upper()
@@ -32,12 +35,11 @@ def platform_of(target: str) -> str:
 
 
 def conversion_plan(files: DataFrame, target: str) -> DataFrame:
-    """Per file: suffix, target, supported and a hint. Creates nothing."""
+    """Per file: suffix, target, supported and a message. Creates nothing."""
     wanted = normalise_target(target)
     suffix = V.file_suffix(F.col("path"))
     supported = suffix.isin(*fv.SOURCE_SUFFIXES)
-    hints = F.create_map(*[F.lit(x) for kv in fv.FORMAT_HINTS.items() for x in kv])
-    message = F.when(supported, "can be converted").otherwise(F.coalesce(F.try_element_at(hints, suffix), F.lit("no parser for this format")))
+    message = F.when(supported, "can be converted").otherwise(NO_PARSER)
     return files.select(
         "path", F.coalesce(F.nullif(suffix, F.lit("")), F.lit("unknown")).alias("source_format"), F.lit(wanted).alias("target_format"),
         F.lit(platform_of(wanted)).alias("target_platform"), supported.alias("supported"), message.alias("message"),
@@ -106,7 +108,7 @@ def read_models(spark: SparkSession, suffix: str, path) -> Meshes:
         vertices = points.select(F.lit(name).alias("model_id"), (F.col("row_id") - 2).alias("vid"), "x", "y", "z")
         props = points.select(F.lit(name).alias("model_id"), (F.col("row_id") - 2).alias("vid"), "props")
         return Meshes(vertices, spark.createDataFrame([], "model_id string, fid bigint, loop array<bigint>"), props=props)
-    raise ValueError(fv.FORMAT_HINTS.get(suffix, "no parser for this format"))
+    raise ValueError(NO_PARSER)
 
 
 def facts(models: Meshes) -> DataFrame:

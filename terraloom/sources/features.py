@@ -9,24 +9,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from terraloom.functions import vectors as G
 from terraloom.functions.ordering import chunked_index
+from terraloom.session import cut_lineage
 
-COLLECTION_DEPTH = 3
 _PARTS = "array<struct<part:int,ring:int,points:array<array<string>>>>"
 
 
 def geometries(records: DataFrame) -> DataFrame:
-    """file, ordinal, path, geom_type, coordinates (JSON text); collections opened up to three levels.
+    """file, ordinal, path, geom_type, coordinates (JSON text); collections are opened down to the last level.
 
-    Anything nested deeper keeps its type GeometryCollection and is found by ``too_deep``.
+    One round per level that occurs in the data; only the collections themselves go into the next round.
     """
     level = records.filter("geometry is not null").select("file", "ordinal", F.lit("").alias("path"), "geometry")
     done = None
-    for _ in range(COLLECTION_DEPTH + 1):
+    while True:
         kind = F.get_json_object("geometry", "$.type")
         flat = level.filter(F.coalesce(kind, F.lit("")) != "GeometryCollection")
         done = flat if done is None else done.unionByName(flat)
         inner = F.from_json("geometry", "struct<geometries:array<string>>")["geometries"]
-        deeper = level.filter(kind == "GeometryCollection")
+        deeper = cut_lineage(level.filter(kind == "GeometryCollection"))
+        if deeper.isEmpty():
+            break
         level = deeper.select("file", "ordinal", "path", F.posexplode(inner).alias("i", "geometry")).select(
             "file", "ordinal", F.concat("path", F.lit("/"), F.col("i").cast("string")).alias("path"), "geometry"
         )
@@ -36,11 +38,6 @@ def geometries(records: DataFrame) -> DataFrame:
     )
 
 
-def too_deep(records: DataFrame) -> DataFrame:
-    nested = "$" + ".geometries[*]" * (COLLECTION_DEPTH + 1)
-    return records.filter(F.get_json_object("geometry", nested).isNotNull()).select("file", "ordinal")
-
-
 def rings(geoms: DataFrame) -> DataFrame:
     """file, ordinal, path, geom_type, part, ring, points: every point list of every geometry."""
     c = F.col("coordinates")

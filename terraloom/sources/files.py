@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from terraloom import fixed_values as fv
 from terraloom.functions import values as V
+from terraloom.session import cut_lineage
 
 
 def with_file_facts(df: DataFrame) -> DataFrame:
@@ -29,11 +30,11 @@ def list_files(spark: SparkSession, roots: Sequence[str], pattern: str = "*", re
 
 def scan_directories(
     spark: SparkSession, roots: Sequence[str], patterns: Sequence[str] = ("*",), category: str = fv.ALL_CATEGORIES,
-    recursive: bool = True, max_files: int | None = 500,
+    recursive: bool = True, max_files: int | None = None,
 ) -> DataFrame:
-    """Files of the wanted category, each path once, ordered by (category, name, path) and then cut.
+    """Files of the wanted category, each path once, ordered by (category, name, path).
 
-    The cut comes after the total order, so it does not depend on how the folders are walked.
+    All files, unless ``max_files`` asks for the first ones; that cut comes after the total order.
     """
     pattern = patterns[0] if len(patterns) == 1 else "{" + ",".join(patterns) + "}"
     found = with_file_facts(list_files(spark, roots, pattern or "*", recursive)).dropDuplicates(["path"])
@@ -59,8 +60,9 @@ def numbered_lines(
     """file, line_no (from 1), value - for files of any size, split as usual.
 
     Inside one split of one file the scan's row ids are consecutive, so a line's number is the count
-    of lines in earlier splits plus its offset from the split's first id. With ``by_folder`` the part
-    files of a folder, in name order, are one text and ``file`` is that folder.
+    of lines in earlier splits plus its offset from the split's first id; both come from one checkpoint, so
+    nothing depends on two scans splitting alike. With ``by_folder`` the part files of a folder, by their
+    number and then their name, are one text and ``file`` is that folder.
     """
     reader = spark.read
     if line_sep:
@@ -68,12 +70,13 @@ def numbered_lines(
     if encoding:
         reader = reader.option("encoding", encoding)
     path = F.col("_metadata.file_path")
-    base = reader.text(paths).select(
+    base = cut_lineage(reader.text(paths).select(
         (F.regexp_replace(path, "/[^/]*$", "") if by_folder else path).alias("file"), path.alias("part"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), "value",
-    )
+    ))
     blocks = base.groupBy("file", "part", "block").agg(F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n"))
-    earlier = W.partitionBy("file").orderBy("part", "block").rowsBetween(W.unboundedPreceding, -1)  # one row per split
+    number = F.regexp_extract("part", r"/part-(\d+)[^/]*$", 1).try_cast("bigint")
+    earlier = W.partitionBy("file").orderBy(number, "part", "block").rowsBetween(W.unboundedPreceding, -1)  # one row per split
     blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     line_no = F.col("before") + F.col("mid") - F.col("first_mid") + 1
     text = F.when(F.col("line_no") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))

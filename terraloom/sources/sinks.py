@@ -139,8 +139,9 @@ def _stl_lines(vertices, faces, row):
         *[F.concat(F.lit("      vertex "), words(f"p_{c}")) for c in "abc"], F.lit("    endloop"), F.lit("  endfacet"),
     )
     names = faces.select("model_id").distinct()
-    facets = tri.select("model_id", F.lit(1).alias("section"), (F.col("fid") * (1 << 24) + F.col("part")).alias("facet"), F.posexplode(body).alias("i", "value"))
-    facets = facets.select("model_id", "section", (F.col("facet") * 8 + F.col("i")).cast("bigint").alias("ordinal"), "value")
+    facets = tri.select("model_id", F.lit(1).alias("section"), F.col("fid").alias("ordinal"), "part", F.posexplode(body).alias("i", "value"))
+    facets = facets.select("model_id", "section", F.col("ordinal").cast("bigint").alias("ordinal"), "value", "part", "i")
+    row = lambda df, section, ordinal, value, plain=row: plain(df, section, ordinal, value).withColumns({"part": F.lit(0).cast(tri.schema["part"].dataType), "i": F.lit(0)})
     name = F.regexp_replace("model_id", r"\s", "_")
     return (
         row(names, 0, F.lit(0), F.concat(F.lit("solid "), name)).unionByName(facets)
@@ -150,7 +151,8 @@ def _stl_lines(vertices, faces, row):
 
 def write_mesh_text(lines: DataFrame, path: str) -> None:
     """One folder per model; its part files in name order are the text. A large model spans several parts."""
-    ordered = lines.repartitionByRange("model_id", "section", "ordinal").sortWithinPartitions("model_id", "section", "ordinal")
+    order = ["model_id", "section", "ordinal", *[c for c in ("part", "i") if c in lines.columns]]
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.select("model_id", "value").write.mode("overwrite").partitionBy("model_id").text(path)
 
 

@@ -110,7 +110,7 @@ def test_template_application(spark):
 
 def test_template_catalogue(spark, write, folder):
     bad = T.RuleTemplate("", project_type="?", quality_check_rule=T.QualityRule(max_missing_ratio=2))
-    assert len(T.validate_template(bad)[0]) == 3
+    assert len(T.catalogue(spark, [bad]).first()["errors"]) == 3
     loaded = T.RuleTemplate.from_dict({**json.loads(POINTS.to_json()), "surprise": 1, "field_mappings": [{"source_field": "a", "target_field": "b", "odd": 2}]})
     assert loaded.field_mappings[0].target_field == "b"
     write("t/points.json", POINTS.to_json())
