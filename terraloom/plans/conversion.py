@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terraloom import fixed_values as fv
 from terraloom.functions import values as V
+from terraloom.functions.ordering import chunked_index, id_chunk
 from terraloom.operators import mesh
+from terraloom.session import cut_lineage
 from terraloom.sources import features, meshes, sinks, tables
 from terraloom.sources.meshes import Meshes
 
@@ -67,11 +69,12 @@ def content_flags(models: Meshes) -> DataFrame:
     flag = lambda df, name: df.select("model_id").distinct().withColumn(name, F.lit(True))
     out = ids.join(flag(models.faces, "has_faces"), "model_id", "left")
     out = out.join(flag(models.lines, "has_lines"), "model_id", "left") if models.lines is not None else out.withColumn("has_lines", F.lit(False))
-    if models.props is not None:
-        out = out.join(flag(models.props.filter(F.size(F.map_keys("props")) > 0), "vertex_props"), "model_id", "left")
-    else:
-        out = out.withColumn("vertex_props", F.lit(False))
-    return out.withColumn("face_props", F.lit(False)).na.fill(False)
+    for name, props in (("vertex_props", models.props), ("face_props", models.face_props)):
+        if props is not None:
+            out = out.join(flag(props.filter(F.size(F.map_keys("props")) > 0), name), "model_id", "left")
+        else:
+            out = out.withColumn(name, F.lit(False))
+    return out.na.fill(False)
 
 
 def validate(models: Meshes) -> DataFrame:
@@ -94,20 +97,19 @@ def read_models(spark: SparkSession, suffix: str, path) -> Meshes:
     if suffix in READERS:
         return READERS[suffix](spark, path)
     if suffix == ".stl":
-        return meshes.read_ascii_stl(spark, path)
+        return meshes.read_stl(spark, path)
     if suffix in (".geojson", ".json"):
-        vertices, corners, lines = features.model_tables(tables.read_json_records(spark, path))
-        return Meshes(vertices, mesh.loops_of(corners), mesh.loops_of(lines).withColumnsRenamed({"fid": "lid", "loop": "path"}))
+        vertices, corners, lines, props, face_props = features.model_tables(tables.read_json_records(spark, path))
+        lines = mesh.loops_of(lines).withColumnsRenamed({"fid": "lid", "loop": "path"})
+        return Meshes(vertices, mesh.loops_of(corners), lines, props=props, face_props=face_props)
     if suffix in (".csv", ".txt"):
         df = tables.read_delimited(spark, path, "\t" if suffix == ".txt" else ",", keep_file=True)
-        points = tables.table_points(df)
-        files = df.select(F.col(tables.ROW_ID).alias("row_id"), F.col(tables.FILE).alias("model_id"))
-        if files.select("model_id").distinct().count() > 1:
-            raise ValueError("read coordinate tables one file at a time")
-        name = files.first()["model_id"]
-        vertices = points.select(F.lit(name).alias("model_id"), (F.col("row_id") - 2).alias("vid"), "x", "y", "z")
-        props = points.select(F.lit(name).alias("model_id"), (F.col("row_id") - 2).alias("vid"), "props")
-        return Meshes(vertices, spark.createDataFrame([], "model_id string, fid bigint, loop array<bigint>"), props=props)
+        points = tables.table_points(df, keep=(tables.FILE,)).withColumnRenamed(tables.FILE, "model_id")
+        points = cut_lineage(chunked_index(points, ["model_id"], id_chunk("row_id"), ["row_id"], "vid"))
+        return Meshes(
+            points.select("model_id", "vid", "x", "y", "z"), spark.createDataFrame([], "model_id string, fid bigint, loop array<bigint>"),
+            props=points.select("model_id", "vid", "props"),
+        )
     raise ValueError(NO_PARSER)
 
 
@@ -151,25 +153,25 @@ def convert(
     problems = validate(models).groupBy("model_id").agg(F.min("problem").alias("message"))
     good = lambda df: df.join(problems.select("model_id"), "model_id", "left_anti") if df is not None else None
     vertices, offsets = mesh.shift_coordinates(good(models.vertices), coordinate_rule)
-    faces, lines, props = good(models.faces), good(models.lines), good(models.props)
+    faces, lines, props, face_props = good(models.faces), good(models.lines), good(models.props), good(models.face_props)
     if wanted in ("STL", "IFC"):
         flat = vertices.select("model_id").distinct().join(faces.select("model_id").distinct(), "model_id", "left_anti")
         problems = problems.unionByName(flat.withColumn("message", F.lit(f"{wanted} needs faces")))
     if wanted == "IFC":
         raise ValueError("IFC export is not part of this library")
-    if props is not None:
-        props = mesh.keep_attributes(props, attribute_rule)
+    props, face_props = (mesh.keep_attributes(p, attribute_rule) if p is not None else None for p in (props, face_props))
     if wanted == "CSV":
-        sinks.write_table(sinks.vertex_table(vertices), out_dir, "csv", ["model_id"])
+        names = [] if props is None else [r[0] for r in props.select(F.explode(F.map_keys("props"))).distinct().orderBy("col").collect()]  # the columns to write
+        sinks.write_table(sinks.vertex_table(vertices, props, names), out_dir, "csv", ["model_id"])
     elif wanted == "GEOJSON":
         line_corners = mesh.corners_of(lines.withColumnsRenamed({"lid": "fid", "path": "loop"})) if lines is not None else None
-        out = sinks.feature_lines(vertices, mesh.corners_of(faces), line_corners, vertex_props=props)
+        out = sinks.feature_lines(vertices, mesh.corners_of(faces), line_corners, face_props=face_props, vertex_props=props)
         sinks.write_mesh_text(out.withColumn("section", F.lit(0)), out_dir)
     else:
         sinks.write_mesh_text(sinks.mesh_lines(vertices, faces, wanted, lines), out_dir)
-    if props is not None:
-        sinks.attribute_sidecar(props, None).write.mode("overwrite").parquet(out_dir.rstrip("/") + "_attributes")
-    losses = information_losses(content_flags(Meshes(vertices, faces, lines, props)), wanted).groupBy("model_id").agg(F.count(F.lit(1)).alias("losses"))
+    if props is not None or face_props is not None:
+        sinks.attribute_sidecar(props, face_props).write.mode("overwrite").parquet(out_dir.rstrip("/") + "_attributes")
+    losses = information_losses(content_flags(Meshes(vertices, faces, lines, props, face_props=face_props)), wanted).groupBy("model_id").agg(F.count(F.lit(1)).alias("losses"))
     every = models.vertices.select("model_id").unionByName(models.faces.select("model_id")).distinct()
     status = every.join(problems, "model_id", "left").join(losses, "model_id", "left").select(
         "model_id", F.when(F.col("message").isNull(), "success").otherwise("failed").alias("state"), F.coalesce("message", F.lit("converted")).alias("message"),

@@ -77,11 +77,12 @@ def ring_checks(ring_rows: DataFrame) -> DataFrame:
     )
 
 
-def model_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vertices, corners, line corners) of GeoJSON files, one model per file.
+def model_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(vertices, corners, line corners, vertex props, face props) of GeoJSON files, one model per file.
 
     Outer rings only, the closing vertex dropped, equal positions share one vertex numbered by first
-    appearance, missing z = 0.
+    appearance, missing z = 0. A polygon's properties go to its faces, a point's to its vertex; where several points share
+    a vertex the last one decides each key.
     """
     ring_rows = rings(geometries(records)).withColumnRenamed("file", "model_id")
     polygon = F.col("geom_type").isin("Polygon", "MultiPolygon")
@@ -103,7 +104,14 @@ def model_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         ids = chunked_index(sizes, ["model_id"], F.shiftright(F.col("shape.ordinal"), 12), ["shape"], "fid").select("model_id", "shape", "fid")
         return keyed.join(ids, ["model_id", "shape"]).select("model_id", "fid", "pos", "vid", F.col("shape.ordinal").alias("ordinal"))
 
-    return vertices, loops(hit.filter(polygon), 3), loops(hit.filter(F.col("geom_type").isin("LineString", "MultiLineString")), 2)
+    own = records.filter(F.size(F.map_keys("props")) > 0).select(F.col("file").alias("model_id"), "ordinal", "props")
+    corners = loops(hit.filter(polygon), 3)
+    points = hit.filter(F.col("geom_type").isin("Point", "MultiPoint")).select("model_id", "vid", "ordinal", place.alias("place"))
+    entries = points.join(own, ["model_id", "ordinal"]).select("model_id", "vid", "place", F.explode("props").alias("key", "value"))
+    last = entries.groupBy("model_id", "vid", "key").agg(F.max_by(F.struct("key", "value"), "place").alias("e"))
+    vertex_props = last.groupBy("model_id", "vid").agg(F.map_from_entries(F.collect_list("e")).alias("props"))
+    face_props = corners.select("model_id", "fid", "ordinal").distinct().join(own, ["model_id", "ordinal"]).select("model_id", "fid", "props")
+    return vertices, corners, loops(hit.filter(F.col("geom_type").isin("LineString", "MultiLineString")), 2), vertex_props, face_props
 
 
 def cleaning_rows(records: DataFrame) -> DataFrame:

@@ -19,9 +19,14 @@ DEFAULT_MODULE = "模型版本管理与成果追溯模块"
 def _join_path(folder, path):
     """Relative paths are resolved against the manifest's folder, '..' and '.' folded away."""
     absolute = path.rlike(r"^(/|[A-Za-z]:|[a-z]+:/)")
-    return F.when(F.coalesce(path, F.lit("")) == "", "").when(absolute, path).otherwise(
-        F.regexp_replace(F.concat(folder, F.lit("/"), path), r"(?<=/)(?:\./)+", "")
+    joined = F.concat(folder, F.lit("/"), path)
+    root = F.regexp_extract(joined, r"^(?:[A-Za-z]+:)?/*", 0)
+    steps = F.split(F.substr(joined, F.length(root) + 1), "/+")
+    folded = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda done, step: F.when(step.isin("", "."), done).when(step != "..", F.array_append(done, step)).otherwise(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))),
     )
+    return F.when(F.coalesce(path, F.lit("")) == "", "").when(absolute, path).otherwise(F.concat(root, F.array_join(folded, "/")))
 
 
 def read_version_manifests(spark: SparkSession, path) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from terraloom.functions import values as V
 from terraloom.functions.ordering import chunked_running_sums, id_chunk
 from terraloom.operators import mesh
+from terraloom.session import cut_lineage
 from terraloom.sources.files import numbered_lines
 
 
@@ -27,6 +28,7 @@ class Meshes:
     lines: DataFrame | None = None
     props: DataFrame | None = None      # model_id, vid, props MAP
     rejected: DataFrame | None = None   # model_id, line_no, value
+    face_props: DataFrame | None = None  # model_id, fid, props MAP
 
 
 def _words(text: Column) -> Column:
@@ -123,11 +125,24 @@ def is_binary_stl(content: Column, length: Column) -> Column:
 
 def read_binary_stl(spark: SparkSession, path, weld_tolerance: float | None = 0.0) -> Meshes:
     files = spark.read.format("binaryFile").load(path)
-    binary = files.filter(is_binary_stl(F.col("content"), F.col("length"))).select(F.col("path").alias("model_id"), "content")
+    name = F.col("_metadata.file_path").alias("model_id")  # spelled as the line readers spell it
+    binary = files.filter(is_binary_stl(F.col("content"), F.col("length"))).select(name, "content")
     points = binary.mapInPandas(_decode_stl, "model_id string, vid bigint, x double, y double, z double")
     return _triangle_soup(points, weld_tolerance)
 
 
+def read_stl(spark: SparkSession, path, weld_tolerance: float | None = 0.0) -> Meshes:
+    """STL files of both kinds: each file is told apart by its length and count, then read by its own reader."""
+    files = spark.read.format("binaryFile").load(path)
+    kinds = cut_lineage(files.select(F.col("_metadata.file_path").alias("model_id"), is_binary_stl(F.col("content"), F.col("length")).alias("binary")))
+    text, binary = read_ascii_stl(spark, path, weld_tolerance=weld_tolerance), read_binary_stl(spark, path, weld_tolerance)
+    only = kinds.filter("binary").select("model_id")
+    keep = lambda df: df.join(only, "model_id", "left_anti") if df is not None else None
+    return Meshes(
+        keep(text.vertices).unionByName(binary.vertices), keep(text.faces).unionByName(binary.faces), rejected=keep(text.rejected),
+    )
+
+
 def read_ply(spark: SparkSession, path) -> Meshes:
     """ASCII PLY: counts and property order from the header; other vertex properties become a map."""
     lines = numbered_lines(spark, path).select(F.col("file").alias("model_id"), "line_no", _words(F.col("value")).alias("w"))

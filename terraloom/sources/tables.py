@@ -8,36 +8,76 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terraloom import fixed_values as fv
 from terraloom.functions import values as V
+from terraloom.functions.ordering import chunked_index, id_chunk
 from terraloom.functions.values import q
+from terraloom.session import cut_lineage
 from terraloom.sources.files import numbered_lines
 
 ROW_ID, RAGGED, FILE = "_row_id", "_ragged", "_file"
 
 
+def _joined_records(lines: DataFrame) -> DataFrame:
+    """Lines of a quoted cell with line breaks put together; ``line_no`` is the record's first line.
+
+    Only lines with an odd number of quotes open or close such a cell. They are paired per file, and only the lines
+    between a pair are grouped; where no line has an odd number nothing is shuffled.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    odd = cut_lineage(lines.filter(quotes % 2 == 1).select("file", "line_no"))
+    if odd.isEmpty():
+        return lines
+    marks = chunked_index(odd, ["file"], id_chunk("line_no"), ["line_no"], "nth")
+    ends = lines.groupBy("file").agg(F.max("line_no").alias("last"))
+    spans = marks.groupBy("file", F.floor(F.col("nth") / 2).alias("pair")).agg(F.min("line_no").alias("first"), F.max("line_no").alias("stop"), F.count(F.lit(1)).alias("n"))
+    spans = spans.join(ends, "file").withColumn("stop", F.when(F.col("n") == 2, F.col("stop")).otherwise(F.col("last")))  # an open cell ends with its file
+    inside = spans.select("file", "first", F.explode(F.sequence("first", "stop")).alias("line_no"))
+    marked = lines.join(inside, ["file", "line_no"], "left")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda p: p["value"])
+    whole = marked.filter("first is not null").groupBy("file", F.col("first").alias("line_no")).agg(F.array_join(parts, "\n").alias("value"))
+    return marked.filter("first is null").select("file", "line_no", "value").unionByName(whole)
+
+
 def read_delimited(
     spark: SparkSession, path: Sequence[str] | str, sep: str = ",", encoding: str | None = None, keep_file: bool = False
 ) -> DataFrame:
     """All cells as text plus ``_row_id`` (the header is line 1) and ``_ragged`` (more cells than headers).
 
-    All files under ``path`` share the header of the first one. Delimiter and encoding are the caller's
-    choice; encodings beyond Spark's allowed list need ``spark.sql.legacy.javaCharsets``.
+    Every file is read under its own header; columns are aligned by name, in the order of the first file and of new names
+    after it, and are null in files that lack them. A quoted cell may hold line breaks; ``_row_id`` is the first line of a
+    record. Delimiter and encoding are the caller's choice; encodings beyond Spark's allowed list need
+    ``spark.sql.legacy.javaCharsets``.
     """
-    lines = numbered_lines(spark, path, encoding=encoding)
-    head = lines.filter("line_no = 1").orderBy("file").select("value").first()  # one line
-    if head is None:
+    lines = _joined_records(numbered_lines(spark, path, encoding=encoding))
+    heads = cut_lineage(lines.filter("line_no = 1").select("file", F.col("value").alias("head")))
+    kinds = [r["head"] for r in heads.groupBy("head").agg(F.min("file").alias("file")).orderBy("file").collect()]  # one row per layout
+    if not kinds:
         raise ValueError("no header line")
-    header = spark.createDataFrame([(head[0],)], "value string")
-    width = header.select(F.schema_of_csv(F.lit(head[0]), {"sep": sep})).first()[0].count(":")
-    cells = ",".join(f"c{i} string" for i in range(width))
-    names = [c or f"_c{i}" for i, c in enumerate(header.select(F.from_csv("value", F.lit(cells), {"sep": sep}).alias("r")).first()["r"])]
     options = {"sep": sep, "mode": "PERMISSIVE", "quote": '"', "escape": '"'}
-    body = lines.filter((F.col("line_no") > 1) & (F.trim("value") != "")).withColumn(
-        "r", F.from_csv("value", F.lit(cells + f",c{width} string"), options)
-    )
-    return body.select(
-        F.col("line_no").alias(ROW_ID), *([F.col("file").alias(FILE)] if keep_file else []),
-        *[F.col(f"r.c{i}").alias(n.strip()) for i, n in enumerate(names)], F.col(f"r.c{width}").isNotNull().alias(RAGGED),
-    )
+    layouts = []
+    for head in kinds:
+        one = spark.createDataFrame([(head,)], "value string")
+        width = one.select(F.schema_of_csv(F.lit(head), {"sep": sep})).first()[0].count(":")
+        cells = ",".join(f"c{i} string" for i in range(width))
+        layouts.append([(c or f"_c{i}").strip() for i, c in enumerate(one.select(F.from_csv("value", F.lit(cells), options).alias("r")).first()["r"])])
+    wide = max(map(len, layouts))
+    cells = ",".join(f"c{i} string" for i in range(wide + 1))
+    body = lines.filter((F.col("line_no") > 1) & (F.trim("value") != "")).withColumn("r", F.from_csv("value", F.lit(cells), options))
+    if len(layouts) == 1:
+        columns, ragged = [F.col(f"r.c{i}").alias(n) for i, n in enumerate(layouts[0])], F.col(f"r.c{wide}").isNotNull()
+    else:
+        body = body.join(heads, "file")
+        layout = F.array_position(F.array(*[F.lit(h) for h in kinds]), F.col("head")) - 1
+
+        def pick(places):
+            out = F.lit(None).cast("string")
+            for k, i in places:
+                out = F.when(layout == k, F.col(f"r.c{i}")).otherwise(out)
+            return out
+
+        names = list(dict.fromkeys(n for names in layouts for n in names))
+        columns = [pick([(k, names_.index(n)) for k, names_ in enumerate(layouts) if n in names_]).alias(n) for n in names]
+        ragged = pick([(k, len(names_)) for k, names_ in enumerate(layouts)]).isNotNull()
+    return body.select(F.col("line_no").alias(ROW_ID), *([F.col("file").alias(FILE)] if keep_file else []), *columns, ragged.alias(RAGGED))
 
 
 FEATURE = "struct<type:string,properties:map<string,string>,geometry:string>"
@@ -86,8 +126,8 @@ def axis_columns(columns: Sequence[str], aliases=fv.CONVERTER_AXES) -> dict[str,
     return {axis: c for c in columns for axis, names in aliases.items() if c.strip().lower() in names}
 
 
-def table_points(df: DataFrame, mode: str = "strict", row_id: str = ROW_ID, aliases=None) -> DataFrame:
-    """Coordinate rows of a table: (row_id, x, y, z, props MAP), z = 0 where absent or blank.
+def table_points(df: DataFrame, mode: str = "strict", row_id: str = ROW_ID, aliases=None, keep: Sequence[str] = ()) -> DataFrame:
+    """Coordinate rows of a table: (row_id, x, y, z, props MAP) and the columns to keep, z = 0 where absent or blank.
 
     strict fails on the first unreadable row, skip leaves such rows out.
     """
@@ -107,5 +147,5 @@ def table_points(df: DataFrame, mode: str = "strict", row_id: str = ROW_ID, alia
     props = F.create_map(*[x for c in others for x in (F.lit(c), q(c).cast("string"))]) if others else F.expr("map()").cast("map<string,string>")
     if mode == "strict":
         failure = F.raise_error(F.concat(F.lit("bad coordinate in row "), q(row_id).cast("string"))).cast("double")
-        return df.select(q(row_id).alias("row_id"), F.when(ok, number("x")).otherwise(failure).alias("x"), number("y").alias("y"), z.alias("z"), props.alias("props"))
-    return df.filter(ok).select(q(row_id).alias("row_id"), number("x").alias("x"), number("y").alias("y"), z.alias("z"), props.alias("props"))
+        return df.select(q(row_id).alias("row_id"), F.when(ok, number("x")).otherwise(failure).alias("x"), number("y").alias("y"), z.alias("z"), props.alias("props"), *[q(c) for c in keep])
+    return df.filter(ok).select(q(row_id).alias("row_id"), number("x").alias("x"), number("y").alias("y"), z.alias("z"), props.alias("props"), *[q(c) for c in keep])

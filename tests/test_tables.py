@@ -140,7 +140,8 @@ def test_features(spark, write):
     rings = features.rings(features.geometries(records))
     checks = {(r["ordinal"], r["open"]) for r in features.ring_checks(rings).collect()}
     assert checks == {(0, True), (2, False)}
-    vertices, corners, lines = features.model_tables(records)
+    vertices, corners, lines, vertex_props, face_props = features.model_tables(records)
+    assert {r["fid"]: r["props"]["name"] for r in face_props.collect()} == {0: "a", 1: "a"} and vertex_props.first()["props"]["kind"] == "k"
     assert vertices.count() == 8 and {(r["fid"], r["pos"]) for r in corners.collect()} == {(0, i) for i in range(4)} | {(1, i) for i in range(3)}
     assert [r["vid"] for r in lines.orderBy("pos").collect()] == [0, 1]
     cleaned = {r["feature_id"]: r for r in cleaning.clean_features(features.cleaning_rows(records)).collect()}

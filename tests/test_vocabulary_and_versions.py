@@ -176,7 +176,7 @@ def test_boreholes(spark):
     layers = spark.createDataFrame([("ZK1", i, float(i), i + 1.0, f"l{i}") for i in range(5)], "BH_ID string, _row_id bigint, depth_top double, depth_bottom double, lithology string")
     water = spark.createDataFrame([("ZK1", 9, 5.0, "late"), ("ZK1", 2, 3.0, "first")], "BH_ID string, _row_id bigint, water_level double, type string")
     tests = spark.createDataFrame([("ZK2", 1, 1.0, 2.0, 3.0)], "BH_ID string, _row_id bigint, UCS double, RQD double, permeability double")
-    docs = {(r["BH_ID"], r["part"]): r for r in borehole.nest_documents(holes, layers, water, tests).collect()}
+    docs = {(r["BH_ID"], r["part"]): r for r in borehole.nest_documents(holes, layers, water, tests, 100).collect()}
     assert [l["name"] for l in docs[("ZK1", 0)]["lithology"]] == [f"l{i}" for i in range(5)] and docs[("ZK1", 0)]["groundwater"]["type"] == "first"
     assert docs[("ZK2", 0)]["lithology"] == [] and docs[("ZK2", 0)]["groundwater"] is None and docs[("ZK2", 0)]["engineering"]["UCS"] == 1.0
     parts = borehole.nest_documents(holes, layers, water, tests, part_layers=2).filter("BH_ID = 'ZK1'").orderBy("part").collect()
