@@ -43,9 +43,12 @@ def split_intake(
     A batch lands in a folder named by its id and replaces it on a retry, so replays add nothing.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        marked = (prepare(batch) if prepare else batch).withColumn("problems", row_problems(batch, required, ranges))
-        marked.filter(F.size("problems") == 0).drop("problems").write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
-        marked.filter(F.size("problems") > 0).write.mode("overwrite").parquet(f"{dead_letter_path}/batch={batch_id}")
+        marked = (prepare(batch) if prepare else batch).withColumn("problems", row_problems(batch, required, ranges)).persist()
+        try:
+            marked.filter(F.size("problems") == 0).drop("problems").write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
+            marked.filter(F.size("problems") > 0).write.mode("overwrite").parquet(f"{dead_letter_path}/batch={batch_id}")
+        finally:
+            marked.unpersist()
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
