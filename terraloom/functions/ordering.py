@@ -16,8 +16,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from terraloom.session import cut_lineage
+
 ID_CHUNK_BITS = 20
 SAFE_GROUP = 1_000_000
+BROADCAST_KEYS = 100_000
 
 
 def largest_group(df: DataFrame, group: Sequence[str]) -> int:
@@ -44,6 +47,29 @@ def chunked_index(
     return chunked_running_sum(df, group, chunk, order, F.lit(1), out, shift=start - 1, largest=largest)
 
 
+def group_index(
+    df: DataFrame, group: Sequence[str], row_id: str, out: str = "idx", start: int = 0, heavy: int = SAFE_GROUP, bits: int = ID_CHUNK_BITS
+) -> DataFrame:
+    """Dense row number inside a group by a unique integer ``row_id``, for many small groups and perhaps a few huge ones.
+
+    Groups are counted first (map-side). Those with up to ``heavy`` rows take a plain window, one shuffle of the rows; only
+    the counted heavy ones, at most rows / ``heavy`` of them, go through the chunk table.
+    """
+    group = list(group)
+    large = cut_lineage(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > heavy).select(*[F.col(g).alias(f"_k_{g}") for g in group]))
+    plain = F.row_number().over(W.partitionBy(*group).orderBy(row_id)).cast("long") + F.lit(start - 1)
+    n_large = large.count()
+    if not n_large:
+        return df.withColumn(out, plain)
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_k_{g}"))
+    keys = F.broadcast(large) if n_large <= BROADCAST_KEYS else large
+    light = df.join(keys, same, "left_anti").withColumn(out, plain)
+    rest = chunked_index(df.join(keys, same, "left_semi"), group, id_chunk(row_id, bits), [row_id], out, start)
+    return light.unionByName(rest)
+
+
 def chunked_running_sum(
     df: DataFrame, group: Sequence[str], chunk: Column, order: Sequence, value: Column, out: str, shift: int = 0,
     largest: int | None = None,

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terraloom.functions.ordering import chunked_index, id_chunk
+from terraloom.functions.ordering import group_index
 
 
 def layer_array(layers: DataFrame, key: str, row_id: str, fields: dict[str, Column], part_layers: int) -> DataFrame:
     """(key, part, layers ARRAY): all layers in input order, cut into parts of bounded length."""
-    ranked = chunked_index(layers, [key], id_chunk(row_id), [row_id], "_nth")
+    ranked = group_index(layers, [key], row_id, "_nth")
     packed = ranked.select(
         key, F.floor(F.col("_nth") / part_layers).cast("int").alias("part"),
         F.struct("_nth", F.struct(*[c.alias(n) for n, c in fields.items()]).alias("layer")).alias("l"),

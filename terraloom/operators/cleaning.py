@@ -17,7 +17,7 @@ from terraloom.functions.units import UnitRule, header_unit_rules
 from terraloom.functions.values import q
 from terraloom.operators.dedup import keep_first, key_columns
 from terraloom.operators.profiling import modes, numbers
-from terraloom.session import cut_lineage
+from terraloom.session import materialise
 
 MAX_CLIP_ROUNDS = 20
 
@@ -52,7 +52,7 @@ def plan_cleaning(
     columns = [c for c in df.columns if c != order_by]
     plan = CleaningPlan(columns, keys=key_columns(df.drop(order_by), duplicate_keys))
     # several statistics follow, so the duplicate search is done once
-    rows = cut_lineage(keep_first(df, plan.keys, [order_by])) if deduplicate else df
+    rows = materialise(keep_first(df, plan.keys, [order_by])) if deduplicate else df
     plan.deduplicated = rows
     plan.rows_in = df.count()
     types = V.column_types(df)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from terraloom import fixed_values as fv
 from terraloom.functions import scoring, values as V
-from terraloom.functions.ordering import chunked_index, id_chunk
+from terraloom.functions.ordering import group_index
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ def pair_models(before: DataFrame, after: DataFrame) -> DataFrame:
     """
     def numbered(df: DataFrame, key: Column, side: str) -> DataFrame:
         keyed = df.select(F.col("file_id"), F.col("name"), key.alias("key"))
-        ranked = chunked_index(keyed, ["key"], id_chunk("file_id"), ["file_id"], "nth")
+        ranked = group_index(keyed, ["key"], "file_id", "nth")
         return ranked.select("key", "nth", F.col("file_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"))
 
     by_name = lambda: F.lower(F.col("name"))

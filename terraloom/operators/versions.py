@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terraloom.functions import values as V
-from terraloom.functions.ordering import chunked_index, id_chunk, next_free_number
+from terraloom.functions.ordering import chunked_index, group_index, id_chunk, next_free_number
 from terraloom.operators.dedup import keep_first
 
 FILE_TYPE = "struct<name:string,path:string,format:string,role:string,size_bytes:bigint,exists:boolean>"
@@ -37,7 +37,7 @@ def next_numbers(versions: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
 
 def assign_numbers(existing: DataFrame, new: DataFrame, row_id: str, keys: Sequence[str] = KEY) -> DataFrame:
     """Numbers for a batch of new versions: the highest patch goes on by one per row, V1.0.0 starts a key."""
-    ranked = chunked_index(new, list(keys), id_chunk(row_id), [row_id], "_nth")
+    ranked = group_index(new, list(keys), row_id, "_nth")
     base = next_numbers(existing, keys).select(*keys, "major", "minor", "patch")
     joined = ranked.join(base, list(keys), "left")
     fresh = F.col("major").isNull()

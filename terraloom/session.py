@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write the frame as a Parquet table in the shared checkpoint folder and read it back.
+
+    Like ``cut_lineage``, for wide frames that are read several times: later readers load only the columns they use.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     checkpoint_folder(df.sparkSession)

@@ -2,6 +2,7 @@ import struct
 
 from pyspark.sql import functions as F
 
+from terraloom.functions.ordering import group_index
 from terraloom.operators import batch
 from terraloom.plans import conversion
 from terraloom.sources import features, files, manifests, meshes, tables
@@ -97,3 +98,30 @@ def test_folder_parts_are_ordered_by_number(spark, write, folder):
         write(f"parts/part-{n:05d}-x.txt", f"line {n}\n")
     got = [r["value"] for r in files.numbered_lines(spark, f"{folder}/parts/*", by_folder=True).orderBy("line_no").collect()]
     assert got == ["line 2", "line 10", "line 99999", "line 100000"]
+
+
+def test_group_index_with_and_without_heavy_groups(spark):
+    rows = spark.createDataFrame([(i * 3, None if i % 11 == 0 else "hot" if i % 2 else f"k{i % 7}") for i in range(300)], "id bigint, k string")
+    want = {}
+    for r in sorted(rows.collect()):
+        want.setdefault(r["k"], []).append(r["id"])
+    for heavy in (10, 60, 1000):
+        got = {}
+        for r in group_index(rows, ["k"], "id", "n", heavy=heavy, bits=4).orderBy("n").collect():
+            assert r["n"] == len(got.setdefault(r["k"], []))
+            got[r["k"]].append(r["id"])
+        assert got == want
+
+
+def test_registered_queries_with_whole_stage_codegen(spark):
+    """The fixture turns code generation off to save time; production runs with it."""
+    from bindings.queries_more import QUERIES
+
+    order = lambda df: sorted(map(str, df.collect()))
+    for name in ("dedup_keep_first", "normalise_table_hot", "mesh_edges", "batch_status", "nested_borehole", "location_samples", "feature_models"):
+        plain = order(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        spark.conf.set("spark.sql.codegen.wholeStage", "true")
+        try:
+            assert order(QUERIES[name](spark, "/root/testdata/sf0.001")) == plain
+        finally:
+            spark.conf.set("spark.sql.codegen.wholeStage", "false")
