@@ -242,7 +242,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, grou
     """(uid, start, stop): spans of documents (with ``uid``) whose union is every byte of a repeated window."""
     texts = packed(docs) if texts is None else texts
     rows = save(anchor_rows(docs, length, lead))
-    often = rows.groupBy("lead").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("lead")
+    # cut, so that the join deals both sides out anew and a frequent lead can be split
+    often = cut_lineage(rows.groupBy("lead").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("lead"))
     some = save(rows.join(often, "lead", "left_semi"))
     kinds = some.groupBy("lead", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "a", "b", "p")).alias("one"))
     kinds = cut_lineage(kinds)
