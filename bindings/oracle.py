@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from terraloom import fixed_values as fv
+# fixed values: hint words per kind of input
+HINTS = (
+    ("钻孔数据", ("钻孔", "孔号", "孔深", "borehole", "hole_id", "rqd")), ("地质图", ("地层代号", "断层", "产状", "strata", "fault", "polygon")),
+    ("物探数据", ("tsp", "gpr", "tem", "地质雷达", "瞬变电磁", "预报", "综合结论")), ("遥感影像", ("dem", "dsm", "影像", "栅格", "像元", "nodata", "geotiff")),
+    ("点云数据", ("point cloud", "点云", "intensity", "classification", "las", "laz")), ("地质剖面", ("剖面", "section", "坡高", "坡度", "里程", "高程")),
+    ("属性表", ("属性", "编号", "名称", "类型", "description")), ("网格模型", ("node_id", "element_id", "节点编号", "单元编号", "mesh", "obj", "vtk")),
+)
 
 SQL: dict[str, str] = {}
 
@@ -183,11 +189,11 @@ FROM c JOIN f USING (name) JOIN p USING (name)"""
 
 def _hints() -> str:
     score = lambda words: " + ".join(f"contains(t, '{w.lower()}')::INTEGER" for w in words)
-    scores = ", ".join(f"{score(words)} AS s{i}" for i, words in enumerate(fv.SOURCE_HINTS.values()))
-    top = "greatest(" + ", ".join(f"s{i}" for i in range(len(fv.SOURCE_HINTS))) + ")"
-    cases = " ".join(f"WHEN s{i} = {top} THEN '{name}'" for i, name in enumerate(fv.SOURCE_HINTS))
+    scores = ", ".join(f"{score(words)} AS s{i}" for i, words in enumerate(words for _, words in HINTS))
+    top = "greatest(" + ", ".join(f"s{i}" for i in range(len(HINTS))) + ")"
+    cases = " ".join(f"WHEN s{i} = {top} THEN '{name}'" for i, (name, _) in enumerate(HINTS))
     return f"""WITH s AS (SELECT {scores} FROM (SELECT lower(source || ' ' || lang || ' ' || text) AS t FROM documents))
-SELECT CASE WHEN {top} = 0 THEN '{fv.GENERIC_SOURCE}' {cases} END AS kind, count(*) AS inputs FROM s GROUP BY 1"""
+SELECT CASE WHEN {top} = 0 THEN '通用数据' {cases} END AS kind, count(*) AS inputs FROM s GROUP BY 1"""
 
 
 SQL["classify_inputs"] = _hints()

@@ -95,8 +95,8 @@ SELECT field, arg_max(domain, hits) AS domain, max(hits) AS hits, any_value(n) A
 _D = """d AS (SELECT p_type AS domain, p_name AS canonical, min(p_brand) AS brand, min(p_size) AS size FROM part GROUP BY 1, 2)"""
 SQL["dictionary_audit"] = f"""WITH {_D}, n AS (SELECT domain, replace(canonical, ' ', '') AS token, canonical FROM d UNION SELECT domain, 'size' || size, canonical FROM d),
 c AS (SELECT domain, lower(brand) AS token, canonical FROM d WHERE brand <> 'Brand#1')
-SELECT 'alias_conflict' AS problem, domain, '' AS system, token, string_agg(canonical, '|' ORDER BY canonical) AS canonicals FROM n GROUP BY 2, 4 HAVING count(*) > 1
-UNION ALL SELECT 'code_conflict', domain, 'PROJECT', token, string_agg(canonical, '|' ORDER BY canonical) FROM c GROUP BY 2, 4 HAVING count(*) > 1
+SELECT 'alias_conflict' AS problem, domain, '' AS system, token, canonical FROM n QUALIFY count(*) OVER (PARTITION BY domain, token) > 1
+UNION ALL SELECT 'code_conflict', domain, 'PROJECT', token, canonical FROM c QUALIFY count(*) OVER (PARTITION BY domain, token) > 1
 UNION ALL SELECT 'missing_project_code', domain, 'PROJECT', '', canonical FROM d WHERE brand = 'Brand#1'"""
 SQL["dictionary_stats"] = """WITH d AS (SELECT p_type AS domain, p_name, count(DISTINCT p_brand) AS a, CASE WHEN p_type = 'PROMO' THEN 1 ELSE 2 END AS c FROM part GROUP BY 1, 2)
 SELECT domain, count(*) AS terms, sum(a)::BIGINT AS aliases, sum(c)::BIGINT AS codes FROM d GROUP BY ROLLUP (domain)"""

@@ -77,8 +77,3 @@ def to_si(df: DataFrame, value: str, unit: str) -> DataFrame:
         .withColumn("si_unit", F.coalesce("si_unit", q(unit)))
         .drop("_unit", "factor")
     )
-
-
-def convert(cell: Column, number: Column, factor: float) -> Column:
-    """Scaled number where the cell parses, else null (the caller keeps the cell)."""
-    return F.when(cell.isNotNull(), number * F.lit(float(factor)))

@@ -96,15 +96,6 @@ def face_validity(corners: DataFrame, vertices: DataFrame) -> DataFrame:
     return per_face.withColumn("valid", (F.col("size") >= 3) & (F.col("bad_refs") == 0))
 
 
-def valid_corners(corners: DataFrame, vertices: DataFrame) -> DataFrame:
-    bad = face_validity(corners, vertices).filter("not valid").select("model_id", "fid")
-    return corners.join(bad, ["model_id", "fid"], "left_anti")
-
-
-def invalid_references(corners: DataFrame, vertices: DataFrame) -> DataFrame:
-    return corners.join(vertices.select("model_id", "vid"), ["model_id", "vid"], "left_anti")
-
-
 def place_corners(corners: DataFrame, vertices: DataFrame) -> DataFrame:
     """Corners with the coordinates of their vertex; a hot vertex is split by the skew join of AQE."""
     return corners.join(vertices.select("model_id", "vid", "x", "y", "z"), ["model_id", "vid"])

@@ -282,23 +282,20 @@ def dictionary_stats(dictionary: DataFrame) -> DataFrame:
 
 
 def audit_dictionary(dictionary: DataFrame) -> DataFrame:
-    """Tokens and codes claimed by several names, and names without a PROJECT code."""
+    """Tokens and codes claimed by several names, one row per name, and names without a PROJECT code.
+
+    The names of a token are counted and joined back, never gathered: a token may belong to any number of them.
+    """
     index = term_index(dictionary)
-    names = index.filter(F.col("priority") != CODE)
-    claim = lambda df, kind, system: (
-        df.groupBy("domain", system.alias("system"), "token").agg(F.collect_set("canonical").alias("s"))
-        .filter(F.size("s") > 1)
-        .select(F.lit(kind).alias("problem"), "domain", "system", "token", F.array_join(F.array_sort("s"), "|").alias("canonicals"))
-    )
+    kind = F.when(F.col("priority") == CODE, "code_conflict").otherwise("alias_conflict")
+    system = F.when(F.col("priority") == CODE, F.col("system")).otherwise("")
+    claims = cut_lineage(index.select(kind.alias("problem"), "domain", system.alias("system"), "token", "canonical").distinct())
+    key = ["problem", "domain", "system", "token"]
+    several = cut_lineage(claims.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key))
     missing = dictionary.filter(F.coalesce(F.try_element_at(normalise_codes(F.col("codes")), F.lit("PROJECT")), F.lit("")) == "").select(
-        F.lit("missing_project_code").alias("problem"), "domain", F.lit("PROJECT").alias("system"), F.lit("").alias("token"),
-        F.col("canonical").alias("canonicals"),
-    )
-    return (
-        claim(names, "alias_conflict", F.lit(""))
-        .unionByName(claim(index.filter(F.col("priority") == CODE), "code_conflict", F.col("system")))
-        .unionByName(missing)
+        F.lit("missing_project_code").alias("problem"), "domain", F.lit("PROJECT").alias("system"), F.lit("").alias("token"), "canonical"
     )
+    return claims.join(several, key, "left_semi").unionByName(missing)
 
 
 def merge_dictionaries(base: DataFrame, additions: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terraloom.functions.ordering import cyclic_lead, id_chunk
 from terraloom.operators import mesh
 from terraloom.sources.files import checksums
 
@@ -208,9 +207,3 @@ def write_archive(versions: DataFrame, manifest: DataFrame, trace: DataFrame, pa
     }
     for name, frame in facets.items():
         frame.write.mode("overwrite").partitionBy("version_id").parquet(f"{path}/{name}")
-
-
-def ring_rows(corners: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Closed polygon outlines as segment rows, for writers that want one segment per row."""
-    placed = mesh.place_corners(corners, vertices)
-    return cyclic_lead(placed, ["model_id", "fid"], id_chunk("pos", mesh.FACE_CHUNK_BITS), ["pos"], ["x", "y", "z"])
