@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from terraloom.session import checkpoint_folder
 
@@ -49,6 +49,22 @@ def wrapped(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*columns).alias("_doc"), key1.alias(KEYS[0]), key2.alias(KEYS[1]))
 
 
+def hash_sample(keys: DataFrame, group: str, order: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each group (a few groups), the lowest by ``order``, a 64-bit hash.
+
+    The counts of the groups give each a bound on the hash under which about four times the wanted rows lie; only those are
+    ranked, so the ranking task of a group gets a bounded number of rows, however large the group is.
+    """
+    counts = {r[group]: r["n"] for r in keys.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+    low = F.lit(False)
+    for value, n in sorted(counts.items(), key=str):
+        # hashes lie evenly between -2^63 and 2^63
+        bound = (1 << 63) - 1 if n <= 4 * most else -(1 << 63) + (1 << 64) * 4 * most // n
+        low = low | ((F.col(group) == F.lit(value)) & (F.col(order) <= F.lit(bound)))
+    rank = F.row_number().over(W.partitionBy(group).orderBy(order))
+    return keys.filter(low).withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write a frame as a compressed table in the shared checkpoint folder and read it back: it cuts the lineage."""
     spark = df.sparkSession

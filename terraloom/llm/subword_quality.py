@@ -19,9 +19,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from terraloom.llm.common import SpanHash, held_out, mixed, slices, utf8, word_bounds
+from terraloom.llm.common import SpanHash, hash_sample, held_out, mixed, slices, utf8, word_bounds
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
@@ -107,8 +107,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, **options) -> QualityModel:
     """Fit on a bounded sample of labelled documents; features are counted on the executors."""
     known = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
-    keyed = known.withColumn("order", F.xxhash64("doc_id"))
-    sample = keyed.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("order", "doc_id"))).filter(F.col("n") <= per_class)
+    sample = hash_sample(known.withColumn("order", F.xxhash64("doc_id")), "label", "order", per_class)
     share = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label")), "doc_id")  # 2 * per_class rows at most
 
