@@ -19,9 +19,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from terraloom.llm.common import held_out, slices
+from terraloom.llm.common import hash_sample, held_out, slices
+from terraloom.session import cut_lineage
 
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3, 4)
@@ -144,8 +145,8 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages:
     frequent = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages)
     names = [r["lang"] for r in frequent.collect()]
     pick = known.filter(F.col("lang").isin(names)).withColumn("order", F.xxhash64("text"))
-    # the order is compared first, so that only the chosen texts travel
-    chosen = pick.select("lang", "order").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("order"))).filter(F.col("n") <= per_language)
+    # the order is compared first, so that only the chosen texts travel; copies of a text count once
+    chosen = hash_sample(cut_lineage(pick.select("lang", "order").distinct()), "lang", "order", per_language)
     limits = {r["lang"]: r["top"] for r in chosen.groupBy("lang").agg(F.max("order").alias("top")).collect()}
     bound = F.lit(False)
     for lang, top in sorted(limits.items()):
