@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from terraloom.functions.values import q, strip
+from terraloom.session import cut_lineage
 
 
 def key_columns(df: DataFrame, keys: Sequence[str] | None) -> list[str]:
@@ -45,6 +46,7 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str] | None = None) -> DataFram
 
 def duplicate_identifiers(df: DataFrame, identifier: str, row_id: str) -> DataFrame:
     """Every row whose identifier occurs more than once, with that count (long form)."""
-    counts = df.groupBy(q(identifier).alias("identifier")).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
+    # cut, so that the join deals both sides out anew and a frequent identifier can be split
+    counts = cut_lineage(df.groupBy(q(identifier).alias("identifier")).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1"))
     rows = df.select(q(identifier).alias("identifier"), q(row_id).alias("row_id"))
     return rows.join(counts, "identifier")

@@ -115,9 +115,10 @@ def degenerate_faces(areas: DataFrame, tolerance: float = 1e-12) -> DataFrame:
 
 
 def face_signature(corners: DataFrame) -> DataFrame:
-    """Sorted vertex list of each face as a digest (a face is one record)."""
-    ids = F.array_sort(F.collect_list("vid"))
-    return corners.groupBy("model_id", "fid").agg(F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("signature"))
+    """The vertices of each face, repeats counted, as order-independent sums of two hashes: combined map-side, never gathered."""
+    hashed = lambda seed: F.sum(F.xxhash64("vid", F.lit(seed)).cast("decimal(20,0)")).alias(f"s{seed}")
+    parts = corners.groupBy("model_id", "fid").agg(F.count("vid").alias("n"), F.min("vid").alias("low"), F.max("vid").alias("high"), hashed(1), hashed(2))
+    return parts.select("model_id", "fid", F.struct("n", "low", "high", "s1", "s2").alias("signature"))
 
 
 def duplicate_faces(corners: DataFrame) -> DataFrame:
@@ -143,8 +144,11 @@ def duplicate_vertices(vertices: DataFrame, tolerance: float = 1e-9) -> DataFram
 def weld_map(vertices: DataFrame, tolerance: float) -> DataFrame:
     """(model_id, vid, new_vid): every vertex goes to the lowest vid of its cell."""
     keyed = vertices.select("model_id", "vid", *[k.alias(f"k{i}") for i, k in enumerate(grid_key(tolerance))])
-    lowest = keyed.groupBy("model_id", "k0", "k1", "k2").agg(F.min("vid").alias("new_vid"))
-    return keyed.join(lowest, ["model_id", "k0", "k1", "k2"]).select("model_id", "vid", "new_vid")
+    keyed = keyed.filter("k0 is not null and k1 is not null and k2 is not null")
+    shared = keyed.groupBy("model_id", "k0", "k1", "k2").agg(F.min("vid").alias("_low"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    # cut, so that the join deals both sides out anew and a crowded cell can be split
+    joined = keyed.join(cut_lineage(shared), ["model_id", "k0", "k1", "k2"], "left")
+    return joined.select("model_id", "vid", F.coalesce("_low", "vid").alias("new_vid"))
 
 
 def weld(vertices: DataFrame, corners: DataFrame, tolerance: float = 1e-12) -> tuple[DataFrame, DataFrame]:
