@@ -5,10 +5,9 @@ looks at lines across documents. Lines are normalised (lower case, every digit a
 dropped) and hashed; for every host (``source``) and line it counts the distinct documents that hold the line. A line above the
 host's limit is removed, and a document that keeps too small a share of its words, or too few, is rejected as depleted.
 
-Copies of a document are one document here: documents are told apart by the two smallest hashes of their words, which exact
-copies share and near copies share mostly, and a line counts the smaller number of distinct values of the two. So a text does
-not lose its lines by being copied; that is the work of deduplication. The limit is the larger of ``min_docs`` and ``share``
-of the host's distinct documents.
+Copies of a document are one document here: documents are told apart by a 128-bit hash of their whole sequence of lower-case
+words, so a text does not lose its lines by being copied; that is the work of deduplication. Texts that differ in one word are
+two documents. The limit is the larger of ``min_docs`` and ``share`` of the host's distinct documents.
 
 Defined cases: a null text has no words and fails the base rule; a null source is a host of its own; repeated rows get a row
 each; a very long text is one row's work in numpy; an empty table gives an empty result; other columns are ignored.
@@ -16,6 +15,8 @@ each; a very long text is one row's work in numpy; an empty table gives an empty
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -39,7 +40,8 @@ _DROPPED = bytes(b for b in range(128) if b != 10 and not chr(b).isalnum())
 _ONE_DIGIT = bytes(48 if 48 <= b <= 57 else b for b in range(256))
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-PROFILE = f"_key1 long, _key2 long, doc_id long, source string, {STATS}, mark1 long, mark2 long, lines array<struct<line: long, words: long>>"
+DOCUMENT = ("document1", "document2")
+PROFILE = f"_key1 long, _key2 long, doc_id long, source string, {STATS}, document1 long, document2 long, lines array<struct<line: long, words: long>>"
 
 
 def repeated_words(words: np.ndarray) -> int:
@@ -72,11 +74,18 @@ def _lines(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(raw)]])
 
 
+def document_hash(text: str) -> tuple[int, int]:
+    """128 bits of the whole sequence of lower-case words; only copies share them."""
+    words = text.lower().encode("utf-8", "surrogatepass").split()
+    digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
 NO_LINES = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
 
 def profile_text(text: str | None) -> tuple:
-    """Base statistics, two marks, and the hashes and words of the distinct normalised lines of one whole text.
+    """Base statistics, the hash of the document, and the hashes and words of the distinct normalised lines of one whole text.
 
     Lines without a word, letter or digit carry no hash, so they are never removed.
     """
@@ -90,19 +99,18 @@ def profile_text(text: str | None) -> tuple:
     line_start, line_stop = _lines(raw)
     n_words = np.searchsorted(start, line_stop) - np.searchsorted(start, line_start)
     exact = span(line_start[n_words > 0], line_stop[n_words > 0])
-    marks = np.unique(words)[:2].astype(np.int64)
     plain = normalised(text)
     first, last = _lines(plain)
     used = (n_words > 0) & (last > first)
     hashes, at = np.unique(SpanHash(plain)(first[used], last[used]).astype(np.int64), return_inverse=True)
     return (
-        len(words), int(_WORD_CHARACTER[raw].sum()), n_symbols, len(exact) - len(np.unique(exact)), repeated_words(words), int(marks[0]), int(marks[-1]),
+        len(words), int(_WORD_CHARACTER[raw].sum()), n_symbols, len(exact) - len(np.unique(exact)), repeated_words(words), *document_hash(text),
         (hashes, np.bincount(at, weights=n_words[used], minlength=len(hashes)).astype(np.int64)),
     )
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """A row per document: base statistics, marks and line hashes."""
+    """A row per document: base statistics, hash of the document and line hashes."""
 
     def run(batches):
         for b in slices(batches):
@@ -112,32 +120,26 @@ def profiles(docs: DataFrame) -> DataFrame:
             lines = pa.ListArray.from_arrays(offsets, flat)
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in (*KEYS, "doc_id", "source")], *[pa.array(c, pa.int64()) for c in columns[:7]], lines],
-                [*KEYS, "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mark1", "mark2", "lines"],
+                [*KEYS, "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *DOCUMENT, "lines"],
             )
 
     return keyed(docs.select("doc_id", "source", "text")).mapInArrow(run, PROFILE)
 
 
 def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(source, line, n_docs) of the lines above their host's limit; documents are counted by their marks."""
-    counts = None
-    for mark in ("mark1", "mark2"):
-        distinct = lines.groupBy("source", "line", mark).agg(F.lit(1).alias("one"))
-        one = distinct.groupBy("source", "line").agg(F.count("one").alias(f"n_{mark}")).filter(F.col(f"n_{mark}") > min_docs)
-        one = one.withColumn("source_key", F.coalesce("source", F.lit(""))).withColumn("no_source", F.col("source").isNull()).drop("source")
-        counts = one if counts is None else counts.join(one, ["source_key", "no_source", "line"])
+    """(source_key, no_source, line, n_docs) of the lines above their host's limit; ``n_docs`` counts distinct documents."""
+    distinct = lines.groupBy("source", "line", *DOCUMENT).agg(F.lit(1).alias("one"))
+    counts = distinct.groupBy("source", "line").agg(F.count("one").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    counts = counts.select(F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("no_source"), "line", "n_docs")
     hosts = hosts.select(F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("no_source"), "host_docs")
     limit = F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("host_docs"))
-    return (
-        counts.withColumn("n_docs", F.least("n_mark1", "n_mark2")).join(hosts, ["source_key", "no_source"]).filter(F.col("n_docs") > limit)
-        .select("source_key", "no_source", "line", "n_docs")
-    )
+    return counts.join(hosts, ["source_key", "no_source"]).filter(F.col("n_docs") > limit).select("source_key", "no_source", "line", "n_docs")
 
 
 def _judged(docs: DataFrame, min_docs: int, share: float, min_left_words: int, min_left_share: float, keep_lines: bool = False) -> DataFrame:
     rows = cut_lineage(profiles(docs).withColumn("row", F.monotonically_increasing_id()))
-    lines = rows.select("row", "source", "mark1", "mark2", F.explode("lines").alias("_l")).select("row", "source", "mark1", "mark2", "_l.line", "_l.words")
-    hosts = rows.groupBy("source", "mark1").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("one").alias("host_docs"))
+    lines = rows.select("row", "source", *DOCUMENT, F.explode("lines").alias("_l")).select("row", "source", *DOCUMENT, "_l.line", "_l.words")
+    hosts = rows.groupBy("source", *DOCUMENT).agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("one").alias("host_docs"))
     frequent = cut_lineage(frequent_lines(lines, hosts, min_docs, share))
     # a frequent line is in many rows of its host: the few frequent lines are copied under every salt, the rows take one each
     salted = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -149,7 +151,7 @@ def _judged(docs: DataFrame, min_docs: int, share: float, min_left_words: int, m
         F.sum("words").alias("n_removed_words"), F.count(F.lit(1)).alias("n_removed_lines"), *([F.collect_list("line").alias("removed_lines")] if keep_lines else [])
     )
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    joined = rows.drop("lines", "mark1", "mark2").join(gone, "row", "left").fillna(0, ["n_removed_words", "n_removed_lines"])
+    joined = rows.drop("lines", *DOCUMENT).join(gone, "row", "left").fillna(0, ["n_removed_words", "n_removed_lines"])
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & ((left < min_left_words) | (left < min_left_share * F.col("n_words")))
     return joined.withColumn("base_failed", base).withColumn("kept", ~base & ~depleted)

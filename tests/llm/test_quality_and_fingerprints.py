@@ -73,6 +73,21 @@ def test_clean_removes_lines_and_keeps_columns(docs):
     assert "Read more" in texts[300]["text"]
 
 
+def test_documents_of_a_small_shared_vocabulary_are_told_apart(docs):
+    rng = random.Random(12)
+    words = [f"word{c}" for c in "abcdefghijkl"]
+    fresh = lambda: " ".join(rng.sample(words, len(words)))
+    # the same twelve words in every document, in another order
+    texts = [f"{fresh()}\nread on\n{fresh()}" for _ in range(30)]
+    rare = [f"{fresh()}\nseldom seen\n{fresh()}" for _ in range(10)]
+    rows = [(k, t, "h") for k, t in enumerate([*texts, *texts[:15], *rare])]
+    rows += [(100 + k, rare[0].upper(), "h") for k in range(5)]  # a copy but for case
+    got = {r["doc_id"]: r["n_removed_words"] for r in L.judge(docs(rows), min_docs=10, share=0.01).collect()}
+    assert [got[k] for k in sorted(got)] == [2] * 45 + [0] * 15
+    share = L.judge(docs(rows), min_docs=10, share=0.74).agg({"n_removed_words": "sum"}).first()[0], L.judge(docs(rows), min_docs=10, share=0.76).agg({"n_removed_words": "sum"}).first()[0]
+    assert share == (90, 0)  # 30 of 40 documents
+
+
 def test_empty_tables(docs):
     assert L.judge(docs([])).count() == 0 and L.clean(docs([])).count() == 0
     assert S.near_duplicates(docs([])).count() == 0 and S.first_of_each(docs([])).count() == 0
