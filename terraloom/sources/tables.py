@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terraloom import fixed_values as fv
 from terraloom.functions import values as V
-from terraloom.functions.ordering import chunked_index, id_chunk
+from terraloom.functions.ordering import chunked_index, chunked_running_sums, id_chunk
 from terraloom.functions.values import q
 from terraloom.session import cut_lineage
 from terraloom.sources.files import numbered_lines
@@ -16,38 +17,56 @@ from terraloom.sources.files import numbered_lines
 ROW_ID, RAGGED, FILE = "_row_id", "_ragged", "_file"
 
 
-def _joined_records(lines: DataFrame) -> DataFrame:
+def _leaves_open(value: Column, sep: str) -> Column:
+    """1 if a text that begins outside quotes ends inside a quoted cell. A quote opens at the start of a cell only, or doubled."""
+    # \\G stands at the end of the match before, where a doubled quote goes on with the cell
+    cell = rf'(?:^|{re.escape(sep)}|\G(?!^))"[^"]*'
+    return F.regexp_count(value, F.lit(rf'{cell}("|\z)')) - F.regexp_count(value, F.lit(f'{cell}"'))
+
+
+def _joined_records(lines: DataFrame, sep: str) -> DataFrame:
     """Lines of a quoted cell with line breaks put together; ``line_no`` is the record's first line.
 
-    Only lines with an odd number of quotes open or close such a cell. They are paired per file, and only the lines
-    between a pair are grouped; where no line has an odd number nothing is shuffled.
+    What a line does to the state (inside a quoted cell or not) is known for both states before it. A line without effect
+    keeps it, others set it or turn it over; running sums per file carry it on. Only the lines of a cell are grouped; where no
+    line leaves a cell open nothing is shuffled. Lines after a cell that never closes stay lines; its own is ``unclosed``.
     """
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    odd = cut_lineage(lines.filter(quotes % 2 == 1).select("file", "line_no"))
-    if odd.isEmpty():
-        return lines
-    marks = chunked_index(odd, ["file"], id_chunk("line_no"), ["line_no"], "nth")
-    ends = lines.groupBy("file").agg(F.max("line_no").alias("last"))
-    spans = marks.groupBy("file", F.floor(F.col("nth") / 2).alias("pair")).agg(F.min("line_no").alias("first"), F.max("line_no").alias("stop"), F.count(F.lit(1)).alias("n"))
-    spans = spans.join(ends, "file").withColumn("stop", F.when(F.col("n") == 2, F.col("stop")).otherwise(F.col("last")))  # an open cell ends with its file
-    inside = spans.select("file", "first", F.explode(F.sequence("first", "stop")).alias("line_no"))
+    quote = F.lit('"')
+    marks = lines.filter(F.contains("value", quote)).select(
+        "file", "line_no", _leaves_open(F.col("value"), sep).alias("out"), _leaves_open(F.concat(quote, "value"), sep).alias("in")
+    )
+    marks = cut_lineage(marks.filter(~((F.col("out") == 0) & (F.col("in") == 1))))
+    if marks.filter(F.col("out") == 1).isEmpty():
+        return lines.withColumn("unclosed", F.lit(False))
+    sets = F.col("out") == F.col("in")
+    sums = {"nth": F.lit(1), "part": sets.cast("int"), "turns": (~sets).cast("int")}
+    marks = chunked_running_sums(marks, ["file"], id_chunk("line_no"), ["line_no"], sums)
+    bases = marks.filter(sets).select("file", "part", (F.col("out") + F.col("turns")).alias("base"))
+    state = ((F.coalesce("base", F.lit(0)) + F.col("turns")) % 2).alias("after")
+    states = cut_lineage(marks.join(bases, ["file", "part"], "left").select("file", "line_no", "nth", state))
+    before = states.select("file", (F.col("nth") + 1).alias("nth"), F.col("after").alias("before"))
+    turned = states.join(before, ["file", "nth"], "left").filter(F.col("after") != F.coalesce("before", F.lit(0))).select("file", "line_no")
+    ends = chunked_index(turned, ["file"], id_chunk("line_no"), ["line_no"], "nth")
+    spans = ends.groupBy("file", F.floor(F.col("nth") / 2).alias("pair")).agg(F.min("line_no").alias("first"), F.max("line_no").alias("stop"), F.count(F.lit(1)).alias("n"))
+    inside = spans.select("file", "first", (F.col("n") == 1).alias("unclosed"), F.explode(F.sequence("first", "stop")).alias("line_no"))
     marked = lines.join(inside, ["file", "line_no"], "left")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda p: p["value"])
-    whole = marked.filter("first is not null").groupBy("file", F.col("first").alias("line_no")).agg(F.array_join(parts, "\n").alias("value"))
-    return marked.filter("first is null").select("file", "line_no", "value").unionByName(whole)
+    whole = marked.filter("first is not null").groupBy("file", F.col("first").alias("line_no")).agg(F.array_join(parts, "\n").alias("value"), F.max("unclosed").alias("unclosed"))
+    return marked.filter("first is null").select("file", "line_no", "value", F.lit(False).alias("unclosed")).unionByName(whole)
 
 
 def read_delimited(
     spark: SparkSession, path: Sequence[str] | str, sep: str = ",", encoding: str | None = None, keep_file: bool = False
 ) -> DataFrame:
-    """All cells as text plus ``_row_id`` (the header is line 1) and ``_ragged`` (more cells than headers).
+    """All cells as text plus ``_row_id`` (the header is line 1) and ``_ragged`` (more cells than headers, or a quoted cell
+    that its file never closes).
 
     Every file is read under its own header; columns are aligned by name, in the order of the first file and of new names
     after it, and are null in files that lack them. A quoted cell may hold line breaks; ``_row_id`` is the first line of a
     record. Delimiter and encoding are the caller's choice; encodings beyond Spark's allowed list need
     ``spark.sql.legacy.javaCharsets``.
     """
-    lines = _joined_records(numbered_lines(spark, path, encoding=encoding))
+    lines = _joined_records(numbered_lines(spark, path, encoding=encoding), sep)
     heads = cut_lineage(lines.filter("line_no = 1").select("file", F.col("value").alias("head")))
     kinds = [r["head"] for r in heads.groupBy("head").agg(F.min("file").alias("file")).orderBy("file").collect()]  # one row per layout
     if not kinds:
@@ -77,7 +96,7 @@ def read_delimited(
         names = list(dict.fromkeys(n for names in layouts for n in names))
         columns = [pick([(k, names_.index(n)) for k, names_ in enumerate(layouts) if n in names_]).alias(n) for n in names]
         ragged = pick([(k, len(names_)) for k, names_ in enumerate(layouts)]).isNotNull()
-    return body.select(F.col("line_no").alias(ROW_ID), *([F.col("file").alias(FILE)] if keep_file else []), *columns, ragged.alias(RAGGED))
+    return body.select(F.col("line_no").alias(ROW_ID), *([F.col("file").alias(FILE)] if keep_file else []), *columns, (ragged | F.col("unclosed")).alias(RAGGED))
 
 
 FEATURE = "struct<type:string,properties:map<string,string>,geometry:string>"

@@ -25,6 +25,21 @@ def test_quoted_cells_hold_line_breaks(spark, write):
     assert [rows[k]["_row_id"] for k in "1234"] == [2, 6, 7, 9]
 
 
+def test_quotes_inside_plain_cells_open_nothing(spark, write):
+    text = 'id,note,z\n1,5" pipe,x\n2,plain,b\n3,"a\n6"" b\n,""c",d\n4,2\' 3" tall,y\n5,"""q"",\nr",e\n6,"full","f"\n'
+    rows = {r["id"]: (r["note"], r["z"], r["_row_id"], r["_ragged"]) for r in tables.read_delimited(spark, write("q.csv", text)).collect()}
+    assert rows == {
+        "1": ('5" pipe', "x", 2, False), "2": ("plain", "b", 3, False), "3": ('a\n6" b\n,"c', "d", 4, False), "4": ('2\' 3" tall', "y", 7, False),
+        "5": ('"q",\nr', "e", 8, False), "6": ("full", "f", 10, False),
+    }
+
+
+def test_a_cell_that_never_closes_is_reported_and_swallows_no_rows(spark, write):
+    text = 'id,note\n1,a\n2,"stray\n' + "".join(f"{k},b\n" for k in range(3, 40))
+    rows = {r["id"]: (r["_row_id"], r["_ragged"]) for r in tables.read_delimited(spark, write("q.csv", text)).collect()}
+    assert rows == {str(k): (k + 1, k == 2) for k in range(1, 40)}
+
+
 def test_collections_of_any_depth(spark, write):
     inner = '{"type": "Point", "coordinates": [1, 2]}'
     for _ in range(6):
