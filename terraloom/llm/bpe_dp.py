@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from terraloom.llm.common import slices
+from terraloom.llm.vocabularies import BYTE_LEVEL_FILE, Shipped, published, visible_bytes
 
 # fixed value: the published split pattern of the byte-level pre-tokenizer, white space spelled out as the Unicode property;
 # letters and digits stand first, which changes nothing: no other alternative can begin with them
@@ -34,31 +35,36 @@ PIECES = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 ASCII_PIECES = r" ?[A-Za-z]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-CACHE_PIECES = 120_000  # in each of two generations
-CACHE_PAIRS = 300_000
-DEFAULT_FILE = "byte_bpe_50k.json"
+CACHE_PIECES = 300_000  # in each of two generations
+CACHE_LENGTH = 64  # characters of a piece that is kept
+CACHE_PAIRS = 600_000
 NEVER = 1 << 40
 
 
-def default_path() -> str:
-    import public_tokenizers
+class Kept(dict):
+    """Results of a function, those of the last few hundred thousand short arguments kept."""
 
-    return public_tokenizers.path(DEFAULT_FILE)
+    def __init__(self, fn):
+        super().__init__()
+        self.fn, self.old = fn, {}
 
-
-def visible_bytes() -> dict[str, int]:
-    """The printable character that stands for each byte in byte-level vocabularies, mapped back to the byte."""
-    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
-    hidden = sorted(set(range(256)) - set(shown))
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.fn(key)
+        if len(key) <= CACHE_LENGTH:
+            if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class PrefixEncoder:
     """Encoder and decoder of one byte-level vocabulary file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, content: bytes):
+        spec = json.loads(content)
         if spec.get("normalizer") or spec["model"].get("dropout") or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("only plain byte-level vocabularies without normalisation are supported")
         to_byte = visible_bytes()
@@ -90,10 +96,8 @@ class PrefixEncoder:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.bytes = {i: s.encode("latin-1") for i, s in self.spelling.items()} | {i: s.encode() for s, i in self.added.items()}
         self.find, self.find_ascii = regex.compile(PIECES).findall, re.compile(ASCII_PIECES).findall
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.ids: dict[str, str] = {}  # of pieces, joined by commas
-        self.raw: dict[str, bytes] = {}
-        self.old: dict[str, str] = {}
+        self.pairs: dict[int, bool] = {}  # by both ids in one number
+        self.pieces = Kept(self._piece)
 
     def _admit(self, token: int, spelling: str, right: tuple, left: tuple) -> None:
         self.right[token] = ((token, NEVER), *right)
@@ -110,23 +114,29 @@ class PrefixEncoder:
         return True
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 24 | b)
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._border_holds(a, b, NEVER)
+            known = self.pairs[a << 24 | b] = self._border_holds(a, b, NEVER)
         return known
 
     def piece_ids(self, piece: str) -> list[int]:
         """Ids of one pre-token, given as UTF-8 bytes in latin-1 characters."""
-        last: list[int | None] = [None] * (len(piece) + 1)  # the last token of the encoding of each prefix
+        last = [-1] * (len(piece) + 1)  # the last token of the encoding of each prefix
         size = [0] * (len(piece) + 1)
+        known = self.pairs.get
         for end, (n, token) in self.automaton.iter(piece):
             stop = end + 1
-            if last[stop] is None:
-                start = stop - n
-                before = last[start]
-                if start == 0 or (before is not None and self.compatible(before, token)):
+            if last[stop] >= 0:
+                continue
+            if n == stop:
+                last[stop], size[stop] = token, n
+                continue
+            before = last[stop - n]
+            if before >= 0:
+                fits = known(before << 24 | token)
+                if fits or (fits is None and self.compatible(before, token)):
                     last[stop], size[stop] = token, n
         ids, at = [], len(piece)
         while at:
@@ -134,16 +144,9 @@ class PrefixEncoder:
             at -= size[at]
         return ids[::-1]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Make the cache hold these pieces."""
-        if len(self.ids) + len(pieces) > CACHE_PIECES:
-            self.old, self.ids, self.raw = self.ids, {}, {}
-        for piece in [p for p in pieces if p not in self.ids]:
-            ids = self.old.get(piece)
-            if ids is None:
-                ids = ",".join(map(str, self.piece_ids(piece.encode("utf-8", "surrogatepass").decode("latin-1"))))
-            self.ids[piece] = ids
-            self.raw[piece] = b"".join([self.bytes[int(i)] for i in ids.split(",")])
+    def _piece(self, piece: str) -> tuple[str, bytes]:
+        ids = self.piece_ids(piece.encode("utf-8", "surrogatepass").decode("latin-1"))
+        return ",".join(map(str, ids)), b"".join(map(self.bytes.__getitem__, ids))
 
     def coded(self, text: str) -> tuple[str, bytes]:
         """The ids of a text, joined by commas, and the bytes of these ids."""
@@ -153,10 +156,9 @@ class PrefixEncoder:
                 ids.append(str(self.added[part]))
                 raw.append(self.bytes[self.added[part]])
             elif part:
-                pieces = (self.find_ascii if part.isascii() else self.find)(part)
-                self._learn(set(pieces))
-                ids.append(",".join(map(self.ids.__getitem__, pieces)))
-                raw.append(b"".join(map(self.raw.__getitem__, pieces)))
+                coded = list(map(self.pieces.__getitem__, (self.find_ascii if part.isascii() else self.find)(part)))
+                ids.append(",".join([x for x, _ in coded]))
+                raw.append(b"".join([x for _, x in coded]))
         return ",".join(ids), b"".join(raw)
 
     def encode(self, text: str) -> list[int]:
@@ -175,16 +177,16 @@ class PrefixEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> PrefixEncoder:
-    return PrefixEncoder(path)
+def encoder(content: bytes) -> PrefixEncoder:
+    return PrefixEncoder(content)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, token_ids, ids_sha256, decoded_sha256): the ids of every whole text and digests of both directions."""
-    path = path or default_path()
+    shipped = Shipped(docs.sparkSession, path or published(BYTE_LEVEL_FILE))
 
     def run(batches):
-        e = encoder(path)
+        e = encoder(shipped.content.value)
         for b in slices(batches):
             texts, ids, sums = b.column("text").to_pylist(), [], []
             for text in texts:
@@ -204,10 +206,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, without moving the ids out of the workers."""
-    path = path or default_path()
+    shipped = Shipped(docs.sparkSession, path or published(BYTE_LEVEL_FILE))
 
     def run(batches):
-        e = encoder(path)
+        e = encoder(shipped.content.value)
         for b in slices(batches):
             n, ids, texts = zip(*[e.digest(t) for t in b.column("text").to_pylist()], strict=True)
             yield pa.RecordBatch.from_arrays(

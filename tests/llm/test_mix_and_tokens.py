@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from terraloom.llm import bpe_dp as B, pivotal_mix as M
+from terraloom.llm.vocabularies import BYTE_LEVEL_FILE, published
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -84,7 +85,7 @@ def test_pivotal_rounding_keeps_mass_and_expectation():
 @pytest.fixture(scope="module")
 def library():
     tokenizers = pytest.importorskip("tokenizers")
-    tokenizer = tokenizers.Tokenizer.from_file(B.default_path())
+    tokenizer = tokenizers.Tokenizer.from_file(published(BYTE_LEVEL_FILE))
     tokenizer.no_padding()
     tokenizer.no_truncation()
     return tokenizer
@@ -101,7 +102,7 @@ def token_texts(rng):
 
 
 def test_encoder_matches_the_library(library):
-    encoder = B.PrefixEncoder(B.default_path())
+    encoder = B.PrefixEncoder(open(published(BYTE_LEVEL_FILE), "rb").read())
     for text in token_texts(random.Random(3)):
         ids = library.encode(text, add_special_tokens=False).ids
         assert encoder.encode(text) == ids
@@ -111,7 +112,7 @@ def test_encoder_matches_the_library(library):
 def test_cache_generations_change_nothing(library, monkeypatch):
     monkeypatch.setattr(B, "CACHE_PIECES", 5)
     monkeypatch.setattr(B, "CACHE_PAIRS", 7)
-    encoder = B.PrefixEncoder(B.default_path())
+    encoder = B.PrefixEncoder(open(published(BYTE_LEVEL_FILE), "rb").read())
     for text in token_texts(random.Random(4))[:200]:
         assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids
 

@@ -3,6 +3,7 @@ import random
 
 import corpus_pipeline
 from terraloom.llm import bpe_dp, pivotal_mix, secret_forest
+from terraloom.llm.vocabularies import BYTE_LEVEL_FILE, published
 from test_quality_and_fingerprints import base_rules, groups, simhash
 
 
@@ -37,7 +38,7 @@ def test_pipeline_matches_stage_by_stage_version(spark, docs, folder):
     assert sum(a != b for a, b in zip(stay, masked, strict=True)) >= 15
     copies = {r["doc_id"]: r["copies"] for r in pivotal_mix.mix(docs(masked)).collect()}
     assert collections.Counter(r["doc_id"] for r in got) == {k: n for k, n in copies.items() if n}
-    encoder = bpe_dp.encoder(bpe_dp.default_path())
+    encoder = bpe_dp.encoder(open(published(BYTE_LEVEL_FILE), "rb").read())
     texts = {k: t for k, t, _ in masked}
     assert all(r["token_ids"] == encoder.encode(texts[r["doc_id"]]) and r["n_tokens"] == len(r["token_ids"]) for r in got)
 
