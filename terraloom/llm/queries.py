@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe_dp, language_svm, license_minhash, line_frequency, pivotal_mix, secret_forest, simhash_vp, spotsigs, subword_quality, suffix_dedup, token_counts
+from terraloom.llm import bpe_dp, language_svm, license_minhash, line_frequency, pivotal_mix, secret_forest, simhash_vp, spotsigs, subword_quality, suffix_dedup, token_alignment, token_counts
 from terraloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ SQL["op9_license_minhash"] = license_minhash.oracle_sql()
 @query
 def op11_token_counts(spark, sf_dir):
     return token_counts.counts(documents(spark, sf_dir))
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    return token_alignment.align(documents(spark, sf_dir))
