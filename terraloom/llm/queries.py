@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe_dp, language_svm, license_minhash, line_frequency, pivotal_mix, secret_forest, simhash_vp, spotsigs, subword_quality, suffix_dedup, token_alignment, token_counts
+from terraloom.llm import bpe_dp, conversation_trie, language_svm, license_minhash, line_frequency, pivotal_mix, secret_forest, simhash_vp, spotsigs, subword_quality, suffix_dedup, token_alignment, token_counts
 from terraloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,11 @@ def op11_token_counts(spark, sf_dir):
 @query
 def op13_token_alignment(spark, sf_dir):
     return token_alignment.align(documents(spark, sf_dir))
+
+
+@query
+def op12_conversation_trie(spark, sf_dir):
+    return conversation_trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+SQL["op12_conversation_trie"] = conversation_trie.oracle_sql()
