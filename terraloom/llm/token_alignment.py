@@ -15,7 +15,8 @@ number), the others shuffle. Texts of many ranges count a pair once by a distinc
 
 Defined cases: null and empty texts, and texts whose bytes the tokens do not give back, have no tokens: zeros and '' as digest.
 Repeated rows count as documents of their own; null ids stay; an empty table gives an empty table; other columns are ignored.
-Memory of a task: a slice of texts or the longest stretch without a cut, and a block's dictionary of ``BLOCK_PAIRS`` pairs, about.
+Memory of a task: a slice of texts or the longest stretch without a cut, and a block's dictionary of about ``BLOCK_PAIRS`` pairs or
+``BLOCK_BYTES`` characters.
 """
 
 from __future__ import annotations
@@ -33,11 +34,14 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from terraloom.functions.skew import join_by_weight
 from terraloom.llm import vocabularies as V
 from terraloom.llm.common import save, slices
+from terraloom.llm.token_counts import packed
 
 CHUNK = 65_536  # bytes of a range
 FAN_IN = 16
 BLOCK_PAIRS = 200_000
-SLICE = 2 << 20
+BLOCK_BYTES = 8 << 20
+SLICE = 1 << 20
+BATCH = 128 << 10
 B_IDS = 1 << 24  # a pair is one number: id of A times this, plus id of B
 
 KEY = ["k1", "k2"]
@@ -164,12 +168,14 @@ class Encoders:
     def encode(self, windows: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both for windows that begin with a space; None where the tokens do not give the bytes back."""
         out = []
-        for a, b, window in zip(
-            self.a.encode_batch_fast(windows, add_special_tokens=False), self.b.encode([w[1:] for w in windows], num_threads=1), windows, strict=True
-        ):
-            raw, ids = window.encode(), a.ids
-            same = b"".join(map(self.a_bytes.__getitem__, ids)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-            out.append((np.array(ids, np.int64), np.array(b, np.int64)) if same else None)
+        for start, stop in packed([len(w) for w in windows], BATCH):  # the library's own results are large
+            part = windows[start:stop]
+            for a, b, window in zip(
+                self.a.encode_batch_fast(part, add_special_tokens=False), self.b.encode([w[1:] for w in part], num_threads=1), part, strict=True
+            ):
+                raw, ids = window.encode(), a.ids
+                same = b"".join(map(self.a_bytes.__getitem__, ids)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+                out.append((np.array(ids, np.int64), np.array(b, np.int64)) if same else None)
         return out
 
 
@@ -228,6 +234,7 @@ def _short(docs: DataFrame, shipped: tuple[V.Shipped, V.Shipped], block_pairs: i
 
     def run(batches):
         e, block, pairs = encoders(*[x.content.value for x in shipped]), TaskContext.get().partitionId() << 32, Dictionary()
+        size = 0
         for b in slices(batches, size=SLICE, rows=2048):
             texts = b.column("text").to_pylist()
             filled = [i for i, t in enumerate(texts) if t]
@@ -243,9 +250,10 @@ def _short(docs: DataFrame, shipped: tuple[V.Shipped, V.Shipped], block_pairs: i
                 pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in found.texts]),
                 _lists(places, owner, len(rows), pa.int32()), _lists(times, owner, len(rows), pa.int32()), empty.cast(pa.list_(pa.int64())), empty.cast(pa.list_(pa.int32())),
             ], names)
-            if len(pairs.known) >= block_pairs:
+            size += sum(len(t) for t in texts if t)
+            if len(pairs.known) >= block_pairs or size >= BLOCK_BYTES:
                 yield closing(block, pairs)
-                block, pairs = block + 1, Dictionary()
+                block, pairs, size = block + 1, Dictionary(), 0
         if len(pairs.known):
             yield closing(block, pairs)
 
