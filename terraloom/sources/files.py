@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from terraloom import fixed_values as fv
 from terraloom.functions import values as V
-from terraloom.session import cut_lineage
+from terraloom.functions.skew import join_checked
+from terraloom.session import materialise
 
 
 def with_file_facts(df: DataFrame) -> DataFrame:
@@ -60,8 +61,8 @@ def numbered_lines(
     """file, line_no (from 1), value - for files of any size, split as usual.
 
     Inside one split of one file the scan's row ids are consecutive, so a line's number is the count
-    of lines in earlier splits plus its offset from the split's first id; both come from one checkpoint, so
-    nothing depends on two scans splitting alike. With ``by_folder`` the part files of a folder, by their
+    of lines in earlier splits plus its offset from the split's first id; both come from one compressed table, so
+    nothing depends on two scans splitting alike. The text is not shuffled while the table of splits, a row each, is small. With ``by_folder`` the part files of a folder, by their
     number and then their name, are one text and ``file`` is that folder.
     """
     reader = spark.read
@@ -70,7 +71,7 @@ def numbered_lines(
     if encoding:
         reader = reader.option("encoding", encoding)
     path = F.col("_metadata.file_path")
-    base = cut_lineage(reader.text(paths).select(
+    base = materialise(reader.text(paths).select(
         (F.regexp_replace(path, "/[^/]*$", "") if by_folder else path).alias("file"), path.alias("part"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), "value",
     ))
@@ -80,4 +81,4 @@ def numbered_lines(
     blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     line_no = F.col("before") + F.col("mid") - F.col("first_mid") + 1
     text = F.when(F.col("line_no") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
-    return base.join(blocks, ["file", "part", "block"]).withColumn("line_no", line_no).select("file", "line_no", text.alias("value"))
+    return join_checked(base, blocks, ["file", "part", "block"]).withColumn("line_no", line_no).select("file", "line_no", text.alias("value"))
