@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terraloom.functions import values as V
+from terraloom.functions.skew import join_checked
 from terraloom.operators.semantic import canonical_domain
 from terraloom.operators.versions import FILE_TYPE, STEP_TYPE
+from terraloom.sources.json_split import split_documents
 
 _ITEM = (
     "struct<version_id:string,version_number:string,project_name:string,module_name:string,description:string,created_at:string,"
@@ -35,9 +37,10 @@ def read_version_manifests(spark: SparkSession, path) -> DataFrame:
     File entries may be plain paths or objects. ``quality_path`` is set where the quality result is only
     a reference; ``attach_quality`` resolves it.
     """
-    root = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    parsed = root.withColumn("m", F.from_json("value", f"struct<project_name:string,module_name:string,versions:array<{_ITEM}>>"))
-    rows = parsed.select("file", F.col("m.project_name").alias("p"), F.col("m.module_name").alias("mod"), F.posexplode("m.versions").alias("ordinal", "v"))
+    items, shells = split_documents(spark, path, "versions")
+    root = shells.select("file", F.from_json("shell", "struct<project_name:string,module_name:string>").alias("m"))
+    rows = join_checked(items.filter("not is_list").select("file", "ordinal", F.from_json("value", _ITEM).alias("v")), root, ["file"])
+    rows = rows.select("file", F.col("m.project_name").alias("p"), F.col("m.module_name").alias("mod"), F.col("ordinal").cast("int").alias("ordinal"), "v")
     folder = F.regexp_replace("file", "/[^/]*$", "")
 
     def files(column):

@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from terraloom.functions import values as V
 from terraloom.functions.ordering import chunked_running_sums, id_chunk
+from terraloom.functions.skew import join_checked
 from terraloom.operators import mesh
 from terraloom.session import cut_lineage
+from terraloom.sources import token_streams
 from terraloom.sources.files import numbered_lines
 
 
@@ -175,33 +177,52 @@ def read_ply(spark: SparkSession, path) -> Meshes:
 _VTK_SECTIONS = ("POINTS", "POLYGONS", "CELLS", "LINES", "VERTICES", "CELL_TYPES", "POINT_DATA", "CELL_DATA", "SCALARS", "LOOKUP_TABLE")
 
 
-def read_vtk(spark: SparkSession, path, bits: int = 20) -> Meshes:
-    """Legacy ASCII VTK: POINTS by running word count, POLYGONS / CELLS / LINES one record per line."""
+def read_vtk(spark: SparkSession, path, bits: int = 20, chunk: int = token_streams.CHUNK) -> Meshes:
+    """Legacy ASCII VTK as a stream of words: line breaks inside a section mean nothing.
+
+    Points take three words each by running word count. A cell is a count and as many vertex ids; in sections with one cell to each
+    line, lines are cells, all others are taken apart by ``token_streams``. Cells that end with the section or not at all are left
+    out, and cells of a section beyond its stated number too.
+    """
     lines = numbered_lines(spark, path).select(F.col("file").alias("model_id"), "line_no", _words(F.col("value")).alias("w"))
     word = F.upper(F.get("w", 0))
     keyword = F.coalesce(word.isin(*_VTK_SECTIONS), F.lit(False))
     rows = lines.withColumn("kw", F.when(keyword, word)).withColumn("words", F.when(keyword, 0).otherwise(F.size("w")))
-    rows = chunked_running_sums(
+    rows = cut_lineage(chunked_running_sums(
         rows, ["model_id"], id_chunk("line_no", bits), ["line_no"],
         {"section": keyword.cast("int"), "seen": F.col("words"), "record": (~keyword & (F.size("w") > 0)).cast("int")},
-    )
+    ))
     heads = rows.filter("kw is not null").select(
-        "model_id", "section", F.col("kw").alias("name"), F.get("w", 1).try_cast("bigint").alias("n"), F.col("seen").alias("seen0"),
-        F.col("record").alias("record0"),
+        "model_id", "section", F.col("kw").alias("name"), F.get("w", 1).try_cast("bigint").alias("n"), F.get("w", 2).try_cast("bigint").alias("size"),
+        F.col("seen").alias("seen0"), F.col("record").alias("record0"),
     )
-    body = rows.filter("kw is null and size(w) > 0").join(heads, ["model_id", "section"])
-    values = body.filter("name = 'POINTS'").select(
-        "model_id", "n", (F.col("seen") - F.size("w") - F.col("seen0")).alias("base"), F.posexplode("w").alias("i", "t")
-    ).withColumn("k", F.col("base") + F.col("i")).filter(F.col("k") < F.col("n") * 3)
+    heads = cut_lineage(heads)  # a few rows for each file
+    body = join_checked(rows.filter("kw is null and size(w) > 0"), heads, ["model_id", "section"])
+    first = F.col("seen") - F.size("w") - F.col("seen0")
+    values = body.filter("name = 'POINTS'").select("model_id", "n", first.alias("base"), F.posexplode("w").alias("i", "t"))
+    values = values.withColumn("k", F.col("base") + F.col("i")).filter(F.col("k") < F.col("n") * 3)
     axis = F.pmod("k", F.lit(3))
     vertices = values.groupBy("model_id", F.floor(F.col("k") / 3).alias("vid")).agg(
         *[F.max(F.when(axis == i, _number(F.col("t")))).alias(a) for i, a in enumerate("xyz")]
     )
-    loop = F.transform(F.slice("w", 2, F.greatest(F.lit(0), F.get("w", 0).try_cast("int"))), lambda t: t.try_cast("bigint"))
+    body = body.filter("name in ('POLYGONS', 'CELLS', 'LINES')")
+    count = F.get("w", 0).try_cast("bigint")
     record = F.col("record") - F.col("record0") - 1
-    cells = body.filter(record < F.col("n"))
-    faces = cells.filter("name in ('POLYGONS', 'CELLS')").select("model_id", record.alias("fid"), loop.alias("loop"))
-    paths = cells.filter("name = 'LINES'").select("model_id", record.alias("lid"), loop.alias("path"))
+    shown = ["model_id", "section", "name"]
+    by_line = F.coalesce((F.size("w") == count + 1) | (record >= F.col("n")), F.lit(False))
+    loose = cut_lineage(body.groupBy("model_id", "section").agg(F.bool_and(by_line).alias("by_line")).filter("not by_line").select("model_id", "section"))
+    aligned = join_checked(body, loose.withColumn("loose", F.lit(True)), ["model_id", "section"], "left").filter(F.col("loose").isNull() & (record < F.col("n")))
+    ids = F.transform(F.slice("w", 2, 1 << 30), lambda t: t.try_cast("bigint"))
+    cells = aligned.select(*shown, record.alias("record"), ids.alias("loop"))
+    if not loose.isEmpty():
+        stream = join_checked(body, loose, ["model_id", "section"]).select("model_id", "section", "size", first.alias("base"), F.posexplode("w").alias("i", "t"))
+        tokens = stream.select("model_id", "section", (F.col("base") + F.col("i")).alias("k"), F.col("t").try_cast("bigint").alias("v"), "size")
+        tokens = tokens.filter(F.col("size").isNull() | (F.col("k") < F.col("size"))).drop("size")
+        found = token_streams.records(tokens, ["model_id", "section"], chunk)
+        found = join_checked(found, heads.select("model_id", "section", "name", "n"), ["model_id", "section"]).filter(F.col("record") < F.col("n"))
+        cells = cells.unionByName(found.select(*shown, "record", F.col("items").alias("loop")))
+    faces = cells.filter("name in ('POLYGONS', 'CELLS')").select("model_id", F.col("record").alias("fid"), "loop")
+    paths = cells.filter("name = 'LINES'").select("model_id", F.col("record").alias("lid"), F.col("loop").alias("path"))
     return Meshes(vertices, faces, paths)
 
 

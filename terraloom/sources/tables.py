@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from terraloom import fixed_values as fv
 from terraloom.functions import values as V
 from terraloom.functions.ordering import chunked_index, chunked_running_sums, id_chunk
+from terraloom.functions.skew import join_checked
 from terraloom.functions.values import q
-from terraloom.session import cut_lineage
+from terraloom.session import cut_lineage, materialise
 from terraloom.sources.files import numbered_lines
+from terraloom.sources.json_split import split_documents
 
 ROW_ID, RAGGED, FILE = "_row_id", "_ragged", "_file"
 
@@ -49,7 +51,7 @@ def _joined_records(lines: DataFrame, sep: str) -> DataFrame:
     ends = chunked_index(turned, ["file"], id_chunk("line_no"), ["line_no"], "nth")
     spans = ends.groupBy("file", F.floor(F.col("nth") / 2).alias("pair")).agg(F.min("line_no").alias("first"), F.max("line_no").alias("stop"), F.count(F.lit(1)).alias("n"))
     inside = spans.select("file", "first", (F.col("n") == 1).alias("unclosed"), F.explode(F.sequence("first", "stop")).alias("line_no"))
-    marked = lines.join(inside, ["file", "line_no"], "left")
+    marked = join_checked(lines, inside, ["file", "line_no"], "left")  # few lines of cells are broadcast and no text is shuffled
     parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda p: p["value"])
     whole = marked.filter("first is not null").groupBy("file", F.col("first").alias("line_no")).agg(F.array_join(parts, "\n").alias("value"), F.max("unclosed").alias("unclosed"))
     return marked.filter("first is null").select("file", "line_no", "value", F.lit(False).alias("unclosed")).unionByName(whole)
@@ -66,7 +68,7 @@ def read_delimited(
     record. Delimiter and encoding are the caller's choice; encodings beyond Spark's allowed list need
     ``spark.sql.legacy.javaCharsets``.
     """
-    lines = _joined_records(numbered_lines(spark, path, encoding=encoding), sep)
+    lines = materialise(_joined_records(numbered_lines(spark, path, encoding=encoding), sep))  # read for the headers and for the cells
     heads = cut_lineage(lines.filter("line_no = 1").select("file", F.col("value").alias("head")))
     kinds = [r["head"] for r in heads.groupBy("head").agg(F.min("file").alias("file")).orderBy("file").collect()]  # one row per layout
     if not kinds:
@@ -105,26 +107,32 @@ FEATURE = "struct<type:string,properties:map<string,string>,geometry:string>"
 def read_json_records(spark: SparkSession, path: Sequence[str] | str, lines: bool = False) -> DataFrame:
     """file, ordinal, json_type, props MAP, geometry (JSON text).
 
-    A FeatureCollection gives one row per feature, a list one per object, anything else one row. A
-    JSON document is one record and read whole; use line-delimited features (``lines=True``) for big sets.
+    A FeatureCollection gives one row per feature, a list one per object, anything else one row. Documents of any size are taken
+    apart by ``json_split``; elements that are no objects are left out. ``lines=True`` reads one JSON value a line.
     """
-    if lines:
-        base = numbered_lines(spark, path).filter(F.trim("value") != "").select("file", F.col("line_no").alias("base"), "value")
-    else:
-        base = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.lit(0).alias("base"), "value")
-    text = F.regexp_replace("value", "^﻿", "")
-    kind = F.get_json_object(text, "$.type")
-    is_list = F.trim(text).startswith("[")
-    feature = lambda f: F.struct(f["properties"].alias("props"), f["geometry"].alias("geometry"))
-    plain = lambda m: F.struct(m.alias("props"), F.lit(None).cast("string").alias("geometry"))
+    kind = lambda text: F.get_json_object(text, "$.type")
+    feature = lambda f: F.struct(f["properties"].alias("props"), f["geometry"].alias("geometry"))
+    plain = lambda m: F.struct(m.alias("props"), F.lit(None).cast("string").alias("geometry"))
+    one_feature, one_object = feature(F.from_json("value", FEATURE)), plain(F.from_json("value", "map<string,string>"))
+    shown = ["file", F.col("ordinal").cast("bigint").alias("ordinal"), "json_type", "r.props", "r.geometry"]
+    if not lines:
+        items, shells = split_documents(spark, path, "features", "FeatureCollection")
+        parts = items.select(
+            "file", "ordinal", F.when(F.col("is_list"), "List").otherwise("FeatureCollection").alias("json_type"), F.when(F.col("is_list"), one_object).otherwise(one_feature).alias("r")
+        )
+        whole = shells.filter("not is_split and not is_list").select("file", F.lit(0).alias("ordinal"), F.col("shell").alias("value"))
+        is_feature = kind(F.col("value")).eqNullSafe(F.lit("Feature"))
+        whole = whole.select("file", "ordinal", F.when(is_feature, "Feature").otherwise("Object").alias("json_type"), F.when(is_feature, one_feature).otherwise(one_object).alias("r"))
+        return parts.select(*shown).unionByName(whole.select(*shown))
+    base = numbered_lines(spark, path).filter(F.trim("value") != "").select("file", F.col("line_no").alias("base"), "value")
+    is_list = F.trim("value").startswith("[")
+    text = F.col("value")
     from_features = F.transform(F.from_json(text, f"struct<features:array<{FEATURE}>>")["features"], feature)
-    one_feature = F.array(feature(F.from_json(text, FEATURE)))
     from_list = F.transform(F.from_json(text, "array<map<string,string>>"), plain)
-    one_object = F.array(plain(F.from_json(text, "map<string,string>")))
-    rows = F.when(kind == "FeatureCollection", from_features).when(kind == "Feature", one_feature).when(is_list, from_list).otherwise(one_object)
-    label = F.when(is_list, "List").when(kind.isin("FeatureCollection", "Feature"), kind).otherwise("Object")
+    rows = F.when(kind(text) == "FeatureCollection", from_features).when(kind(text) == "Feature", F.array(one_feature)).when(is_list, from_list).otherwise(F.array(one_object))
+    label = F.when(is_list, "List").when(kind(text).isin("FeatureCollection", "Feature"), kind(text)).otherwise("Object")
     exploded = base.select("file", "base", label.alias("json_type"), F.posexplode(rows).alias("pos", "r"))
-    return exploded.select("file", (F.col("base") + F.col("pos")).cast("bigint").alias("ordinal"), "json_type", "r.props", "r.geometry")
+    return exploded.withColumn("ordinal", F.col("base") + F.col("pos")).select(*shown)
 
 
 def props_to_columns(records: DataFrame, names: Sequence[str] | None = None, with_point: bool = False) -> DataFrame:
