@@ -48,13 +48,6 @@ def format_summary(files: DataFrame) -> DataFrame:
     return files.groupBy("category").agg(F.count(F.lit(1)).alias("count"), F.sum("length").alias("size_bytes"))
 
 
-def checksums(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """path, length, sha256."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(
-        "path", "length", F.sha2("content", 256).alias("sha256")
-    )
-
-
 def numbered_lines(
     spark: SparkSession, paths: Sequence[str] | str, line_sep: str | None = None, encoding: str | None = None, by_folder: bool = False
 ) -> DataFrame:

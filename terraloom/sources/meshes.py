@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from terraloom.functions.ordering import chunked_running_sums, id_chunk
 from terraloom.functions.skew import join_checked
 from terraloom.operators import mesh
 from terraloom.session import cut_lineage
-from terraloom.sources import token_streams
+from terraloom.sources import byte_ranges, token_streams
 from terraloom.sources.files import numbered_lines
 
 
@@ -104,45 +105,48 @@ def _triangle_soup(points: DataFrame, weld_tolerance: float | None) -> Meshes:
 
 
 _STL_RECORD = np.dtype([("normal", "<f4", 3), ("points", "<f4", (3, 3)), ("attr", "<u2")])
+_STL_HEADER, _STL_BYTES = 84, 50
 
 
 def _decode_stl(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for model_id, content in zip(batch["model_id"], batch["content"]):
-            records = np.frombuffer(content, _STL_RECORD, offset=84)
+        for model_id, offset, content in zip(batch["path"], batch["offset"], batch["content"], strict=True):
+            records = np.frombuffer(content, _STL_RECORD, count=len(content) // _STL_BYTES)
+            before = (offset - _STL_HEADER) // _STL_BYTES
             for start in range(0, len(records), 200_000):
                 xyz = records["points"][start : start + 200_000].reshape(-1, 3).astype("f8")
-                first = start * 3
+                first = (before + start) * 3
                 yield pd.DataFrame({
                     "model_id": model_id, "vid": np.arange(first, first + len(xyz)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2],
                 })
 
 
-def is_binary_stl(content: Column, length: Column) -> Column:
-    """Exactly 84 + 50 n bytes, n being the little-endian count at byte 80."""
-    le = F.hex(F.substring(content, 81, 4))
-    n = F.conv(F.concat(*[F.substring(le, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("bigint")
-    return (length >= 84) & (length == 84 + n * 50) & (n > 0)
+def stl_kinds(spark: SparkSession, path) -> DataFrame:
+    """(path, length, binary): a binary file has exactly 84 + 50 n bytes, n being the count at byte 80; no more than the header is read."""
+    files = byte_ranges.listing(spark, path)
+    heads = byte_ranges.read_ranges(spark, path, files.select("path", F.lit(0).cast("bigint").alias("offset"), F.lit(_STL_HEADER).cast("bigint").alias("size")))
+    n = byte_ranges.little_endian(F.col("content"), 80)
+    known = files.join(heads.select("path", n.alias("n"), F.length("content").alias("head")), "path")
+    return known.select("path", "length", ((F.col("head") == _STL_HEADER) & (F.col("length") == _STL_HEADER + F.col("n") * _STL_BYTES) & (F.col("n") > 0)).alias("binary"))
 
 
-def read_binary_stl(spark: SparkSession, path, weld_tolerance: float | None = 0.0) -> Meshes:
-    files = spark.read.format("binaryFile").load(path)
-    name = F.col("_metadata.file_path").alias("model_id")  # spelled as the line readers spell it
-    binary = files.filter(is_binary_stl(F.col("content"), F.col("length"))).select(name, "content")
-    points = binary.mapInPandas(_decode_stl, "model_id string, vid bigint, x double, y double, z double")
+def read_binary_stl(spark: SparkSession, path, weld_tolerance: float | None = 0.0, range_bytes: int = byte_ranges.RANGE, kinds: DataFrame | None = None) -> Meshes:
+    """Binary STL by ranges of its 50-byte records, so one file is read by many tasks; other files are passed over."""
+    kinds = stl_kinds(spark, path) if kinds is None else kinds
+    parts = byte_ranges.ranges(kinds.filter("binary"), _STL_HEADER, _STL_BYTES, range_bytes)
+    points = byte_ranges.read_ranges(spark, path, parts).mapInPandas(_decode_stl, "model_id string, vid bigint, x double, y double, z double")
     return _triangle_soup(points, weld_tolerance)
 
 
-def read_stl(spark: SparkSession, path, weld_tolerance: float | None = 0.0) -> Meshes:
-    """STL files of both kinds: each file is told apart by its length and count, then read by its own reader."""
-    files = spark.read.format("binaryFile").load(path)
-    kinds = cut_lineage(files.select(F.col("_metadata.file_path").alias("model_id"), is_binary_stl(F.col("content"), F.col("length")).alias("binary")))
-    text, binary = read_ascii_stl(spark, path, weld_tolerance=weld_tolerance), read_binary_stl(spark, path, weld_tolerance)
-    only = kinds.filter("binary").select("model_id")
-    keep = lambda df: df.join(only, "model_id", "left_anti") if df is not None else None
-    return Meshes(
-        keep(text.vertices).unionByName(binary.vertices), keep(text.faces).unionByName(binary.faces), rejected=keep(text.rejected),
-    )
+def read_stl(spark: SparkSession, path, weld_tolerance: float | None = 0.0, range_bytes: int = byte_ranges.RANGE) -> Meshes:
+    """STL files of both kinds: headers tell them apart, then each reader gets its own files."""
+    kinds = cut_lineage(stl_kinds(spark, path))
+    found = read_binary_stl(spark, path, weld_tolerance, range_bytes, kinds)
+    texts = [unquote(r["path"]) for r in kinds.filter("not binary").select("path").collect()]  # names, as every listing holds them
+    if not texts:
+        return found
+    text = read_ascii_stl(spark, texts, weld_tolerance=weld_tolerance)
+    return Meshes(text.vertices.unionByName(found.vertices), text.faces.unionByName(found.faces))
 
 
 def read_ply(spark: SparkSession, path) -> Meshes:

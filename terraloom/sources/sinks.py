@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terraloom.operators import mesh
-from terraloom.sources.files import checksums
+from terraloom.sources.byte_ranges import checksums
 
 TEXT_FORMATS = ("OBJ", "STL", "PLY", "VTK")
 TITLE = "text mesh export"

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -5,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from terraloom.sources import json_split as J, meshes, tables, token_streams as T
+from terraloom.sources import byte_ranges as B, json_split as J, meshes, tables, token_streams as T
 
 
 def loops_of(rng, n, longest):
@@ -118,3 +119,35 @@ def test_documents_are_split_into_their_objects(spark, folder, write, indent, se
         [(n, i, "List" if n == "list.json" else "FeatureCollection") for n, x in expected.items() for i in range(len(x))] + [("one.json", 0, "Feature"), ("plain.json", 0, "Object")])
     first = next(r for r in rows if r["file"].endswith("many.json") and r["ordinal"] == 7)
     assert json.loads(first["geometry"]) == docs["many.json"]["features"][7]["geometry"] and set(first["props"]) == {"v"}
+
+
+# --- byte ranges ------------------------------------------------------------------------------
+
+
+def binary_stl(points):
+    raw = np.zeros(len(points), meshes._STL_RECORD)
+    raw["points"] = points
+    return b"solid but binary".ljust(80) + np.uint32(len(points)).tobytes() + raw.tobytes()
+
+
+def test_stl_files_of_both_kinds_by_ranges(spark, folder, write):
+    rng = np.random.default_rng(1)
+    triangles = {"a b.stl": rng.integers(0, 5, (23, 3, 3)), "two.stl": rng.integers(0, 5, (7, 3, 3)), "text.stl": rng.integers(0, 5, (4, 3, 3))}
+    for name, t in triangles.items():
+        if name == "text.stl":
+            write(name, "solid t\n" + "".join("facet normal 0 0 0\nouter loop\n" + "".join(f"vertex {x} {y} {z}\n" for x, y, z in f) + "endloop\nendfacet\n" for f in t) + "endsolid t\n")
+        else:
+            write(name, binary_stl(t))
+    write("short.stl", b"\x00" * 30)
+    write("wrong.stl", binary_stl(rng.integers(0, 5, (3, 3, 3)))[:-1])
+    for size in (50, 333, 1 << 20):
+        m = meshes.read_stl(spark, f"{folder}/*.stl", weld_tolerance=None, range_bytes=size)
+        got = {}
+        for r in m.vertices.collect():
+            got.setdefault(r["model_id"].rsplit("/", 1)[1].replace("%20", " "), {})[r["vid"]] = (r["x"], r["y"], r["z"])
+        assert {n: [got[n][i] for i in range(len(got[n]))] for n in got} == {n: [tuple(map(float, p)) for p in t.reshape(-1, 3)] for n, t in triangles.items()}
+    kinds = {r["path"].rsplit("/", 1)[1]: r["binary"] for r in meshes.stl_kinds(spark, f"{folder}/*.stl").collect()}
+    assert kinds == {"a%20b.stl": True, "two.stl": True, "text.stl": False, "short.stl": False, "wrong.stl": False}
+    assert B.ranges(meshes.stl_kinds(spark, f"{folder}/two.stl").drop("binary"), 84, 50, 100).count() == 4
+    sums = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in B.checksums(spark, folder).collect()}
+    assert sums["two.stl"] == hashlib.sha256(open(f"{folder}/two.stl", "rb").read()).hexdigest() and len(sums) == 5

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terraloom import fixed_values as fv
 from terraloom.operators import batch, borehole, semantic as S, templates as T, versions as R
 from terraloom.plans import batching, vocabulary
-from terraloom.sources import files, manifests
+from terraloom.sources import byte_ranges, files, manifests
 from terraloom.streaming import intake
 
 ROWS = [
@@ -214,7 +214,7 @@ def test_scan(spark, write, folder):
     assert [(r["name"], r["category"]) for r in found] == [("b.OBJ", "三维模型"), ("c.las", "点云"), ("a.csv", "表格")]
     assert files.scan_directories(spark, [f"{folder}/d"], ["*.csv", "*.las"], recursive=False, max_files=1).first()["name"] == "c.las"
     assert files.format_summary(files.scan_directories(spark, [f"{folder}/d"], category="表格")).first()["count"] == 1
-    assert len(files.checksums(spark, f"{folder}/d").first()["sha256"]) == 64
+    assert len(byte_ranges.checksums(spark, f"{folder}/d").first()["sha256"]) == 64
 
 
 def test_stream_intake(spark, folder):
