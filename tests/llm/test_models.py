@@ -126,3 +126,25 @@ def test_common_secrets_are_candidates_of_their_own(docs):
 def test_without_examples_every_candidate_counts(docs):
     got = F.scan(docs([(1, "x abcdefghijklmn1234 y")])).collect()
     assert len(got) == 1 and got[0]["label"] is None and got[0]["probability"] == 1.0 and got[0]["is_secret"]
+
+
+def test_every_one_of_many_languages_is_learned(docs):
+    rng = random.Random(12)
+    alphabet = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0x430, 0x450)]
+    words = {f"q{k:03d}": ["".join(rng.choice(alphabet) for _ in range(rng.randint(2, 6))) for _ in range(12)] for k in range(300)}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(60))
+    rows = [(i, text(lang), "s", lang) for i, lang in enumerate([*words] * 4)]
+    model = G.train(docs(rows), per_language=4)
+    assert max(len(layer.classes) for layer in model.layers.values()) <= G.FAN and sum(len(layer.pairs) for layer in model.layers.values()) < 300 * 10
+    right = sum(model.predict(text(lang))[0] == lang for lang in words)
+    assert right >= 290
+
+
+def test_layers_hold_every_language_once():
+    rng = np.random.default_rng(3)
+    for n, fan in ((1, 4), (4, 4), (5, 4), (90, 4), (40, 16)):
+        names = [*"en de nl es fr it pt ro ca gl".split(), *[f"q{k}" for k in range(n)]]
+        layers = G.arrange({name: rng.random(6) for name in names}, fan)
+        assert all(len(classes) <= fan for classes in layers.values())
+        leaves = [label for classes in layers.values() for label in classes if label not in layers]
+        assert sorted(leaves) == sorted(names) and sorted(x for langs in layers[""].values() for x in langs) == sorted(names)
