@@ -195,7 +195,7 @@ def append_manifest(spark, table_path: str, run_id: str, kind: str, parameters:
 
 
 def write_archive(versions: DataFrame, manifest: DataFrame, trace: DataFrame, path: str) -> None:
-    """Facet tables of archived versions, partitioned by version id."""
+    """Facet tables of archived versions, each in order of the version id, so that one version is a few row groups and no folder of its own."""
     done = versions.filter("archived")
     facets = {
         "metadata": done.select("version_id", "version_number", "project_name", "module_name", "description", "created_at", "created_by", "archive_path", "tags"),
@@ -206,4 +206,4 @@ def write_archive(versions: DataFrame, manifest: DataFrame, trace: DataFrame, pa
         "copies": manifest,
     }
     for name, frame in facets.items():
-        frame.write.mode("overwrite").partitionBy("version_id").parquet(f"{path}/{name}")
+        frame.repartitionByRange("version_id").sortWithinPartitions("version_id").write.mode("overwrite").parquet(f"{path}/{name}")
