@@ -8,7 +8,8 @@ Chunks of a source settle independently and leave at most one open document each
 tree with the same fan-in, so a source of any size is never one task. A source's words miss its target by one document at most.
 
 Defined cases: null and empty texts have size 0, get copies by an independent draw and take no words; a null source is a
-source of its own; repeated rows are documents of their own; an empty table gives an empty mix. The draw depends only on
+source of its own; repeated rows are documents of their own, settled
+together; an empty table gives an empty mix. The draw depends only on
 the rows and ``seed``, never on partitions.
 """
 
@@ -31,7 +32,7 @@ BROADCAST_SOURCES = 50_000  # narrow rows, counted before the broadcast
 NEAR_INTEGER = 1e-9
 
 ROWS = "_key1 long, _key2 long, doc_id long, source string, size long, source_size long, target double"
-STATE = ROWS + ", copies long, share double, chunk long"
+STATE = ROWS + ", n long, copies long, share double, chunk long"
 
 
 def numbered_sources(sources: DataFrame) -> DataFrame:
@@ -114,8 +115,12 @@ def mix(
     rows = sized.join(table, sized["source"].eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + NEAR_INTEGER)
+    # repeated rows are one entry with the copies of all of them: at most one of their copies is open
+    rows = rows.groupBy(*KEYS, "doc_id", "source", "size", "source_size", "target", "n_docs").agg(F.count(F.lit(1)).alias("n"))
+    open_ = F.greatest(rate - whole, F.lit(0.0)) * F.col("n")
+    full = F.floor(open_ + NEAR_INTEGER)
     rows = rows.select(
-        *KEYS, "doc_id", "source", "size", "source_size", "target", whole.alias("copies"), F.greatest(rate - whole, F.lit(0.0)).alias("share"),
+        *KEYS, "doc_id", "source", "size", "source_size", "target", "n", (whole * F.col("n") + full).alias("copies"), F.greatest(open_ - full, F.lit(0.0)).alias("share"),
         F.pmod(F.col(KEYS[0]), F.ceil(F.col("n_docs") / fan_in)).alias("chunk"),
     )
     chunks, level, done = -(-(most_docs or 0) // fan_in), 0, []
@@ -131,9 +136,9 @@ def mix(
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(
-        *KEYS, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    each = out.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    copies = F.floor(F.col("copies") / F.col("n")) + (F.col("_nth") <= F.col("copies") % F.col("n")).cast("bigint")
+    return each.select(*KEYS, "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:

@@ -107,9 +107,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, **options) -> QualityModel:
     """Fit on a bounded sample of labelled documents; features are counted on the executors."""
     known = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
-    sample = hash_sample(known.withColumn("order", F.xxhash64("doc_id")), "label", "order", per_class)
+    sample = hash_sample(known.distinct().withColumn("order", F.xxhash64("doc_id")), "label", "order", per_class)
     share = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label")), "doc_id")  # 2 * per_class rows at most
+    found = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label")), "doc_id")
+    # repeated rows, and texts that share an id, count once: 2 * per_class rows at most
+    rows = found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches):
         for b in slices(batches):

@@ -30,6 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from terraloom.functions.skew import join_checked
 from terraloom.llm.common import SpanHash, _BYTE_CODES, _power_tables, mixed, save, slices, utf8
 from terraloom.session import cut_lineage
 
@@ -283,7 +284,17 @@ def digests(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, **options)
 
 def _cut(docs: DataFrame, length: int, lead: int, digest: bool, **options) -> DataFrame:
     rows = keyed(docs)
+    # rows that stand there more than once are worked on once: all their windows are repeated, and so is the whole text
+    repeats = cut_lineage(rows.groupBy("uid").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1"))
+    again = not repeats.isEmpty()
+    if again:
+        one = join_checked(rows, repeats.select("uid"), ["uid"]).dropDuplicates(["uid"])
+        rows = join_checked(rows, repeats.select("uid"), ["uid"], "left_anti").unionByName(one)
     spans = repeated_spans(rows, length, lead, **options)
+    if again:
+        size = F.octet_length("text").cast("int")
+        whole = one.filter(size >= length).select("uid", F.lit(0).alias("start"), size.alias("stop"))
+        spans = spans.unionByName(whole)
     spans = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # at most a few for each of a document's anchors
     last = ("kept_sha256", pa.string()) if digest else ("kept", pa.binary())
 
@@ -303,5 +314,15 @@ def _cut(docs: DataFrame, length: int, lead: int, digest: bool, **options) -> Da
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [last[1]], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", last[0]])
 
-    joined = packed(rows).join(spans, "uid", "left").select("doc_id", "packed", "spans")
-    return joined.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last[0]} {'string' if digest else 'binary'}")
+    joined = packed(rows).join(spans, "uid", "left")
+    ddl = f"doc_id long, n_bytes long, n_removed long, n_spans long, {last[0]} {'string' if digest else 'binary'}"
+    if not again:
+        return joined.select("doc_id", "packed", "spans").mapInArrow(run, ddl)
+    counted = join_checked(joined, repeats, ["uid"], "left").select("doc_id", "packed", "spans", F.coalesce("_rows", F.lit(1)).alias("_rows"))
+    single = counted.filter("_rows = 1").select("doc_id", "packed", "spans").mapInArrow(run, ddl)
+    names = [c.split()[0] for c in ddl.split(", ")]
+    # the number of repeats goes along as a further id
+    many = counted.filter("_rows > 1").select(F.struct("doc_id", "_rows").alias("doc_id"), "packed", "spans")
+    done = many.mapInArrow(run, ddl.replace("doc_id long", "doc_id struct<doc_id:bigint,_rows:bigint>"))
+    each = done.select(F.col("doc_id.doc_id").alias("doc_id"), *names[1:], F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("doc_id._rows"))))
+    return single.unionByName(each.select(*names))

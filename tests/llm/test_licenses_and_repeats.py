@@ -124,3 +124,18 @@ def test_multikey_order_sorts():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 3, (500, 6)).astype(np.uint64)
     assert [tuple(r) for r in words[S.multikey_order(words)].tolist()] == sorted(map(tuple, words.tolist()))
+
+
+def test_thousands_of_repeats_of_a_row(docs):
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    shared, own, short = words(400), words(200), words(20)
+    rows = [(1, shared)] * 5_000 + [(2, own + " " + shared[:1_000]), (3, own), (4, words(150))] + [(5, short)] * 300 + [(None, None)] * 3
+    found = {}
+    for r in S.digests(docs(rows)).collect():
+        found.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"], r["n_spans"]))
+    assert {k: len(v) for k, v in found.items()} == {1: 5_000, 2: 1, 3: 1, 4: 1, 5: 300, None: 3}
+    assert set(found[1]) == {(len(shared), len(shared), 1)} and set(found[5]) == {(len(short), 0, 0)} and set(found[None]) == {(0, 0, 0)}
+    n = len(own)
+    assert found[2] == [(n + 1_001, n + 1_000, 2)] or found[2] == [(n + 1_001, n + 1_001, 1)]
+    assert found[3] == [(n, n, 1)] and found[4][0][1:] == (0, 0)

@@ -130,3 +130,15 @@ def test_digests_and_ids(docs, library):
     full = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["token_ids"]) for r in B.encode(docs(rows)).collect()]
     assert sorted(full, key=order) == sorted(want, key=order)
     assert B.digests(docs([])).count() == 0 and B.encode(docs([])).count() == 0
+
+
+def test_thousands_of_repeats_are_mixed_together(docs):
+    rows = [(1, "a b c", "x")] * 5_000 + [(k, "a b", "y") for k in range(10, 60)] + [(2, "a", "x")]
+    got = [r.asDict() for r in M.mix(docs(rows)).collect()]
+    assert len(got) == len(rows)
+    for source in "xy":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 3
+    copies = [r["copies"] for r in got if r["doc_id"] == 1]
+    assert max(copies) - min(copies) <= 1 and max(copies) <= 3
+    assert sorted(map(str, got)) == sorted(str(r.asDict()) for r in M.mix(docs(rows[::-1])).collect())

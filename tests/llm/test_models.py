@@ -148,3 +148,13 @@ def test_layers_hold_every_language_once():
         assert all(len(classes) <= fan for classes in layers.values())
         leaves = [label for classes in layers.values() for label in classes if label not in layers]
         assert sorted(leaves) == sorted(names) and sorted(x for langs in layers[""].values() for x in langs) == sorted(names)
+
+
+def test_repeats_of_a_labelled_row_count_once(spark, docs):
+    rng = random.Random(5)
+    words = {1: "river stone valley ridge water".split(), 0: "buy now cheap click win".split()}
+    rows = [(i, " ".join(rng.choice(words[i % 2]) for _ in range(30)), "s", "en") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once = Q.train(docs(rows), labels)
+    again = Q.train(docs(rows + [rows[1]] * 5_000), labels.union(labels))
+    assert all(abs(once.score(r[1]) - again.score(r[1])) < 1e-9 for r in rows)
