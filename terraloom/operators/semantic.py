@@ -445,7 +445,9 @@ def normalise_table(
             F.col("target_code").alias(name("target_code")), F.lit(target_system).alias(name("code_system")),
             F.col("matched_by").alias(name("matched_by")), F.col("confidence").alias(name("confidence")),
         )
-        out = join_by_weight(out.withColumn("_key", V.strip(q(f))), lookup, ["_key"], "_weight", total, hot_share).drop("_key")
+        keyed = with_token(out.withColumn("_key", V.strip(q(f))), "_key", "_token")
+        # blank cells and null words have no mapping, see column_terms
+        out = join_by_weight(keyed, lookup, ["_key"], "_weight", total, hot_share, ~not_null_term(F.col("_token"))).drop("_key", "_token")
     return out
 
 

@@ -205,3 +205,22 @@ def test_partition_count_does_not_matter(spark):
         p = profiling.profile_fields(df, ["v", "t"], 1.0, "id").orderBy("field").collect()
         seen.add(str(p))
     assert len(seen) == 1
+
+
+def test_rows_without_an_entry_are_spread(spark):
+    """A third of the keys blank and a third null: no partition of the join gets them all."""
+    rows = frame(spark, [(i, "" if i % 3 == 0 else None if i % 3 == 1 else f"k{i % 50}") for i in range(3_000)], "i int, k string")
+    lookup = frame(spark, [(f"k{j}", 20, j) for j in range(50)], "k string, w int, v int")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "20", "-1"), strict=True):
+            spark.conf.set(k, v)
+        got = join_by_weight(rows, lookup, ["k"], "w", 1_000, 5, F.col("k") == "").withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 3_000 and all((r["v"] is None) == (r["k"] in ("", None)) for r in got)
+    sizes = {}
+    for r in got:
+        sizes[r["p"]] = sizes.get(r["p"], 0) + 1
+    assert max(sizes.values()) < 600
