@@ -1,18 +1,26 @@
 """Secret scan with a random forest against false positives.
 
-Candidates are private key blocks up to their END line, published key formats anywhere in the text, values assigned to a name that
-speaks of a secret, and runs of at least 16 key characters with a digit, without a name and separator before them. A random forest judges each by its length, its character classes and transitions, the share that dictionary words cover,
-words in the document's path (``source``) and the words around it. It is trained from labelled findings: either a table of
-(candidate, before, after, source, rule, label) rows, or the findings of the corpus that ``rule_labels`` can decide beyond doubt
+Candidates are private key blocks up to their END line, published key formats anywhere in the text, passwords inside URLs, values
+assigned to a name that speaks of a secret, and runs of at least 16 key characters with a digit, without a name and separator before
+them. A random forest judges each by its length, its character classes and transitions, the share that words of the corpus cover, words
+in the document's path (``source``) and the words around it. It is trained from labelled findings: either a held table of
+(candidate, before, after, source, rule, label) rows, or the findings of the corpus that ``rule_label`` can decide beyond doubt
 (published key formats and quoted random values assigned to secret names; card numbers, plain numbers, UUIDs, placeholders and hashes
-next to words such as commit or checksum). The forest then generalises to the findings that no rule decides.
+next to words such as commit or checksum). In the second case candidates are dealt into two halves by a hash, equal ones together, and
+each half is judged by the forest of the other, so that no finding is judged by its own label. ``rates`` compares the forest with the
+labels it has not seen; ``blind`` takes the features away that the rules themselves read.
 
-Training reads at most ``TRAIN_FINDINGS`` findings of each label, chosen by a hash; the dictionary comes from their surroundings. All
-texts are scanned whole and all findings judged.
+The forest judges every finding. One exact check follows: key blocks and published key formats are secrets, placeholders and UUIDs are
+none, whatever the forest says; ``probability`` stays the forest's.
 
-Defined cases: null and empty texts have no findings; without labelled findings of both kinds the label of the only kind decides, and
-without any every candidate counts as a secret (probability 1); the same secret in several places or repeated rows gives several findings;
-a null source has no path words; an empty table gives an empty result; other columns are ignored, and kept by ``redact``.
+Training reads at most ``TRAIN_FINDINGS`` findings of each label and half, chosen by a hash, as rows of features. The dictionary is
+the ``DICTIONARY`` words that most documents hold, counted over all whole texts. All texts are scanned whole, features describe whole
+candidates, and all findings are judged.
+
+Defined cases: null and empty texts have no findings; a half whose counterpart lacks one of the two labels takes the forest of both, and
+without labelled findings of both kinds the label of the only kind decides, and without any every candidate counts as a secret
+(probability 1); the same secret in several places or repeated rows gives several findings; a null source has no path words; an empty
+table gives an empty result; other columns are ignored, and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 from terraloom.llm.common import hash_sample, save, slices
 
 TRAIN_FINDINGS = 5000
+DICTIONARY = 20_000
 TREES = 25
 DEPTH = 9
 BINS = 32
@@ -45,6 +55,7 @@ VALUE = r"((?:[^\s\"',;\\]|\\(?![\"'])){6,})"
 ASSIGNED = re.compile(rf"(?i){NAMES}(?:\\?[\"'])?[ \t]{{0,4}}[=:][ \t]{{0,4}}(?:\\?[\"'])?{VALUE}")
 # the scheme of a header has no separator; a word of prose after it has no digit and is short
 BEARER = re.compile(r"(?i)\bbearer[ \t]{1,4}([\w.~+/=\-]{16,}|(?=[^\s\d]{0,15}\d)[\w.~+/=\-]{6,})")
+URL_PASSWORD = re.compile(r"://[^\s/:@\"']{0,64}:([^\s/@\"']{6,})@")
 BLOCK_BEGIN = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----")
 BLOCK_END = re.compile(r"-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----")
 BLOCK_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s]|\\[nr])*")
@@ -66,7 +77,7 @@ FINDING = "start int, stop int, rule string, candidate string, before string, af
 
 
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, stop, rule) in code points, by start, without overlaps: blocks first, then key formats, assigned values and runs.
+    """(start, stop, rule) in code points, by start, without overlaps: blocks first, then key formats, passwords of URLs, assigned values and runs.
 
     Of a value or run that holds an earlier candidate the rest stays, where it is long enough.
     """
@@ -74,10 +85,11 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
         return []
     out = [(a, b, "block") for a, b in _blocks(text)]
     out = sorted(out + [(*m.span(), "key") for m in KEY.finditer(text) if not _overlaps(out, *m.span())])
-    assigned = sorted(m.span(1) for pattern in (ASSIGNED, BEARER) for m in pattern.finditer(text)) if _may_assign(text) else []
+    named = [(m.start(1), m.end(1), "url") for m in URL_PASSWORD.finditer(text)] if "://" in text else []
+    named += [(*m.span(1), "assigned") for pattern in (ASSIGNED, BEARER) for m in pattern.finditer(text)] if _may_assign(text) else []
     values, last = [], 0
-    for a, b in assigned:  # a value may hold a further name and value
-        values += [(i, j, "assigned") for i, j in _free(out, max(a, last), b) if j - i >= 6] if b > last else []
+    for a, b, rule in sorted(named):  # a value may hold a further name and value
+        values += [(i, j, rule) for i, j in _free(out, max(a, last), b) if j - i >= 6] if b > last else []
         last = max(last, b)
     out = sorted(out + values)
     runs = [(i, j) for m in RUN.finditer(text) if any(c.isdigit() for c in m.group()) for i, j in _pieces(m.group(), m.start())]
@@ -127,13 +139,16 @@ def context(text: str, start: int, stop: int) -> tuple[str, str, str]:
     return text[start:stop], text[max(0, start - CONTEXT) : start], text[stop : stop + CONTEXT]
 
 
-def _luhn(digits: str) -> bool:
-    return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+def _luhn(digits: np.ndarray) -> bool:
+    doubled = digits[-2::-2].astype(np.int64) * 2
+    return (int(digits[::-2].sum()) + int((doubled - 9 * (doubled > 9)).sum())) % 10 == 0
 
 
 def _entropy(s: str) -> float:
-    counts = np.unique(np.frombuffer(s.encode("utf-8", "surrogatepass"), dtype=np.uint8), return_counts=True)[1] / max(1, len(s))
-    return float(-(counts * np.log2(counts)).sum())
+    raw = np.frombuffer(s.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    shares = np.bincount(raw, minlength=256) / max(1, len(raw))
+    shares = shares[shares > 0]
+    return float(-(shares * np.log2(shares)).sum())
 
 
 def rule_label(rule: str, candidate: str, before: str, after: str) -> int | None:
@@ -142,7 +157,7 @@ def rule_label(rule: str, candidate: str, before: str, after: str) -> int | None
         return 1
     if PLACEHOLDER.search(candidate) or UUID.fullmatch(candidate):
         return 0
-    if rule == "key" or KEY_FORMATS.fullmatch(candidate):
+    if rule in ("key", "url") or KEY_FORMATS.fullmatch(candidate):
         return 1
     if candidate.isdigit() and candidate.isascii():
         return 0
@@ -159,38 +174,62 @@ def rule_label(rule: str, candidate: str, before: str, after: str) -> int | None
 # --- features -------------------------------------------------------------------------------
 
 
+VOWELS = np.frombuffer("aeiouAEIOU".encode("utf-32-le"), dtype="<u4")
+LETTERS = re.compile(r"[a-z]{4,}")
+CORPUS_WORD = re.compile(r"(?<![a-z])[a-z]{4,12}(?![a-z])")
+#: the features that the rules read too: digits, entropy, hexadecimal, check digit, names, quotes, kind of candidate, placeholders
+DECIDING = (1, 8, 10, 11, 13, 14, 15, 16, 18, 19, 20, 21)
+
+
 def word_coverage(candidate: str, dictionary: frozenset[str]) -> float:
     """Share of the characters that dictionary words of four letters or more cover, longest first at every place."""
-    low, at, covered = candidate.lower()[:4096], 0, 0
-    while at < len(low):
-        n = next((n for n in range(min(12, len(low) - at), 3, -1) if low[at : at + n] in dictionary), 0)
-        covered += n
-        at += n or 1
-    return covered / max(1, len(low))
+    covered = 0
+    for m in LETTERS.finditer(candidate.lower()):
+        run, at = m.group(), 0
+        while at <= len(run) - 4:
+            n = next((n for n in range(min(12, len(run) - at), 3, -1) if run[at : at + n] in dictionary), 0)
+            covered += n
+            at += n or 1
+    return covered / max(1, len(candidate))
 
 
 def features(rule: str, candidate: str, before: str, after: str, source: str | None, dictionary: frozenset[str]) -> list[float]:
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in candidate]
-    n = max(1, len(kinds))
-    steps = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n
-    same = sum(a == b for a, b in zip(candidate, candidate[1:], strict=False)) / n
-    vowels = [c in "aeiouAEIOU" for c in candidate if c.isalpha()]
-    turns = sum(a != b for a, b in zip(vowels, vowels[1:], strict=False)) / max(1, len(vowels))
-    words = re.findall(r"[A-Za-z]+", before)[-3:] + re.findall(r"[A-Za-z]+", after)[:2]
+    codes = np.frombuffer(candidate.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    n = max(1, len(codes))
+    digit, upper, lower = [(codes >= a) & (codes <= b) for a, b in ((48, 57), (65, 90), (97, 122))]
+    kinds = digit + 2 * upper + 3 * lower  # 0 for all others
+    shares = np.bincount(kinds, minlength=4) / n
+    vowels = np.isin(codes[upper | lower], VOWELS)
+    turns = np.count_nonzero(vowels[1:] != vowels[:-1]) / max(1, len(vowels))
+    steps, same = np.count_nonzero(kinds[1:] != kinds[:-1]) / n, np.count_nonzero(codes[1:] == codes[:-1]) / n
     near = [0.0] * NEIGHBOUR_BUCKETS
-    for w in words:
+    for w in re.findall(r"[A-Za-z]+", before)[-3:] + re.findall(r"[A-Za-z]+", after)[:2]:
         near[hashlib.blake2b(w.lower().encode(), digest_size=1).digest()[0] % NEIGHBOUR_BUCKETS] += 1.0
     path = (source or "").lower()
-    digits = re.sub(r"\D", "", candidate)
     return [
-        np.log2(n), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("o") / n, steps, same, turns, _entropy(candidate),
-        len(set(candidate)) / n, float(bool(HEX.fullmatch(candidate))), float(bool(digits) and len(digits) == n and _luhn(digits)),
+        float(np.log2(n)), *[float(shares[k]) for k in (1, 2, 3, 0)], steps, same, turns, _entropy(candidate), len(np.unique(codes)) / n,
+        float(bool(HEX.fullmatch(candidate))), float(len(codes) > 0 and bool(digit.all()) and _luhn(codes - 48)),
         word_coverage(candidate, dictionary), float(bool(SECRET_NAME.search(before))), float(bool(HASH_NAME.search(before))),
         float(before[-1:] in ("'", '"')), float(after[:1] in ("'", '"')), float(bool(re.search(r"[=:]\W{0,3}$", before))), float(rule == "assigned"),
-        float(rule == "block"), float(bool(PLACEHOLDER.search(before[-24:] + candidate))), *[float(w in path) for w in PATH_WORDS], *near,
+        float(rule == "block"), float(bool(PLACEHOLDER.search(before[-24:] + candidate))), float(rule == "url"),
+        *[float(w in path) for w in PATH_WORDS], *near,
     ]
 
 
+def half_of(candidate: str) -> int:
+    """0 or 1; equal candidates stand in the same half."""
+    return hashlib.blake2b(candidate.encode("utf-8", "surrogatepass"), digest_size=1).digest()[0] & 1
+
+
+def beyond_doubt(rule: str, candidate: str) -> int | None:
+    """What the exact check after the forest says: 1 for blocks and published formats, 0 for placeholders and UUIDs, else None."""
+    if rule == "block":
+        return 1
+    if PLACEHOLDER.search(candidate) or UUID.fullmatch(candidate):
+        return 0
+    return 1 if rule == "key" or KEY_FORMATS.fullmatch(candidate) else None
+
+
 # --- forest ---------------------------------------------------------------------------------
 
 
@@ -264,37 +303,84 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DE
 
 @dataclass
 class SecretModel:
+    """One forest, or one for each half; a number stands for a forest where only one label was seen."""
+
     dictionary: frozenset[str]
-    forest: Forest | None
-    constant: float = 1.0
+    forests: list[Forest | float]
 
-    def predict(self, rows: list[tuple]) -> np.ndarray:
-        """Probability of each (rule, candidate, before, after, source); key blocks and published key formats are certain."""
+    def predict(self, rows: list[tuple], x: np.ndarray | None = None) -> np.ndarray:
+        """The forest's probability of each (rule, candidate, before, after, source)."""
+        out = np.zeros(len(rows))
         if not rows:
-            return np.zeros(0)
-        certain = np.array([r[0] == "block" or bool((r[0] == "key" or KEY_FORMATS.fullmatch(r[1])) and not PLACEHOLDER.search(r[1])) for r in rows])
-        if self.forest is None:
-            return np.where(certain, 1.0, self.constant)
-        return np.where(certain, 1.0, self.forest.predict(np.array([features(*r, self.dictionary) for r in rows])))
+            return out
+        x = np.array([features(*r, self.dictionary) for r in rows]) if x is None else x
+        half = np.array([half_of(r[1]) % len(self.forests) for r in rows])
+        for k, forest in enumerate(self.forests):
+            if (half == k).any():
+                out[half == k] = forest.predict(x[half == k]) if isinstance(forest, Forest) else forest
+        return out
 
+    def decide(self, rows: list[tuple], x: np.ndarray | None = None, cut: float = CUT) -> tuple[np.ndarray, np.ndarray]:
+        """(probability, is_secret): the forest's, then the exact check."""
+        probability = self.predict(rows, x)
+        sure = [beyond_doubt(*r[:2]) for r in rows]
+        return probability, np.array([p >= cut if s is None else bool(s) for p, s in zip(probability.tolist(), sure, strict=True)], dtype=bool)
 
-def train(labelled: DataFrame, per_label: int = TRAIN_FINDINGS) -> SecretModel:
-    """Fit on a bounded sample of findings with a ``label``; a long candidate's first 4096 characters describe it."""
-    keyed = labelled.filter("label is not null").select(
-        F.substring("candidate", 1, 4096).alias("candidate"), "rule", "before", "after", "source", "label", F.xxhash64("candidate", "before", "after").alias("order")
-    )
-    pick = hash_sample(keyed.dropDuplicates(["label", "order"]), "label", "order", per_label)  # repeated findings count once
-    rows = sorted(pick.drop("order").collect(), key=lambda r: tuple(str(v) for v in r))
-    words: dict[str, int] = {}
-    for r in rows:
-        for w in set(re.findall(r"[a-z]{4,12}", f"{r['before']} {r['after']}".lower())):
-            words[w] = words.get(w, 0) + 1
-    dictionary = frozenset(w for w, n in words.items() if n > 1)
-    labels = np.array([r["label"] for r in rows], dtype=np.int64)
-    if len(set(labels.tolist())) < 2:
-        return SecretModel(dictionary, None, float(labels[0]) if len(labels) else 1.0)
-    x = np.array([features(r["rule"], r["candidate"], r["before"], r["after"], r["source"], dictionary) for r in rows])
-    return SecretModel(dictionary, fit_forest(x, labels))
+
+def corpus_words(docs: DataFrame, most: int = DICTIONARY) -> frozenset[str]:
+    """The ``most`` words of 4 to 12 letters that most documents hold, at least two, counted over all whole texts."""
+
+    def run(batches):
+        for b in slices(batches, rows=4096):
+            counts = Counter()
+            for text in b.column("text").to_pylist():
+                counts.update(set(CORPUS_WORD.findall((text or "").lower())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    return frozenset(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect())  # top-k: merged per task
+
+
+def described(found: DataFrame, dictionary: frozenset[str], blind: bool = False) -> DataFrame:
+    """Findings with ``x``, the features of the whole candidate, and the half they belong to."""
+    shared = found.sparkSession.sparkContext.broadcast(dictionary)
+
+    def run(batches):
+        for b in slices(batches, text="candidate"):
+            rows = zip(*[b.column(c).to_pylist() for c in ("rule", "candidate", "before", "after", "source")], strict=True)
+            x, halves = [], []
+            for r in rows:
+                values = features(*r, shared.value)
+                x.append([0.0 if blind and k in DECIDING else v for k, v in enumerate(values)])
+                halves.append(half_of(r[1]))
+            columns = [*b.columns, pa.array(x, pa.list_(pa.float64())), pa.array(halves, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "x", "half"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+    return found.mapInArrow(run, f"{schema}, x array<double>, half int")
+
+
+def train(labelled: DataFrame, dictionary: frozenset[str] | None = None, per_label: int = TRAIN_FINDINGS, halves: bool = False) -> SecretModel:
+    """Fit on a bounded sample of findings with a ``label``; with ``halves`` each half gets the forest of the other one.
+
+    ``labelled`` holds findings, or described ones; without a ``dictionary`` the words around the labelled findings make one.
+    """
+    if dictionary is None:
+        dictionary = corpus_words(labelled.select(F.concat_ws(" ", "before", "after").alias("text")))
+    if "x" not in labelled.columns:
+        labelled = described(labelled.select("rule", "candidate", "before", "after", "source", "label"), dictionary)
+    keyed = labelled.filter("label is not null").select("x", "half", "label", F.xxhash64("candidate", "before", "after").alias("order"))
+    keyed = keyed.withColumn("part", F.col("label") * 2 + F.col("half")).dropDuplicates(["part", "order"])  # repeated findings count once
+    rows = sorted(hash_sample(keyed, "part", "order", per_label).collect(), key=lambda r: (r["order"], r["label"]))
+    x, y, half = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], dtype=np.int64), np.array([r["half"] for r in rows])
+
+    def fit(chosen: np.ndarray) -> Forest | float:
+        return fit_forest(x[chosen], y[chosen]) if len(set(y[chosen].tolist())) == 2 else float(y[0]) if len(y) else 1.0
+
+    if not halves or len(set(y.tolist())) < 2:
+        return SecretModel(dictionary, [fit(np.ones(len(y), dtype=bool))])
+    others = [half != k for k in (0, 1)]
+    return SecretModel(dictionary, [fit(o if len(set(y[o].tolist())) == 2 else np.ones(len(y), dtype=bool)) for o in others])
 
 
 # --- Spark steps ------------------------------------------------------------------------------
@@ -321,31 +407,45 @@ def findings(docs: DataFrame) -> DataFrame:
 
 
 def judge(found: DataFrame, model: SecretModel, cut: float = CUT) -> DataFrame:
-    """(doc_id, start, stop, rule, candidate_sha256, label, probability, is_secret) of findings."""
+    """(doc_id, start, stop, rule, candidate_sha256, label, probability, is_secret) of described findings."""
     shared = found.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for pdf in batches:
             rows = list(pdf[["rule", "candidate", "before", "after", "source"]].itertuples(index=False, name=None))
-            probability = shared.value.predict(rows)
+            probability, secret = shared.value.decide(rows, np.array(pdf["x"].tolist()), cut)
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "start": pdf["start"], "stop": pdf["stop"], "rule": pdf["rule"],
                 "candidate_sha256": [hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in pdf["candidate"]],
-                "label": pdf["label"], "probability": probability, "is_secret": probability >= cut,
+                "label": pdf["label"], "probability": probability, "is_secret": secret,
             })
 
     return found.mapInPandas(run, "doc_id long, start int, stop int, rule string, candidate_sha256 string, label int, probability double, is_secret boolean")
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, labelled: DataFrame | None = None, blind: bool = False) -> DataFrame:
     """Find, train and judge: every finding of the corpus with its probability."""
-    found = save(findings(docs))
-    return judge(found, train(found if labelled is None else labelled))
+    words = corpus_words(docs)
+    found = save(described(findings(docs), words, blind))
+    if labelled is not None:
+        return judge(found, train(described(labelled, words, blind), words))
+    return judge(found, train(found, words, halves=True))
+
+
+def rates(judged: DataFrame, cut: float = CUT) -> DataFrame:
+    """(n, precision, recall) of the forest alone against the labels that were not among its training findings."""
+    says, label = F.col("probability") >= cut, F.col("label") == 1
+    both = F.count_if(says & label)
+    return judged.filter("label is not null").agg(
+        F.count(F.lit(1)).alias("n"), F.try_divide(both, F.count_if(says)).alias("precision"), F.try_divide(both, F.count_if(label)).alias("recall")
+    )
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None, cut: float = CUT) -> DataFrame:
     """The documents with every secret replaced by ``MASK``; all columns stay, ``n_chars`` follows the text."""
-    model = docs.sparkSession.sparkContext.broadcast(train(save(findings(docs)) if labelled is None else labelled))
+    words = corpus_words(docs)
+    model = train(save(described(findings(docs), words)), words, halves=True) if labelled is None else train(labelled, words)
+    model = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean(text: str | None, source: str | None) -> str | None:
         spans = candidates(text)
@@ -355,8 +455,8 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, cut: float = CUT)
         for start, stop, rule in spans:
             rows.append((rule, *context(text, start, stop), source))
         parts, at = [], 0
-        for (start, stop, _), p in zip(spans, model.value.predict(rows).tolist(), strict=True):
-            if p >= cut:
+        for (start, stop, _), secret in zip(spans, model.value.decide(rows, cut=cut)[1].tolist(), strict=True):
+            if secret:
                 parts += [text[at:start], MASK]
                 at = stop
         return "".join([*parts, text[at:]])

@@ -123,6 +123,40 @@ def test_common_secrets_are_candidates_of_their_own(docs):
     assert all(by_id[k]["label"] == 1 and by_id[k]["is_secret"] for k in (0, 1, 2, 3, 4, 9, 10))
 
 
+def test_features_describe_whole_candidates():
+    words = frozenset({"house", "water"})
+    assert F.word_coverage("1" * 6000 + "housewater", words) == 10 / 6010 and F.word_coverage("xhousexxwaterhous", words) == 10 / 17
+    card, plain = F.features("run", "4539578763621486", "", "", None, words), F.features("run", "4539578763621487", "", "", None, words)
+    assert (card[11], plain[11], card[1]) == (1.0, 0.0, 1.0) and F.features("run", "", "", "", None, words)[1] == 0.0
+    mixed = F.features("run", "aB1-aa", "", "", "docs/test", words)
+    assert mixed[1:6] == [1 / 6, 1 / 6, 3 / 6, 1 / 6, 4 / 6] and mixed[6] == 1 / 6 and len(mixed) == len(card) > max(F.DECIDING)
+
+
+def test_passwords_of_urls_are_candidates(docs):
+    text = "see postgres://admin:s3cr3tPwx@db.host/x and https://host:8080/path and mail:ab@x"
+    assert [(text[a:b], r) for a, b, r in F.candidates(text)] == [("s3cr3tPwx", "url")]
+    assert F.rule_label("url", "s3cr3tPwx", "", "") == 1 and F.rule_label("url", "changeme", "", "") == 0
+
+
+def test_the_forest_never_saw_what_it_judges(docs):
+    rng = random.Random(8)
+    rows = [(k, t, None) for k, (_, t) in enumerate(secret_docs(rng)) if t]
+    odd = 'the words token = "' + "9f" * 20 + '" here'  # one labelled finding, copied: its copies stand in the same half
+    judged = F.scan(docs([*rows, *[(900 + k, odd) for k in range(30)]]))
+    got = F.rates(judged).first()
+    assert got["n"] > 100 and got["precision"] > 0.95 and got["recall"] > 0.95
+    halves = {F.half_of("9f" * 20) for _ in range(3)}
+    assert len(halves) == 1 and F.half_of("") in (0, 1)
+    blind = F.rates(F.scan(docs(rows), blind=True)).first()
+    assert blind["n"] > 100 and blind["recall"] is not None
+    assert F.rates(F.scan(docs([]))).first()["precision"] is None
+
+
+def test_corpus_words_are_counted_over_documents(docs):
+    rows = [(1, "Alpha alpha beta1 gamma"), (2, "alpha gamma toolongawordforthis"), (3, "gamma abc"), (4, None), (5, "x" * 90_000 + " delta"), (6, "delta")]
+    assert F.corpus_words(docs(rows)) == {"alpha", "gamma", "delta"} and F.corpus_words(docs(rows), 1) == {"gamma"}
+
+
 def test_without_examples_every_candidate_counts(docs):
     got = F.scan(docs([(1, "x abcdefghijklmn1234 y")])).collect()
     assert len(got) == 1 and got[0]["label"] is None and got[0]["probability"] == 1.0 and got[0]["is_secret"]
