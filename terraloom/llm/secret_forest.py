@@ -14,7 +14,7 @@ The forest judges every finding. One exact check follows: key blocks and publish
 none, whatever the forest says; ``probability`` stays the forest's.
 
 Training reads at most ``TRAIN_FINDINGS`` findings of each label and half, chosen by a hash, as rows of features. The dictionary is
-the ``DICTIONARY`` words that most documents hold, counted over all whole texts. All texts are scanned whole, features describe whole
+at most ``DICTIONARY`` words, those that most documents hold, counted over all whole texts. All texts are scanned whole, features describe whole
 candidates, and all findings are judged.
 
 Defined cases: null and empty texts have no findings; a half whose counterpart lacks one of the two labels takes the forest of both, and
@@ -328,7 +328,10 @@ class SecretModel:
 
 
 def corpus_words(docs: DataFrame, most: int = DICTIONARY) -> frozenset[str]:
-    """The ``most`` words of 4 to 12 letters that most documents hold, at least two, counted over all whole texts."""
+    """The words of 4 to 12 letters that most documents hold, at least two, counted over all whole texts.
+
+    Words come by whole steps of their count, a sixteenth of an octave each, as long as they are not more than ``most``.
+    """
 
     def run(batches):
         for b in slices(batches, rows=4096):
@@ -337,8 +340,15 @@ def corpus_words(docs: DataFrame, most: int = DICTIONARY) -> frozenset[str]:
                 counts.update(set(CORPUS_WORD.findall((text or "").lower())))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
-    return frozenset(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect())  # top-k: merged per task
+    counted = save(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"))
+    step = F.floor(F.log2("n") * 16)
+    least, held = None, 0
+    for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():  # a few hundred steps
+        held += r["words"]
+        if held > most:
+            break
+        least = r["step"]
+    return frozenset() if least is None else frozenset(r["word"] for r in counted.filter(step >= least).select("word").collect())  # at most ``most``
 
 
 def described(found: DataFrame, dictionary: frozenset[str], blind: bool = False) -> DataFrame:
