@@ -4,8 +4,13 @@ Only DataFrame functions. Texts become lower-case words of letters and digits. T
 words (a shorter template is one shingle of all its words). For a template of ``n`` words the windows hold ``n + 2 * ceil(n / 4)`` words
 and start every ``ceil(n / 4) + 1`` words, so each place of the template lies in a window with room for inserted words. A window that
 contains four fifths of a template has a likeness to it of 0.2 at least, and ``BANDS`` bands of one minimum each meet with a probability
-of at least 1 - 0.8 ** 64, above 0.999999. Bands retrieve (window, template) candidates by an equi-join with the small, fixed table of
-template bands; a candidate counts if the window holds at least ``CONTAINMENT`` of the template's shingles.
+of at least 1 - 0.8 ** 64, above 0.999999. A window meets the templates of its length in the small, fixed template table and keeps those
+that share a band with it; each such candidate is verified once and counts if the window holds at least ``CONTAINMENT`` of the
+template's shingles and every *separating phrase* of the template word for word. Those phrases tell variants apart whose notices differ
+in a word or a number only (GPL, LGPL and AGPL, versions 2, 2.1 and 3, the Creative Commons licenses).
+
+Covered are the notices and the telling sentences or titles of the bodies in ``TEMPLATES``, and SPDX lines of the ids in ``SPDX_IDS``. A
+sentence that several licenses share has the name of the family (BSD, GNU).
 
 Windows without any *needed word* are not built: the needed words of a template are chosen such that more than a fifth of its shingles
 hold one, so a window without them cannot contain four fifths. This loses nothing and spares most texts the windows.
@@ -24,23 +29,51 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SHINGLE = 5
 BANDS = 64
 CONTAINMENT = 0.8
-# fixed values: notices of public licenses
+# fixed values: notices, titles and sentences of public licenses, and the phrases that separate their variants
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "either version 3 of the License, or (at your option) any later version"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
-    ("All-rights-reserved", "All rights reserved"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0", ()),
+    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ()),
+    ("Apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of", ()),
+    ("MIT", "Released under the MIT License", ()),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ()),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3", ("license version 3",)),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2", ("license version 2",)),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", ("gnu general public license", "version 2 of the license")),
+    ("GPL-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version", ("gnu general public license", "version 3 of the license")),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", ("gnu lesser general public license", "version 2 1 of the license")),
+    ("LGPL-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version", ("gnu lesser general public license", "version 3 of the license")),
+    ("AGPL-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version", ("gnu affero general public license", "version 3 of the license")),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991", ("gnu general public license version 2 june",)),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007", ("gnu general public license version 3",)),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999", ("gnu lesser general public license version 2 1",)),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007", ("gnu lesser general public license version 3",)),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007", ("gnu affero general public license version 3",)),
+    ("GNU", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed", ()),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0", ()),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0", ()),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0", ()),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("attribution 4 0",)),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("attribution sharealike 4 0",)),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("attribution noncommercial 4 0",)),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ("attribution noderivatives 4 0",)),
+    ("CC0-1.0", "CC0 1.0 Universal", ()),
+    ("CC0-1.0", "has waived all copyright and related or neighboring rights to this work", ()),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ()),
+    ("BSD-3-Clause", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ()),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("license v 2 0",)),
+    ("EPL-2.0", "made available under the terms of the Eclipse Public License 2.0", ("license 2 0",)),
+    ("EPL-1.0", "made available under the terms of the Eclipse Public License v1.0", ("license v1 0",)),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ()),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", ()),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0", ()),
+    ("Unlicense", "This is free and unencumbered software released into the public domain", ()),
+    ("All-rights-reserved", "All rights reserved", ()),
+)
+SPDX_IDS = (
+    "Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "EPL-2.0", "CC0-1.0", "CC-BY-4.0",
+    "CC-BY-SA-4.0", "Zlib", "BSL-1.0", "Unlicense",
 )
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}", ()) for name in SPDX_IDS)
 
 
 def words_of(text: str) -> list[str]:
@@ -77,31 +110,30 @@ def shingle_hashes(words: Column, size: int) -> Column:
 
 
 def bands_of(hashes: Column, bands: int = BANDS) -> Column:
-    """One (band, minimum) pair for each band, under as many hash functions."""
+    """One number for each band: the minimum under the band's hash function, hashed with the band's number."""
     return F.transform(
-        F.sequence(F.lit(1), F.lit(bands)),
-        lambda j: F.struct(j.alias("band"), F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, j))).alias("low")),
+        F.sequence(F.lit(1), F.lit(bands)), lambda j: F.xxhash64(j, F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, j))))
     )
 
 
-def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """(template, license_id, n, template_hashes): one row per template, a few dozen at most."""
-    rows = [(k, name, len(words_of(text)), words_of(text)) for k, (name, text) in enumerate(templates)]
-    table = spark.createDataFrame(rows, "template int, license_id string, n int, words array<string>")
+def template_table(spark: SparkSession, templates=TEMPLATES, bands: int = BANDS) -> DataFrame:
+    """(template, license_id, n, phrases, template_hashes, template_bands): one row per template, a few dozen at most."""
+    rows = [(k, name, len(words_of(text)), words_of(text), [f" {p} " for p in phrases]) for k, (name, text, phrases) in enumerate(templates)]
+    table = spark.createDataFrame(rows, "template int, license_id string, n int, words array<string>, phrases array<string>")
     hashes = F.when(F.col("n") < SHINGLE, F.array(F.xxhash64(F.concat_ws(" ", "words")))).otherwise(shingle_hashes(F.col("words"), SHINGLE))
-    return table.select("template", "license_id", "n", hashes.alias("template_hashes"))
+    table = table.withColumn("template_hashes", hashes)
+    return table.select("template", "license_id", "n", "phrases", "template_hashes", bands_of(F.col("template_hashes"), bands).alias("template_bands"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, bands: int = BANDS) -> DataFrame:
     """(doc_id, license_id, containment, first_word, n_windows): the licenses of every whole text that has one."""
-    lists = [words_of(text) for _, text in templates]
+    lists = [words_of(text) for _, text, _ in templates]
     needed = sorted(set().union(*[needed_words(w, containment) for w in lists]))
     lengths = sorted({len(w) for w in lists})
     low = F.lower("text")
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).filter(low.rlike("|".join(needed)))
     rows = rows.select("row", "doc_id", F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words")).filter(F.size("words") > 0)
-    is_needed = F.array(*[F.lit(w) for w in needed])
-    rows = rows.withColumn("hits", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(is_needed, F.element_at("words", i + 1))))
+    rows = rows.withColumn("hits", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.element_at("words", i + 1).isin(needed)))
 
     def windows(n: int) -> Column:
         size, step = window_shape(n)
@@ -116,17 +148,14 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT,
     for size in sorted({shingle_size(n) for n in lengths}):
         chosen = (F.col("n") < SHINGLE) & (F.col("n") == size) if size < SHINGLE else F.col("n") >= SHINGLE
         hashes = F.when(chosen, shingle_hashes(F.col("part"), size)).otherwise(hashes)
-    parts = parts.select("row", "doc_id", "n", "start", hashes.alias("hashes")).filter(F.size("hashes") > 0)
-    index = template_table(docs.sparkSession, templates)
-    index = index.select("template", "license_id", "n", "template_hashes", F.explode(bands_of(F.col("template_hashes"), bands)).alias("b")).select(
-        "template", "license_id", "n", "template_hashes", "b.band", "b.low"
-    )
-    banded = parts.select("row", "doc_id", "n", "start", "hashes", F.explode(bands_of(F.col("hashes"), bands)).alias("b")).select(
-        "row", "doc_id", "n", "start", "hashes", "b.band", "b.low"
-    )
-    candidates = banded.join(F.broadcast(index), ["n", "band", "low"])  # a row for each band of a fixed list of templates
+    parts = parts.select("row", "doc_id", "n", "start", "part", hashes.alias("hashes")).filter(F.size("hashes") > 0)
+    parts = parts.withColumn("bands", bands_of(F.col("hashes"), bands))
+    # a fixed list of templates, a few of each length
+    candidates = parts.join(F.broadcast(template_table(docs.sparkSession, templates, bands)), "n").filter(F.arrays_overlap("bands", "template_bands"))
     share = F.size(F.array_intersect("hashes", "template_hashes")) / F.size("template_hashes")
+    window_text = F.concat(F.lit(" "), F.concat_ws(" ", "part"), F.lit(" "))
     found = candidates.withColumn("share", share).filter(F.col("share") >= containment)
+    found = found.filter(F.forall("phrases", lambda p: F.contains(window_text, p)))
     return found.groupBy("row", "doc_id", "license_id").agg(
         F.max("share").alias("containment"), F.min("start").alias("first_word"), F.count_distinct("n", "start").alias("n_windows")
     ).select("doc_id", "license_id", F.round("containment", 6).alias("containment"), "first_word", "n_windows")
@@ -134,11 +163,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT,
 
 def oracle_sql(templates=TEMPLATES, containment: float = CONTAINMENT) -> str:
     """The same result by counting every template shingle in every window, without bands or needed words."""
-    lists = [(k, name, words_of(text)) for k, (name, text) in enumerate(templates)]
-    values = ", ".join(f"({k}, '{name}', {len(w)}, {shingle_size(len(w))}, {window_shape(len(w))[0]}, {window_shape(len(w))[1]}, '{' '.join(w)}')" for k, name, w in lists)
+    lists = [(k, name, words_of(text), "|".join(phrases)) for k, (name, text, phrases) in enumerate(templates)]
+    values = ", ".join(f"({k}, '{name}', {len(w)}, {shingle_size(len(w))}, {window_shape(len(w))[0]}, {window_shape(len(w))[1]}, '{' '.join(w)}', '{p}')" for k, name, w, p in lists)
     return f"""
-WITH template(id, license_id, n, k, size, step, words) AS (VALUES {values}),
-docs AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+WITH template(id, license_id, n, k, size, step, words, phrases) AS (VALUES {values}),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
 parts AS (SELECT *, string_split(words, ' ') AS tw FROM template),
 shingles AS (SELECT DISTINCT id, license_id, n, k, size, step, array_to_string(tw[i : i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM parts)),
 totals AS (SELECT id, count(*) AS total FROM shingles GROUP BY id),
@@ -152,5 +181,9 @@ counted AS (
   SELECT r, doc_id, id, license_id, n, start, count(DISTINCT s) AS c FROM spread WHERE start <= greatest(n_words - n, 0) GROUP BY ALL
 )
 SELECT doc_id, license_id, round(max(c / total), 6) AS containment, CAST(min(start) AS INTEGER) AS first_word, count(DISTINCT (n, start)) AS n_windows
-FROM counted JOIN totals USING (id) WHERE c / total >= {containment} GROUP BY r, doc_id, license_id
+FROM (
+  SELECT c.*, total, phrases, ' ' || array_to_string(w[start + 1 : start + size], ' ') || ' ' AS part
+  FROM counted c JOIN totals USING (id) JOIN template t USING (id) JOIN docs d USING (r) WHERE c / total >= {containment}
+) WHERE phrases = '' OR len(list_filter(string_split(phrases, '|'), lambda p: NOT contains(part, ' ' || p || ' '))) = 0
+GROUP BY r, doc_id, license_id
 """

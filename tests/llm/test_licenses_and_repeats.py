@@ -14,26 +14,26 @@ def license_rows(rng):
     word = lambda: rng.choice("the license is under that version rights this work of any river released reserved".split())
     fill = lambda n: " ".join(word() for _ in range(n))
     rows = []
-    for k, (_, text) in enumerate(N.TEMPLATES):
+    for k, (_, text, _) in enumerate(N.TEMPLATES):
         rows += [(k * 10, text), (k * 10 + 1, f"{fill(rng.randrange(80))} {text.upper()}. {fill(rng.randrange(80))}")]
         words = text.split()
         rows.append((k * 10 + 2, f"{fill(13)} {' '.join(words[: len(words) // 2])} {fill(1)} {' '.join(words[len(words) // 2 :])} {fill(9)}"))
         rows.append((k * 10 + 3, f"{fill(21)} {' '.join(words[:-1])} {fill(30)}"))
-    return [*rows, (900, None), (901, ""), (902, " \n"), (None, "All  rights, reserved!"), (0, rows[0][1]), (903, fill(30_000) + " all rights reserved"), (904, "reserved")]
+    return [*rows, (9900, None), (9901, ""), (9902, " \n"), (None, "All  rights, reserved!"), (0, rows[0][1]), (9903, fill(30_000) + " all rights reserved"), (9904, "reserved")]
 
 
 def licenses_by_hand(text):
     """License -> (containment, first window, windows) by sliding over all windows."""
     words = [w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split() if w]
     best = {}
-    for name, template in N.TEMPLATES:
+    for name, template, phrases in N.TEMPLATES:
         own = N.words_of(template)
         k, (size, step) = N.shingle_size(len(own)), N.window_shape(len(own))
         need = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}
         for start in range(0, max(len(words) - len(own), 0) + 1, step):
             part = words[start : start + size]
             share = len(need & {tuple(part[i : i + k]) for i in range(len(part) - k + 1)}) / len(need)
-            if share >= N.CONTAINMENT:
+            if share >= N.CONTAINMENT and all(f" {p} " in f" {' '.join(part)} " for p in phrases):
                 best.setdefault(name, []).append((share, start, len(own)))
     return {name: (round(max(f[0] for f in found), 6), min(f[1] for f in found), len({f[1:] for f in found})) for name, found in best.items()}
 
@@ -46,8 +46,26 @@ def test_licenses_match_all_windows(docs):
     assert N.scan(docs([])).count() == 0
 
 
+def test_variants_are_told_apart(docs):
+    later = "as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    texts = {
+        "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License " + later.format(3),
+        "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License " + later.format(2.1),
+        "AGPL-3.0": "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License " + later.format(3).replace("Foundation;", "Foundation,"),
+        "GPL-2.0": "Foo is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License " + later.format(2),
+        "GPL-3.0": "/* this work is licensed under\n * the GNU General Public License, version 3 */",
+        "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met: 1. ...",
+        "EPL-2.0": "are made available under the terms of the Eclipse Public License 2.0 which", "CC0-1.0": "# CC0 1.0 Universal", "BSD-2-Clause": "// SPDX-License-Identifier: BSD-2-Clause",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    }
+    got = {}
+    for r in N.scan(docs(list(enumerate(texts.values())))).collect():
+        got.setdefault(r["doc_id"], []).append(r["license_id"])
+    assert got == {k: [name] for k, name in enumerate(texts)}
+
+
 def test_needed_words_hold_more_than_a_fifth_of_the_shingles():
-    for _, text in N.TEMPLATES:
+    for _, text, _ in N.TEMPLATES:
         words = N.words_of(text)
         size = N.shingle_size(len(words))
         shingles = [set(words[i : i + size]) for i in range(len(words) - size + 1)]
