@@ -8,7 +8,7 @@ likeness.
 ``near_pairs`` finds all pairs of different sets with a likeness at or above a threshold. Sets are partitioned by length, so
 that two like sets stand in the same or in neighbouring partitions; only the rarest signatures of a set are looked up (two like
 sets share one of them); the lengths, and the position of the shared signature, prune a pair before its sets are compared.
-``compare`` gives the likeness of given pairs, pruned to an exact zero or one where lengths or ranges decide.
+``likeness`` compares two given sets, pruned to an exact zero or one where lengths or ranges decide.
 
 Defined cases: a null text counts as the empty one; texts without words have an empty set, two empty sets are alike (1), an empty
 and another set are not (0); repeated rows are documents of their own; a very long text is one row's work; an empty table gives
