@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from terraloom.session import cut_lineage
+from terraloom.session import cut_lineage, materialise
 
 ID_CHUNK_BITS = 20
 SAFE_GROUP = 1_000_000
@@ -47,6 +47,24 @@ def chunked_index(
     return chunked_running_sum(df, group, chunk, order, F.lit(1), out, shift=start - 1, largest=largest)
 
 
+def range_index(df: DataFrame, order: Sequence, out: str = "idx", start: int = 0) -> DataFrame:
+    """Dense row number over the whole frame, for any order, also one without an integer to cut it by.
+
+    Rows are range-partitioned by the order, so the table that crosses partitions has one row per partition. Rows equal in the
+    order are told apart by an arbitrary id, so that even a third of all rows with one key spread over partitions.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumns({n: F.col(o) if isinstance(o, str) else o for n, o in zip(names, order, strict=True)})
+    keyed = materialise(keyed.withColumn("_tie", F.monotonically_increasing_id()))  # the id must not change between sampling and sorting
+    # written as a table, so that a partition number stays with its rows
+    rows = materialise(keyed.repartitionByRange(*names, "_tie").withColumn("_part", F.spark_partition_id()))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*names, "_tie"))
+    numbered = rows.withColumn("_place", place).join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")  # one row per partition
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_place") + F.col("_before") + F.lit(start - 1)).alias(out))
+
+
 def group_index(
     df: DataFrame, group: Sequence[str], row_id: str, out: str = "idx", start: int = 0, heavy: int = SAFE_GROUP, bits: int = ID_CHUNK_BITS
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terraloom import fixed_values as fv
 from terraloom.functions import scoring
-from terraloom.functions.ordering import chunked_index, id_chunk
+from terraloom.functions.ordering import range_index
 
 ISSUE_SCHEMA = (
     "check_no int, category string, code string, file string, field string, row_id bigint, severity string,"
@@ -52,12 +52,7 @@ def location(issues: DataFrame) -> Column:
 
 def number_issues(issues: DataFrame, prefix: str) -> DataFrame:
     """Sequential ids over (file, check, field, row), such as Q-0001."""
-    chunk = F.struct(
-        F.coalesce("file", F.lit("")).alias("a"), F.col("check_no").alias("b"), F.coalesce("field", F.lit("")).alias("c"),
-        F.coalesce(id_chunk("row_id"), F.lit(-1)).alias("d"),
-    )
-    order = [F.coalesce("row_id", F.lit(-1)), "message"]
-    numbered = chunked_index(issues, [], chunk, order, "_no", start=1)
+    numbered = range_index(issues, [F.coalesce("file", F.lit("")), "check_no", F.coalesce("field", F.lit("")), F.coalesce("row_id", F.lit(-1)), "message"], "_no", start=1)
     text = F.col("_no").cast("string")
     padded = F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text)
     return numbered.withColumn("issue_id", F.concat(F.lit(prefix + "-"), padded)).withColumn("location", location(issues)).drop("_no")

@@ -133,3 +133,14 @@ def test_polygons(spark):
     ring = "array(named_struct('u', 0D, 'v', 0D), named_struct('u', 2D, 'v', 0D), named_struct('u', 2D, 'v', 3D), named_struct('u', 0D, 'v', 3D))"
     row = spark.sql(f"select {ring} r").select(G.polygon_area(F.col("r")), G.polygon_perimeter(F.col("r")), F.size(G.close_ring(F.col("r")))).first()
     assert tuple(row) == (6.0, 10.0, 5)
+
+
+def test_range_index_numbers_ties_nulls_and_one_heavy_key(spark):
+    rows = [("same", 1)] * 400 + [(None, k) for k in range(50)] + [(f"k{k % 7}", None) for k in range(150)]
+    frame = spark.createDataFrame(rows, "name string, v int").repartition(5)
+    got = ordering.range_index(frame, ["name", F.coalesce("v", F.lit(-1))], "no", start=1).collect()
+    got.sort(key=lambda r: r["no"])
+    assert [r["no"] for r in got] == list(range(1, 601))
+    key = lambda r: (r[0] is not None, r[0] or "", -1 if r[1] is None else r[1])
+    assert [(r["name"], r["v"]) for r in got] == sorted(rows, key=key)
+    assert ordering.range_index(frame.limit(0), ["name"]).count() == 0
