@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terraloom.functions.ordering import chunked_running_sum, id_chunk
-from terraloom.functions.skew import join_checked
+from terraloom.functions.skew import join_checked, join_shuffled
 from terraloom.session import cut_lineage, materialise
 from terraloom.sources.files import numbered_lines
 
@@ -84,13 +84,13 @@ def split_documents(spark: SparkSession, path, key: str, root_type: str | None =
             ]
             yield pd.DataFrame(rows, columns=["file", "line_no", "kind", "at"])
 
-    shallow = segments.join(states.filter("depth <= 2"), ["file", "line_no"]).select("file", "line_no", "value", "depth", "opened")
+    shallow = join_shuffled(segments, states.filter("depth <= 2"), ["file", "line_no"]).select("file", "line_no", "value", "depth", "opened")
     found = cut_lineage(shallow.mapInPandas(events, "file string, line_no bigint, kind string, at int"))
     place = F.struct("line_no", "at")
     opens = found.groupBy("file").agg(
         F.min(F.when(F.col("kind") == "open", place)).alias("open"), F.min(F.when(F.col("kind") == "list", place)).alias("list"), F.max(F.when(F.col("kind") == "end", place)).alias("end")
     )
-    closes = found.filter("kind = 'close'").join(opens.select("file", "open"), "file").filter(place >= F.col("open")).groupBy("file").agg(F.min(place).alias("close"))
+    closes = join_checked(found.filter("kind = 'close'"), opens.select("file", "open"), ["file"]).filter(place >= F.col("open")).groupBy("file").agg(F.min(place).alias("close"))
     borders = opens.join(closes, "file", "left").select(
         "file", F.col("list").isNotNull().alias("is_list"), F.coalesce("list", "open").alias("open"),
         F.when(F.col("list").isNotNull(), F.col("end")).otherwise(F.col("close")).alias("close"), F.when(F.col("list").isNotNull(), 1).otherwise(2).alias("level"),
@@ -98,7 +98,7 @@ def split_documents(spark: SparkSession, path, key: str, root_type: str | None =
     borders = cut_lineage(borders)  # a row for each file
 
     text = F.concat(F.col("value"), F.when(F.col("after") >= 0, F.lit("}")).otherwise(F.lit("")))
-    placed = join_checked(segments.join(states, ["file", "line_no"]), borders, ["file"], "left")
+    placed = join_checked(join_shuffled(segments, states, ["file", "line_no"]), borders, ["file"], "left")
     after_open = F.col("line_no") >= F.col("open.line_no")
     before_close = F.col("close").isNull() | (F.col("line_no") <= F.col("close.line_no"))
     cut_front = F.when(F.col("line_no") == F.col("open.line_no"), F.substr(text, F.col("open.at") + 1)).otherwise(text)
@@ -115,7 +115,7 @@ def split_documents(spark: SparkSession, path, key: str, root_type: str | None =
     shells = shells.select("file", F.coalesce("is_list", F.lit(False)).alias("is_list"), F.coalesce(split, F.lit(False)).alias("is_split"), "shell")
     if root_type is not None:
         # documents of another type are one element each, whatever arrays they hold
-        others = join_checked(segments.join(states, ["file", "line_no"]), shells.filter("not is_split").select("file"), ["file"])
+        others = join_checked(join_shuffled(segments, states, ["file", "line_no"]), shells.filter("not is_split").select("file"), ["file"])
         whole = others.select("file", "line_no", text.alias("value")).groupBy("file").agg(joined.alias("shell"))
         shells = shells.filter("is_split").unionByName(whole.select("file", F.lit(False).alias("is_list"), F.lit(False).alias("is_split"), "shell"))
         shells = cut_lineage(shells)
@@ -125,6 +125,6 @@ def split_documents(spark: SparkSession, path, key: str, root_type: str | None =
     # the segment that ends an element belongs to it
     numbers = chunked_running_sum(within.select("file", "line_no", "is_end"), ["file"], id_chunk("line_no"), ["line_no"], F.col("is_end"), "ends")
     numbers = numbers.select("file", "line_no", (F.col("ends") - F.col("is_end")).alias("ordinal"))
-    elements = within.join(numbers, ["file", "line_no"]).groupBy("file", "ordinal").agg(joined.alias("value"), F.max("is_end").alias("whole"), F.first("is_list").alias("is_list"))
+    elements = join_shuffled(within, numbers, ["file", "line_no"]).groupBy("file", "ordinal").agg(joined.alias("value"), F.max("is_end").alias("whole"), F.first("is_list").alias("is_list"))
     items = elements.filter("whole = 1").select("file", "ordinal", "is_list", F.regexp_replace("value", r"^[^{]*", "").alias("value"))
     return items, shells

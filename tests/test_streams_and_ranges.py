@@ -151,3 +151,13 @@ def test_stl_files_of_both_kinds_by_ranges(spark, folder, write):
     assert B.ranges(meshes.stl_kinds(spark, f"{folder}/two.stl").drop("binary"), 84, 50, 100).count() == 4
     sums = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in B.checksums(spark, folder).collect()}
     assert sums["two.stl"] == hashlib.sha256(open(f"{folder}/two.stl", "rb").read()).hexdigest() and len(sums) == 5
+
+
+def test_segments_of_documents_are_not_broadcast(spark, write):
+    """A compressed table of repetitive text is small on disk only; joins of its rows must shuffle."""
+    text = '{"versions": [' + ",".join('{"version_id": "V%d", "tags": ["a", "b}"]}' % i for i in range(500)) + "]}"
+    items, _ = J.split_documents(spark, write("versions.json", text), "versions")
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "line_no" in line]
+    assert not wide and "SortMergeJoin" in plan
+    assert items.count() == 500
