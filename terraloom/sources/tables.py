@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from terraloom import fixed_values as fv
 from terraloom.functions import values as V
 from terraloom.functions.ordering import chunked_index, chunked_running_sums, id_chunk
-from terraloom.functions.skew import join_checked
+from terraloom.functions.skew import join_checked, join_shuffled
 from terraloom.functions.values import q
 from terraloom.session import cut_lineage, materialise
 from terraloom.sources.files import numbered_lines
@@ -45,9 +45,9 @@ def _joined_records(lines: DataFrame, sep: str) -> DataFrame:
     marks = chunked_running_sums(marks, ["file"], id_chunk("line_no"), ["line_no"], sums)
     bases = marks.filter(sets).select("file", "part", (F.col("out") + F.col("turns")).alias("base"))
     state = ((F.coalesce("base", F.lit(0)) + F.col("turns")) % 2).alias("after")
-    states = cut_lineage(marks.join(bases, ["file", "part"], "left").select("file", "line_no", "nth", state))
+    states = cut_lineage(join_shuffled(marks, bases, ["file", "part"], "left").select("file", "line_no", "nth", state))
     before = states.select("file", (F.col("nth") + 1).alias("nth"), F.col("after").alias("before"))
-    turned = states.join(before, ["file", "nth"], "left").filter(F.col("after") != F.coalesce("before", F.lit(0))).select("file", "line_no")
+    turned = join_shuffled(states, before, ["file", "nth"], "left").filter(F.col("after") != F.coalesce("before", F.lit(0))).select("file", "line_no")
     ends = chunked_index(turned, ["file"], id_chunk("line_no"), ["line_no"], "nth")
     spans = ends.groupBy("file", F.floor(F.col("nth") / 2).alias("pair")).agg(F.min("line_no").alias("first"), F.max("line_no").alias("stop"), F.count(F.lit(1)).alias("n"))
     inside = spans.select("file", "first", (F.col("n") == 1).alias("unclosed"), F.explode(F.sequence("first", "stop")).alias("line_no"))
