@@ -18,6 +18,7 @@ from terraloom.session import cut_lineage
 
 CHUNK = 65_536
 FAN = 64
+MAPPED = 1 << 20  # places of the maps that a task holds at once
 MAP = "exits array<int>, counts array<long>"
 
 
@@ -36,13 +37,16 @@ def exit_map(values: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _then(exits: np.ndarray, counts: np.ndarray, more_exits: np.ndarray, more_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    alive = exits >= 0
+    alive = (exits >= 0) & (exits < len(more_exits))
     at = np.where(alive, exits, 0)
     return np.where(alive, more_exits[at], -1), counts + np.where(alive, more_counts[at], 0)
 
 
 def record_entries(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """maps(keys.., node, exits, counts) -> (keys.., node, entry, before): where records enter each chunk (-1: nowhere), and records before it."""
+    """maps(keys.., node, exits, counts) -> (keys.., node, entry, before): where records enter each chunk (-1: nowhere), and records before it.
+
+    A map has an entry for each place its chunk really holds; the last chunk of a stream is short, and nothing begins behind its end.
+    """
     types = {f.name: f.dataType.simpleString() for f in maps.schema}
     names = ", ".join(f"{k} {types[k]}" for k in keys)
 
@@ -59,8 +63,7 @@ def record_entries(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
         entry, before, out = int(rows["entry"].iloc[0]), int(rows["before"].iloc[0]), []
         for e, c in zip(rows["exits"], rows["counts"], strict=True):
             out.append((entry, before))
-            if entry >= 0:
-                entry, before = int(e[entry]), before + int(c[entry])
+            entry, before = (int(e[entry]), before + int(c[entry])) if 0 <= entry < len(e) else (-1, before)
         return rows[[*keys, "node"]].assign(entry=[x[0] for x in out], before=[x[1] for x in out])
 
     last = maps.agg(F.max("node")).first()[0]
@@ -86,9 +89,13 @@ def records(tokens: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataF
     chunks = cut_lineage(chunks)
 
     def mapped(batches):
+        """Maps no longer than their chunks, handed on after about ``MAPPED`` places, however many chunks a batch has."""
         for batch in batches:
-            found = [exit_map(np.asarray(v), chunk) for v in batch["v"]]
-            yield batch[[*keys, "node"]].assign(exits=[e for e, _ in found], counts=[c for _, c in found])
+            places = np.cumsum([len(v) for v in batch["v"]]) // MAPPED
+            for part in np.unique(places):
+                rows = batch[places == part]
+                found = [[m[:len(v)].copy() for m in exit_map(np.asarray(v), chunk)] for v in rows["v"]]
+                yield rows[[*keys, "node"]].assign(exits=[e for e, _ in found], counts=[c for _, c in found])
 
     entries = cut_lineage(record_entries(cut_lineage(chunks.mapInPandas(mapped, f"{names}, node bigint, {MAP}")), keys))
 

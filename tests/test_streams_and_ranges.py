@@ -39,6 +39,17 @@ def test_exit_map():
     assert T.exit_map(np.array([-1, 20]), 8)[0][:2].tolist() == [-1, -1]
 
 
+def test_maps_are_no_longer_than_their_chunks(spark, monkeypatch):
+    """Thousands of short streams must not cost a whole chunk each."""
+    seen, kept = [], T.record_entries
+    monkeypatch.setattr(T, "record_entries", lambda maps, keys: (seen.append(maps), kept(maps, keys))[1])
+    loops = {f"s{i}": [[i], [1, 2]] for i in range(40)}
+    streams = {name: [x for loop in made for x in (len(loop), *loop)] for name, made in loops.items()}
+    found = T.records(frame(spark, streams), ["s"], 1024)
+    assert {len(r["exits"]) for r in seen[0].collect()} == {5}
+    assert sorted((r["s"], r["record"], list(r["items"])) for r in found.collect()) == sorted((s, k, loop) for s, made in loops.items() for k, loop in enumerate(made))
+
+
 VTK = """# vtk DataFile Version 3.0
 t
 ASCII
