@@ -206,3 +206,15 @@ def test_comparison_report(spark):
     assert (cut["before_area"], cut["area_deviation"]) == (5000.0, 0.0)
     points, summary = comparison.difference_map(bv.filter("model_id = 'b0'").withColumn("model_id", F.lit("m")), av.filter("model_id = 'a0'").withColumn("model_id", F.lit("m")), limit=10)
     assert points.count() == 8 and summary.first()["max_distance"] == 10.0
+
+
+def test_corners_of_the_order_mesh_read_the_lines_once(spark):
+    """Faces under three corners fall out where the window has gathered them; a second count would shuffle all lines again."""
+    from bindings import tables as B
+
+    corners, largest = B.mesh_corners(spark, "/root/testdata/sf0.001")
+    assert corners._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    sizes = corners.groupBy("fid").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last"))
+    facts = sizes.agg(F.min("n"), F.max("n"), F.count_if(F.col("n") != F.col("last") + 1), F.count(F.lit(1))).first()
+    line = B.table(spark, "/root/testdata/sf0.001", "lineitem").groupBy("l_orderkey").count().filter("count >= 3")
+    assert tuple(facts) == (3, largest, 0, line.count())
