@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from terraloom import fixed_values as fv
 from terraloom.functions import vectors as G
 from terraloom.functions.ordering import cyclic_lead, id_chunk, largest_group
-from terraloom.functions.skew import join_checked
+from terraloom.functions.skew import join_checked, join_shuffled
 from terraloom.operators.dedup import keep_first
 from terraloom.session import cut_lineage
 
@@ -213,7 +213,7 @@ def triangle_normals(tri: DataFrame, vertices: DataFrame) -> DataFrame:
     out = tri
     for c in "abc":
         points = vertices.select("model_id", F.col("vid").alias(c), G.point(F.col("x"), F.col("y"), F.col("z")).alias(f"p_{c}"))
-        out = out.join(points, ["model_id", c])
+        out = join_shuffled(out, points, ["model_id", c])
     return out.withColumn("normal", G.unit_normal(F.col("p_a"), F.col("p_b"), F.col("p_c"))).withColumn(
         "raw_normal", G.raw_normal(F.col("p_a"), F.col("p_b"), F.col("p_c"))
     )

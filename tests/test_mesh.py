@@ -218,3 +218,13 @@ def test_corners_of_the_order_mesh_read_the_lines_once(spark):
     facts = sizes.agg(F.min("n"), F.max("n"), F.count_if(F.col("n") != F.col("last") + 1), F.count(F.lit(1))).first()
     line = B.table(spark, "/root/testdata/sf0.001", "lineitem").groupBy("l_orderkey").count().filter("count >= 3")
     assert tuple(facts) == (3, largest, 0, line.count())
+
+
+def test_vertices_of_triangles_are_not_broadcast(spark, folder):
+    """The size of a compressed file says little about the vertices made from its rows."""
+    vertices, faces = tables(spark, tetra=(TETRA, TETRA_FACES))
+    vertices.write.parquet(f"{folder}/v")
+    normals = mesh.triangle_normals(mesh.triangles(faces), spark.read.parquet(f"{folder}/v"))
+    plan = normals._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "BroadcastHashJoin" not in plan
+    assert normals.count() == 4
