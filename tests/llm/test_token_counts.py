@@ -50,3 +50,23 @@ def test_a_run_without_boundary_is_counted_over_its_prefixes():
     counter, n = token_counts.ByteLevelCounter(content), library(V.published(V.BYTE_LEVEL_FILE))
     for run in ("a" * 200_001, " " + "ab" * 80_003, "9" * 150_000, "=" * 140_007, "é" * 140_000):
         assert counter.count([run, "x"]) == [n(run), 1]
+
+
+def test_the_library_gets_a_word_once():
+    content = open(V.published(V.BYTE_LEVEL_FILE), "rb").read()
+    counter, n = token_counts.ByteLevelCounter(content), library(V.published(V.BYTE_LEVEL_FILE))
+    given, whole = [], counter.library
+    counter.library = lambda texts: given.extend(texts) or whole(texts)
+    spaces = [chr(c) for c in range(0x3100) if not chr(c).isalnum()]
+    texts = ["the cat sat on the mat " * 500, "the mat\t sat " * 300, "".join(f"a{c} b!{c}\n{c}x  " for c in spaces)]
+    assert counter.count(texts) == counter.count(texts) == list(map(n, texts))
+    assert len(given) == len(set(given)) and sum(map(len, given[:])) < sum(map(len, texts))
+
+
+def test_counts_hold_when_kept_words_are_replaced(monkeypatch):
+    monkeypatch.setattr(token_counts, "KEPT_WORDS", 5)
+    counter, n = token_counts.ByteLevelCounter(open(V.published(V.BYTE_LEVEL_FILE), "rb").read()), library(V.published(V.BYTE_LEVEL_FILE))
+    for k in range(20):
+        texts = [f"word{k} the cat  w{k % 3}", "the cat\n sat"]
+        assert counter.count(texts) == list(map(n, texts))
+    assert len(counter.kept) <= 5 + 8
