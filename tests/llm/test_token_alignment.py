@@ -104,3 +104,17 @@ def test_composition_is_associative():
             assert f.counts == (len(whole[0]), len(whole[1]), int(found.n_groups[0]), int(found.n_links[0]))
             assert not any(len(t.ids) for t in (*f.prefix, *f.suffix)) and f.borders == left.borders
         assert any(len(f.suffix[0].ids) or len(f.prefix[0].ids) for f in made)
+
+
+def test_words_are_encoded_once_and_give_the_ids_of_whole_windows(monkeypatch):
+    monkeypatch.setattr(T, "KEPT_WORDS", 40)
+    e = T.Encoders(*[open(V.published(x), "rb").read() for x in (V.BYTE_LEVEL_FILE, V.PIECE_FILE)])
+    given, whole = [], e.whole
+    e.whole = lambda windows: given.extend(windows) or whole(windows)
+    odd = [" \u0308 x", "a  b", "x \ufb01 \xbd", "a\tb c\n d", "a\x1cb c", "<|endoftext|> <s> </s>", "\u2581a \u2581 b", "\r\n a \n b", "\x00 a", "  two", "tail ", "e \u0301 f"]
+    for k in range(12):
+        windows = [" " + t for t in (*odd, *[f"the cat{k}{j} sat on the mat" for j in range(6)])]
+        for got, expected in zip(e.encode(windows), whole(windows), strict=True):
+            assert (got is None) == (expected is None)
+            assert got is None or all(x.tolist() == y.tolist() for x, y in zip(got, expected, strict=True))
+    assert given.count(" the") == 1 and len(e.known) < 40 + 60
