@@ -142,3 +142,14 @@ def test_thousands_of_repeats_are_mixed_together(docs):
     copies = [r["copies"] for r in got if r["doc_id"] == 1]
     assert max(copies) - min(copies) <= 1 and max(copies) <= 3
     assert sorted(map(str, got)) == sorted(str(r.asDict()) for r in M.mix(docs(rows[::-1])).collect())
+
+
+def test_kept_pieces_are_ids_only_and_bounded(monkeypatch):
+    monkeypatch.setattr(B, "CACHE_PIECES", 50)
+    encoder = B.PrefixEncoder(open(published(B.BYTE_LEVEL_FILE), "rb").read())
+    for k in range(40):
+        text = " ".join(f"wörd{k}x{j} the<|endoftext|>" for j in range(9))
+        joined, raw = encoder.coded(text)
+        assert raw == text.encode() and encoder.encode(text) == list(map(int, joined.split(",")))
+    assert encoder.coded("") == ("", b"")
+    assert len(encoder.pieces) <= 50 and len(encoder.pieces.old) <= 50 and all(isinstance(x, str) for x in encoder.pieces.values())
