@@ -234,3 +234,11 @@ def test_stream_intake(spark, folder):
     q = rate.writeStream.format("memory").queryName("rate").outputMode("complete").option("checkpointLocation", f"{folder}/c3").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r["category"]: (r["rows"], r["issues"]) for r in spark.table("rate").collect()} == {"a": (1, 0), None: (1, 0), "b": (2, 1)}
+
+
+def test_tokens_of_terms_are_made_after_the_count(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "Ring").when(F.col("id") % 3 == 1, " none ").otherwise("ｂolt").alias("word"))
+    terms = S.column_terms(rows, {"word": "d"})
+    plan = terms._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Range" not in plan  # no Python over the rows themselves
+    assert sorted(map(tuple, terms.collect())) == [("word", "d", "Ring", 334), ("word", "d", "ｂolt", 333)]
