@@ -177,6 +177,25 @@ def test_nearest_equals_brute_force(spark):
     s = nearest.distance_summary(t, spark.createDataFrame([("m", *k, d) for k, d in got.items()], schema + ", distance double"), ["model_id"]).first()
     ordered = sorted(brute[p[1:]] for p in targets)
     assert s["p95_distance"] == pytest.approx(ordered[math.ceil(len(ordered) * 0.95) - 1]) and s["points"] == 200
+    counted = nearest.counted_points(t, ["model_id"])
+    again = nearest.distance_summary(counted, nearest.nearest_distances(counted, r, ["model_id"], leaf_points=4), ["model_id"], count="n").first()
+    assert counted.count() == len(brute) and again["points"] == 200
+    assert [again[k] for k in ("p95_distance", "max_distance", "mean_distance")] == pytest.approx([s[k] for k in ("p95_distance", "max_distance", "mean_distance")])
+
+
+def test_small_cubes_are_leaves_at_their_own_level(spark, monkeypatch):
+    """A dense heap among scattered points: only its cubes are divided further, the rest is opened where it lies."""
+    rng = random.Random(7)
+    far = [("m", rng.random() * 64, rng.random() * 64, rng.random() * 64) for _ in range(60)]
+    heap = [("m", 10 + rng.random() / 64, 10 + rng.random() / 64, 10 + rng.random() / 64) for _ in range(200)]
+    seen = []
+    real = nearest.materialise
+    monkeypatch.setattr(nearest, "materialise", lambda df: seen.append(real(df)) or seen[-1])
+    schema = "model_id string, x double, y double, z double"
+    got = {(x["x"], x["y"], x["z"]): x["distance"] for x in nearest.nearest_distances(spark.createDataFrame(far + heap[:20], schema), spark.createDataFrame(far[::2] + heap, schema), ["model_id"], leaf_points=8).collect()}
+    assert all(got[p[1:]] == pytest.approx(min(math.dist(p[1:], q[1:]) for q in far[::2] + heap), abs=1e-12) for p in far + heap[:20])
+    sizes = [df.filter("_full is null").count() for df in seen if "_full" in df.columns]
+    assert len(sizes) > 2 and sizes[0] > 0 and seen[-1].count() < 230  # scattered points stop early
 
 
 def test_strided_sample(spark):
