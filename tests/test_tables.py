@@ -180,6 +180,18 @@ def test_preprocessing_report_improves(spark):
     assert status["field_validation"] == "failed" and status["outliers"] in ("passed", "passed_with_notes", "review", "failed")
 
 
+def test_texts_are_parsed_by_spelling(spark, monkeypatch):
+    """Spellings are counted before they are parsed: the parser sees each of them once."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([" 1 ", "1", "01", "1.0", "word", " word", "NaN", "-Inf", "1_0", None, ""] * 3)], "_row_id long, t string")
+    seen = []
+    real = profiling.V.staged
+    monkeypatch.setattr(profiling.V, "staged", lambda rows, cell: seen.append(rows) or real(rows, cell))
+    got = {r["value"]: (r["n"], r["first_row"]) for r in profiling.value_frequencies(df, ["t"], "_row_id").collect()}
+    assert got == {"1": (9, 0), "1.0": (3, 3), "word": (6, 4), "NaN": (3, 6), "-Infinity": (3, 7), "10": (3, 8)}
+    assert seen[0].count() == 9
+    assert [r["k"] for r in dedup.keep_first(df, ["t"], ["_row_id"]).select(F.col("_row_id").alias("k")).orderBy("k").collect()] == [0, 2, 3, 4, 6, 7, 8, 9]
+
+
 def test_scores(spark):
     rows = [(1, "geometry", "A", "f", None, None, "critical", "m", ""), (2, "geometry", "B", "f", None, 4, "warning", "m2", "")]
     frame_ = spark.createDataFrame(rows, issues.ISSUE_SCHEMA)
