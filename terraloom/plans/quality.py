@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from terraloom import fixed_values as fv
 from terraloom.functions import values as V
+from terraloom.functions.skew import join_shuffled
 from terraloom.functions.values import q
 from terraloom.operators import dedup, issues as I, mesh, profiling
 from terraloom.plans.reports import Report, finish
+from terraloom.session import materialise
 from terraloom.sources import features as FT
 
 CATEGORIES = list(fv.QUALITY_CATEGORIES)
@@ -132,19 +134,21 @@ def mesh_quality_issues(vertices: DataFrame, corners: DataFrame, rules: QualityR
     """
     models = models if models is not None else vertices.select("model_id").distinct()
     file = F.col("model_id")
+    corners = materialise(corners)  # every check below reads them
     has_v, has_f = vertices.select("model_id").distinct(), corners.select("model_id").distinct()
     out = [
         _issue(models.join(has_v, "model_id", "left_anti"), 20, "geometry", "EMPTY_GEOMETRY", fv.CRITICAL, "no vertices", file),
         _issue(models.join(has_v, "model_id", "left_semi").join(has_f, "model_id", "left_anti"), 21, "geometry", "NO_FACES", fv.WARNING, "no faces or cells", file),
     ]
-    validity = mesh.face_validity(corners, vertices)
+    validity = materialise(mesh.face_validity(corners, vertices))
+    largest = validity.agg(F.max("size")).first()[0] or 0
     counted = lambda df, how=F.count(F.lit(1)): df.groupBy("model_id").agg(how.alias("n"))
     bad = location_samples(validity.filter("not valid"), ["model_id"], "fid")
     out.append(_issue(bad, 22, "topology", "INVALID_INDEX", fv.CRITICAL, F.format_string("%d invalid faces: %s", "total", "places"), file))
-    good = corners.join(validity.filter("valid").select("model_id", "fid"), ["model_id", "fid"], "left_semi")
-    flat = location_samples(mesh.degenerate_faces(mesh.face_areas(good, vertices), rules.degenerate_area_tolerance), ["model_id"], "fid")
+    good = materialise(join_shuffled(corners, validity.filter("valid").select("model_id", "fid"), ["model_id", "fid"], "left_semi"))
+    flat = location_samples(mesh.degenerate_faces(mesh.face_areas(good, vertices, largest), rules.degenerate_area_tolerance), ["model_id"], "fid")
     out.append(_issue(flat, 23, "geometry", "DEGENERATE_FACE", fv.CRITICAL, F.format_string("%d faces without area: %s", "total", "places"), file))
-    uses = mesh.edge_uses(mesh.corner_edges(good))
+    uses = mesh.edge_uses(mesh.corner_edges(good, largest))
     topology = mesh.topology_summary(uses)
     if rules.require_closed_geometry:
         out.append(_issue(topology.filter("boundary > 0"), 25, "geometry", "OPEN_BOUNDARY", fv.CRITICAL, F.format_string("%d boundary edges", "boundary"), file))

@@ -247,3 +247,18 @@ def test_vertices_of_triangles_are_not_broadcast(spark, folder):
     plan = normals._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 3 and "BroadcastHashJoin" not in plan
     assert normals.count() == 4
+
+
+def test_mesh_reports_compute_their_corners_once(spark):
+    """No check goes back to where the corners come from; faces of two corners and unknown vertices among them."""
+    vertices = spark.createDataFrame([("m", i, float(i % 2), float(i // 2), 0.0) for i in range(6)], "model_id string, vid long, x double, y double, z double")
+    loops = [("m", 0, [0, 1, 3]), ("m", 1, [0, 3, 2]), ("m", 2, [3, 1, 0]), ("m", 3, [2, 3, 9]), ("m", 4, [4, 5])]
+    corners = mesh.corners_of(spark.createDataFrame(loops, "model_id string, fid long, loop array<long>")).filter("fid > -424242")
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "424242" in plan(corners)
+    found = quality.mesh_quality_issues(vertices, corners, quality.QualityRules()) + preprocessing.mesh_light_issues("m", vertices, corners)
+    checks = {r["check_no"]: r["message"] for df in found for r in df.collect()}
+    late = [df for df in found if "424242" in plan(df)]
+    assert not late
+    assert checks[22].startswith("2 invalid faces") and checks[25] == "2 boundary edges" and checks[26] == "1 non-manifold edges"
+    assert checks[24] == "1 repeated faces" and checks[12] == "1 faces refer to unknown vertices"
