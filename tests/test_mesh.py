@@ -262,3 +262,17 @@ def test_mesh_reports_compute_their_corners_once(spark):
     assert not late
     assert checks[22].startswith("2 invalid faces") and checks[25] == "2 boundary edges" and checks[26] == "1 non-manifold edges"
     assert checks[24] == "1 repeated faces" and checks[12] == "1 faces refer to unknown vertices"
+
+
+def test_many_lines_are_dealt_out_by_face(spark, monkeypatch):
+    """As many tasks as the lines need, a face in one of them, and the same corners."""
+    from bindings import tables as B
+
+    sf = "/root/testdata/sf0.001"
+    before = {tuple(r) for r in B.mesh_corners(spark, sf)[0].collect()}
+    monkeypatch.setattr(B, "FACE_ROWS", 200)
+    lines = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fid"))
+    dealt = B.spread_lines(lines)
+    assert dealt.rdd.getNumPartitions() == -(-lines.count() // 200)
+    assert dealt.withColumn("p", F.spark_partition_id()).groupBy("fid").agg(F.count_distinct("p").alias("n")).filter("n > 1").isEmpty()
+    assert {tuple(r) for r in B.mesh_corners(spark, sf)[0].collect()} == before
