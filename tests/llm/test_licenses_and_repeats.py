@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terraloom.llm import license_minhash as N, suffix_dedup as S
 
@@ -127,6 +128,27 @@ def test_no_repeats_and_empty_table(docs):
     assert kept == {1: b"b", 2: b"c"}
 
 
+def test_rows_of_one_frequent_stretch_are_dealt_out(spark, docs, monkeypatch):
+    saved, save = [], S.save
+    monkeypatch.setattr(S, "save", lambda df: saved.append(df) or save(df))
+    own = random.Random(3)
+    rows = [(k, "".join(own.choice("abcdefgh") for _ in range(30)) + "z" * 60) for k in range(300)]
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spans = S.repeated_spans(S.keyed(docs(rows)), 20, 12)
+        for df in (saved[1], spans):  # the rows with a repeated lead, the repeated spans
+            counts = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+            assert sum(counts) >= 300 * 41 and max(counts) < sum(counts) / 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = sorted((k, *v) for (k, _), v in zip(rows, repeats_by_hand([t for _, t in rows], 20), strict=True))
+    assert sorted(map(tuple, S.digests(docs(rows), 20, 12).collect())) == want
+
+
 def test_anchor_of_equal_windows_is_at_the_same_place(monkeypatch):
     monkeypatch.setattr(S, "PIECE", 64)
     rng = np.random.default_rng(1)
