@@ -140,3 +140,37 @@ def test_registered_queries_with_whole_stage_codegen(spark):
             assert order(QUERIES[name](spark, "/root/testdata/sf0.001")) == plain
         finally:
             spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
+def _same_as_sql(spark, folder, name, **columns):
+    """Rows of a registered query over small tables, and of its SQL in DuckDB; both sorted."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    con = duckdb.connect()
+    for t, (rows, schema) in columns.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+        con.execute(f"create view {t} as from read_parquet('{folder}/{t}.parquet/*.parquet')")
+    sql = con.execute(oracle_sql()[name])
+    names = [d[0] for d in sql.description]
+    return sorted((tuple(r[n] for n in names) for r in queries()[name](spark, folder).collect()), key=str), sorted(sql.fetchall(), key=str)
+
+
+def test_blank_texts_are_not_missing_in_profile_missing(spark, folder):
+    texts = ["a", "", " ", None, "　\n", "b", "c", "d"]
+    documents = [(i, t, None if i == 1 else "" if i % 2 else "en") for i, t in enumerate(texts)]
+    got, want = _same_as_sql(
+        spark, folder, "profile_missing", documents=(documents, "doc_id bigint, text string, lang string"),
+        labels=([(0, 1, None), (2, 0, 1)], "doc_id bigint, quality bigint, toxic bigint"),
+    )
+    assert got == want and [r[:3] for r in want] == [("lang", 8, 1), ("quality", 8, 6), ("text", 8, 1), ("toxic", 8, 7)]
+
+
+def test_shares_are_rounded_as_sql_does(spark, folder):
+    documents = [(i, "t", "en" if i >= 41 else None) for i in range(640)]
+    got, want = _same_as_sql(
+        spark, folder, "profile_missing", documents=(documents, "doc_id bigint, text string, lang string"),
+        labels=([(i, 1, 1) for i in range(630)], "doc_id bigint, quality bigint, toxic bigint"),
+    )
+    assert got == want and want[0] == ("lang", 640, 41, 0.064062, None)
