@@ -83,10 +83,10 @@ def feature_columns(spark, sf):
 
 @query
 def csv_documents(spark, sf):
-    """Documents written as quoted CSV and read back: texts with line breaks and quotes stay whole."""
+    """Documents written as quoted CSV and read back: texts with line breaks and quotes stay whole, empty ones are quoted and nulls are not."""
     path = _scratch(spark, "csv")
     table(spark, sf, "documents").select("doc_id", "text").write.options(
-        header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
     back = tables.read_delimited(spark, f"{path}/*.csv")
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("md5"), "_ragged")

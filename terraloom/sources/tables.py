@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -31,7 +32,8 @@ def _joined_records(lines: DataFrame, sep: str) -> DataFrame:
 
     What a line does to the state (inside a quoted cell or not) is known for both states before it. A line without effect
     keeps it, others set it or turn it over; running sums per file carry it on. Only the lines of a cell are grouped; where no
-    line leaves a cell open nothing is shuffled. Lines after a cell that never closes stay lines; its own is ``unclosed``.
+    line leaves a cell open nothing is shuffled. Lines after a cell that never closes stay lines; its own is ``unclosed``. Between
+    lines of a cell stands what ended them (``end``).
     """
     quote = F.lit('"')
     marks = lines.filter(F.contains("value", quote)).select(
@@ -39,7 +41,7 @@ def _joined_records(lines: DataFrame, sep: str) -> DataFrame:
     )
     marks = cut_lineage(marks.filter(~((F.col("out") == 0) & (F.col("in") == 1))))
     if marks.filter(F.col("out") == 1).isEmpty():
-        return lines.withColumn("unclosed", F.lit(False))
+        return lines.drop("end").withColumn("unclosed", F.lit(False))
     sets = F.col("out") == F.col("in")
     sums = {"nth": F.lit(1), "part": sets.cast("int"), "turns": (~sets).cast("int")}
     marks = chunked_running_sums(marks, ["file"], id_chunk("line_no"), ["line_no"], sums)
@@ -50,10 +52,12 @@ def _joined_records(lines: DataFrame, sep: str) -> DataFrame:
     turned = join_shuffled(states, before, ["file", "nth"], "left").filter(F.col("after") != F.coalesce("before", F.lit(0))).select("file", "line_no")
     ends = chunked_index(turned, ["file"], id_chunk("line_no"), ["line_no"], "nth")
     spans = ends.groupBy("file", F.floor(F.col("nth") / 2).alias("pair")).agg(F.min("line_no").alias("first"), F.max("line_no").alias("stop"), F.count(F.lit(1)).alias("n"))
-    inside = spans.select("file", "first", (F.col("n") == 1).alias("unclosed"), F.explode(F.sequence("first", "stop")).alias("line_no"))
+    inside = spans.select("file", "first", "stop", (F.col("n") == 1).alias("unclosed"), F.explode(F.sequence("first", "stop")).alias("line_no"))
+    inside = inside.withColumn("goes_on", F.col("line_no") < F.col("stop")).drop("stop")
     marked = join_checked(lines, inside, ["file", "line_no"], "left")  # few lines of cells are broadcast and no text is shuffled
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda p: p["value"])
-    whole = marked.filter("first is not null").groupBy("file", F.col("first").alias("line_no")).agg(F.array_join(parts, "\n").alias("value"), F.max("unclosed").alias("unclosed"))
+    ended = F.when(F.col("goes_on"), F.concat("value", "end")).otherwise(F.col("value"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", ended.alias("value")))), lambda p: p["value"])
+    whole = marked.filter("first is not null").groupBy("file", F.col("first").alias("line_no")).agg(F.array_join(parts, "").alias("value"), F.max("unclosed").alias("unclosed"))
     return marked.filter("first is null").select("file", "line_no", "value", F.lit(False).alias("unclosed")).unionByName(whole)
 
 
@@ -64,16 +68,17 @@ def read_delimited(
     that its file never closes).
 
     Every file is read under its own header; columns are aligned by name, in the order of the first file and of new names
-    after it, and are null in files that lack them. A quoted cell may hold line breaks; ``_row_id`` is the first line of a
-    record. Delimiter and encoding are the caller's choice; encodings beyond Spark's allowed list need
-    ``spark.sql.legacy.javaCharsets``.
+    after it, and are null in files that lack them. A quoted cell may hold line breaks, which stay as they are; ``_row_id`` is the
+    first line of a record. A quoted cell without text is an empty text, any other empty cell is null. Delimiter and encoding are the
+    caller's choice; encodings beyond Spark's allowed list need ``spark.sql.legacy.javaCharsets``.
     """
-    lines = materialise(_joined_records(numbered_lines(spark, path, encoding=encoding), sep))  # read for the headers and for the cells
+    lines = materialise(_joined_records(numbered_lines(spark, path, encoding=encoding, keep_ends=True), sep))  # read for the headers and for the cells
     heads = cut_lineage(lines.filter("line_no = 1").select("file", F.col("value").alias("head")))
     kinds = [r["head"] for r in heads.groupBy("head").agg(F.min("file").alias("file")).orderBy("file").collect()]  # one row per layout
     if not kinds:
         raise ValueError("no header line")
-    options = {"sep": sep, "mode": "PERMISSIVE", "quote": '"', "escape": '"'}
+    # no cell equals the word for null, so that "" is a text; left to itself, Spark takes a character 0 for an escape and drops it
+    options = {"sep": sep, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "charToEscapeQuoteEscaping": '"', "nullValue": uuid.uuid4().hex}
     layouts = []
     for head in kinds:
         one = spark.createDataFrame([(head,)], "value string")

@@ -174,3 +174,43 @@ def test_shares_are_rounded_as_sql_does(spark, folder):
         labels=([(i, 1, 1) for i in range(630)], "doc_id bigint, quality bigint, toxic bigint"),
     )
     assert got == want and want[0] == ("lang", 640, 41, 0.064062, None)
+
+
+ODD_TEXTS = [
+    "plain", "", None, " ", "\n", "a\rb", "a\r\nb", "a\r", "\r", "\r\n\r\n", "x\n\r\ny\r", '"\r"', 'say "x",\ry', 'a,"b\nc",d', "back\\", '\\"x\\', "nul\0in", "\0", '\0"',
+    "﻿bom", "x y\x85z", "null", "  lead\n \ntrail  ", ',\n",', "#c", '""', 'doc_id,"text"', "'q'\n'",
+]
+
+
+def test_odd_texts_come_back_from_csv_documents(spark, folder):
+    got, want = _same_as_sql(spark, folder, "csv_documents", documents=(list(enumerate(ODD_TEXTS)), "doc_id bigint, text string"))
+    assert got == want and len(want) == len(ODD_TEXTS)
+
+
+def test_quoted_cells_keep_their_line_ends_and_empty_texts(spark, write, folder):
+    write("e/crlf.csv", 'id,note\r\n1,"a\r\nb\rc\nd\r"\r\n2,""\r\n3,\r\n')
+    write("e/cr.csv", 'id,note\r4,"a\rb"\r5,x\r\r6,"\r"')
+    write("e/lf.csv", 'id,note\n7,"a\n\nb"\n8,"nul\0"\n')
+    rows = {r["id"]: (r["note"], r["_row_id"], r["_ragged"]) for r in tables.read_delimited(spark, f"{folder}/e/*.csv").collect()}
+    assert rows == {
+        "1": ("a\r\nb\rc\nd\r", 2, False), "2": ("", 7, False), "3": (None, 8, False), "4": ("a\rb", 2, False), "5": ("x", 4, False), "6": ("\r", 6, False),
+        "7": ("a\n\nb", 2, False), "8": ("nul\0", 5, False),
+    }
+
+
+def test_line_ends_in_small_splits_and_in_files_without_line_feeds(spark, write, folder, monkeypatch):
+    ends = ["\n", "\r\n", "\r"]
+    lines = [("x" * (i % 40), ends[(i * i) % 3]) for i in range(3000)]
+    write("s/mixed.txt", "".join(v + e for v, e in lines) + "last")
+    write("s/back.txt", "".join(f"line {i}\r" for i in range(1000)))
+    want, old = [*lines, ("last", "\n")], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    monkeypatch.setattr(files, "LONGEST", 2000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        df = files.numbered_lines(spark, f"{folder}/s/*.txt", keep_ends=True).orderBy("line_no")
+        assert [(r["value"], r["end"]) for r in df.filter(F.endswith("file", F.lit("mixed.txt"))).collect()] == want
+        back = df.filter(F.endswith("file", F.lit("back.txt"))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r["line_no"], r["value"]) for r in back] == [(i + 1, f"line {i}") for i in range(1000)]
+    assert {r["end"] for r in back} == {"\n"}  # longer than LONGEST: read at its carriage returns, never held whole
