@@ -56,6 +56,22 @@ def test_crowded_cell_is_split(spark):
     assert {r["method"] for r in G.map_attributes(df.select("m", "id", "x", "y", "z"), df.limit(0), ["m"], ["v"], 5.0).collect()} == {"none"}
 
 
+def test_little_is_written_for_samples_that_no_target_reaches(spark, monkeypatch):
+    """Far samples are left out before anything is written, and the smaller side is the one that is copied to its neighbours."""
+    rng = random.Random(3)
+    written = []
+    for name in ("cut_lineage", "materialise"):
+        if hasattr(G, name):
+            monkeypatch.setattr(G, name, lambda df, f=getattr(G, name): written.append((out := f(df)).count()) or out)
+    far = [("a", i, 100 + rng.random() * 50, rng.random() * 50, 0.0, 1.0, 1.0, "p") for i in range(2000)]
+    near = [("a", 5000 + i, rng.random(), rng.random(), rng.random(), float(i), 1.0, "p") for i in range(200)]
+    edge = [("a", 6000, math.inf, 0.0, 0.0, 1.0, 1.0, "p"), ("a", 6001, 0.0, -math.inf, 0.0, 1.0, 1.0, "p")]
+    samples, targets = spark.createDataFrame(far + near + edge, POINTS), spark.createDataFrame(near[:10] + edge, POINTS).select("m", "id", "x", "y", "z")
+    out = {r["id"]: (r["samples"], r["v"]) for r in G.map_attributes(targets, samples, ["m"], ["v"], 2.0).collect()}
+    assert out == {**{5000 + i: (200, float(i)) for i in range(10)}, 6000: (0, None), 6001: (0, None)}
+    assert sum(written) < 500
+
+
 # --- thinning and voxels ----------------------------------------------------------------------
 
 
